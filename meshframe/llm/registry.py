@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from meshframe.llm import exact_dedup, mixing, url_filter
+from meshframe.llm import exact_dedup, mixing, near_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 
 SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL}
