@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from meshframe.llm import exact_dedup, mixing, near_dedup, url_filter
+from meshframe.llm import bpe, exact_dedup, mixing, near_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_bpe": bpe.op5_bpe,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
