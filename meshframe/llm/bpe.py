@@ -54,7 +54,32 @@ def exact_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-class PrefixEncoder:
+class Pieces:
+    """Cuts texts into words that no piece crosses, and words into the pattern's pieces."""
+
+    def __init__(self, pattern: str):
+        self.pieces = regex.compile(exact_pattern(pattern)).findall
+
+    def words_of(self, text: str) -> list[str]:
+        """Cuts before every space that stands before a non-space: a piece never goes on across such a place."""
+        if not text:
+            return []
+        first, *rest = text.split(" ") if not _ODD(text) else _CUT(text)
+        words = [" " + w for w in rest]
+        return [first, *words] if first else words
+
+    def split_word(self, word: str) -> list[str]:
+        """The pieces of a stretch of text that no piece crosses."""
+        start = word[:1] == " "
+        if word[start:].isalpha():
+            return [word]
+        core = word.rstrip(MARKS)
+        if core[start:].isalpha():  # letters, then marks: two pieces, as the pattern has it
+            return [core, word[len(core) :]]
+        return self.pieces(word)
+
+
+class PrefixEncoder(Pieces):
     """Encodes pieces of bytes by the ranks; keeps the last token of each prefix it has seen."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -68,7 +93,7 @@ class PrefixEncoder:
         self.sizes = [len(b) for b in self.bytes]
         self.singles = [ranks[bytes([i])] for i in range(256)]
         self.split = self._split_table()
-        self.pieces = regex.compile(exact_pattern(pattern)).findall
+        super().__init__(pattern)
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
@@ -177,16 +202,6 @@ class PrefixEncoder:
             end -= len(text[chain[end]])
         return out[::-1]
 
-    def split_word(self, word: str) -> list[str]:
-        """The pieces of a stretch of text that no piece crosses."""
-        start = word[:1] == " "
-        if word[start:].isalpha():
-            return [word]
-        core = word.rstrip(MARKS)
-        if core[start:].isalpha():  # letters, then marks: two pieces, as the pattern has it
-            return [core, word[len(core) :]]
-        return self.pieces(word)
-
     def learn(self, pieces: set[str], known: dict[str, tuple[int, ...]]) -> None:
         """Puts the encodings of pieces into known."""
         hard = []
@@ -201,14 +216,6 @@ class PrefixEncoder:
         for raw, chain in zip(hard, self.chains(hard), strict=True):
             known[raw.decode()] = tuple(self.follow(chain))
 
-    def words_of(self, text: str) -> list[str]:
-        """Cuts before every space that stands before a non-space: a piece never goes on across such a place."""
-        if not text:
-            return []
-        first, *rest = text.split(" ") if not _ODD(text) else _CUT(text)
-        words = [" " + w for w in rest]
-        return [first, *words] if first else words
-
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         lists = [self.words_of(t) for t in texts]
         words, known = self.words, self.known

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshframe.llm import bpe, exact_dedup, mixing, near_dedup, url_filter
+from meshframe.llm import bpe, exact_dedup, mixing, near_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL}
