@@ -8,7 +8,8 @@ register estimate, six standard errors below the threshold, and then confirmed o
 
 No bucket is expanded into all its pairs: members are compared with the bucket's hub, links become components, and only
 members of different components are compared further: with a second hub, and in the end, so that no link is lost, with
-each other. A large group of near copies becomes one component in the first two steps.
+each other, where an exact filter on the places of shared shingles leaves a chance. A large group of near copies becomes
+one component in the first two steps; texts that share a common passage form no pairs in the last.
 
 Nulls and texts without words have an empty set and are linked with nothing. A row without an identifier is linked
 with nothing and kept. Rows that share an identifier are one node. Empty tables give empty results.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshframe.llm import shingles as sh
@@ -67,8 +68,8 @@ def _sets(batches):
         ids = batch.column("rep")
         for first, end in sh.pieces(offsets):
             hashes, at = sh.shingle_hashes(data, offsets[first : end + 1])
-            sets = [hashes[at[i] : at[i + 1]].tobytes() for i in range(end - first)]
-            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), _binary(sh.registers(hashes, at)), pa.array(sets, pa.binary())], names=["rep", "regs", "hashes"])
+            sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), _binary(sh.registers(hashes, at)), sets], names=["rep", "regs", "hashes"])
 
 
 def _confirm(percent: int):
@@ -76,13 +77,14 @@ def _confirm(percent: int):
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ok = np.zeros(len(a), bool)
-            columns = [batch.column(c) for c in ("a_hashes", "b_hashes", "a_regs", "b_regs")]
+            regs = [batch.column(c) for c in ("a_regs", "b_regs")]
+            sets = [(c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (batch.column("a_hashes"), batch.column("b_hashes"))]
             for i in range(len(a)):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in columns[:2])
+                x, y = (values[at[i] : at[i + 1]] for values, at in sets)
                 small, large = sorted((len(x), len(y)))
                 if not small or 100 * small < percent * large:
                     continue
-                guess, error = sh.estimate(*(np.frombuffer(c[i].as_buffer(), np.uint16) for c in columns[2:]), len(x), len(y))
+                guess, error = sh.estimate(*(np.frombuffer(c[i].as_buffer(), np.uint16) for c in regs), len(x), len(y))
                 if guess < percent / 100 - 6 * error:
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -101,6 +103,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stash(met.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "checked")
 
 
+def _across(open_reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of different components that can be linked, by prefix and positional filtering.
+
+    Shingles are ordered from rare to common. Of two sets that are similar enough, the rarest shingle they share stands
+    early in both: what follows it must still hold the rest of the overlap. So shingles are only filed up to there, and
+    a pair is only formed where both places leave room enough. Texts that share a common passage meet at its shingles,
+    late in both orders, and form no pairs.
+    """
+    filed = sets.join(open_reps, "rep").select("rep", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    counts = filed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    filed = filed.join(counts, "h", "left").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "h")))
+    # Shingles of one text alone take their places, but are met by no other.
+    filed = filed.where(F.col("df").isNotNull() & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("h", "rep", "component", "n", "place")
+    other = filed.select("h", F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    overlap = (F.col("n") + F.col("n2")) * percent  # of the overlap that is needed, 100 + percent times
+    room = (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1) * (100 + percent) >= overlap
+    met = filed.join(other, (filed["h"] == other["h"]) & (F.col("component") < F.col("component2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & room)
+    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of df."""
     docs = df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -112,7 +134,7 @@ def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", pe
     members = stash(banded.join(shared, "key"), "members")
     near = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text")
     # The rows that share an identifier are one node: the first is taken for each class.
-    sets = stash(near.mapInArrow(_sets, "rep long, regs binary, hashes binary"), "sets")
+    sets = stash(near.mapInArrow(_sets, "rep long, regs binary, hashes array<long>"), "sets")
 
     checked, labels = None, None
     for turn in range(HUB_ROUNDS + 1):
@@ -127,8 +149,7 @@ def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", pe
             hubs = here.groupBy("key").agg(pick(F.struct("component", "rep")).alias("hub"))
             pairs = here.join(hubs, "key").where("component <> hub.component").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
         else:
-            other = here.select("key", F.col("rep").alias("rep2"), F.col("component").alias("component2"))
-            pairs = here.join(other, "key").where("component < component2").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+            pairs = _across(here.select("rep", "component").distinct(), sets, percent)
         pairs = pairs.distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
