@@ -32,13 +32,17 @@ from meshframe.llm.labelled import training_rows
 MOST_CLEAN, MOST_TOXIC = 6000, 3000
 THRESHOLD = 0.3
 HASH_BITS = 18
-SEGMENT, EPOCHS, RATE, L2 = 32, 30, 0.3, 1e-4
+SEGMENT, EPOCHS, RATE, L2 = 32, 20, 0.3, 1e-4
+#: Segments of each kind that are learnt from, at most.
+MOST_SEGMENTS = 8000
 #: Tokens with a lower log-odds emission start no window; and the tokens on either side that a window takes in.
 FLOOR, AROUND = -4.0, 6
 #: A document's log-odds are cut here, so that a few sure tokens say as much as many.
 MOST_ODDS = 5.0
 #: With fewer training documents, the logistic fit is on scores from chains that have not seen them.
 FEW = 2000
+#: Log-likelihood ratio at which a feature marks toxic documents.
+LEAST_GAIN = 12.0
 MOST_KNOWN = 400_000
 
 _CORE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -160,7 +164,7 @@ def tokens_of(text: str) -> list[str]:
 
 
 def seeds(docs: list[tuple[list[str], int]]) -> set[str]:
-    """Features that mark toxic documents: at three places at least, and at twenty times the clean documents' rate.
+    """Features that mark toxic documents: at three places at least, at twenty times the clean documents' rate.
 
     A place is a feature with the tokens before and after it, so that near copies of a document count once.
     """
@@ -180,9 +184,15 @@ def seeds(docs: list[tuple[list[str], int]]) -> set[str]:
                     own[name].add(place)
                 else:
                     own[name] = {place}
-    least = max(3, totals[1] // 200)
-    odds = totals[0] / max(1, totals[1])
-    return {n for n, k in seen[1].items() if len(k) >= least and len(k) * odds >= 20 * (len(seen[0].get(n, ())) + 0.5)}
+    share = totals[1] / sum(totals)
+    return {n for n, k in seen[1].items() if len(k) >= 3 and _marks(len(k), len(seen[0].get(n, ())), share)}
+
+
+def _marks(toxic: int, clean: int, share: float) -> bool:
+    """Whether so many toxic and clean places are no chance: by rate, and by the log-likelihood ratio over many features."""
+    n = toxic + clean
+    gain = toxic * math.log(toxic / n / share) + (clean * math.log(clean / n / (1 - share)) if clean else 0.0)
+    return gain > LEAST_GAIN and toxic * (1 - share) >= 20 * share * (clean + 0.5)
 
 
 def train(rows: list[tuple[str, int]], fold: bool = True) -> Chain:
@@ -205,13 +215,12 @@ def train(rows: list[tuple[str, int]], fold: bool = True) -> Chain:
                 if part.any():
                     positive.append((tokens[first : first + SEGMENT], part))
         else:
-            first = SEGMENT * int(rng.integers(0, max(1, -(-len(tokens) // SEGMENT))))
-            for at in {0, first}:
-                part = tokens[at : at + SEGMENT]
-                if part:
-                    negative.append((part, np.zeros(len(part), bool)))
-    keep = rng.permutation(len(positive))[:6000]
-    data = [positive[i] for i in keep] + [negative[i] for i in rng.permutation(len(negative))[:8000]]
+            here = -(-len(tokens) // SEGMENT)
+            for at in rng.permutation(here)[: 2 + MOST_SEGMENTS // len(docs)].tolist():
+                part = tokens[at * SEGMENT : (at + 1) * SEGMENT]
+                negative.append((part, np.zeros(len(part), bool)))
+    keep = rng.permutation(len(positive))[:MOST_SEGMENTS]
+    data = [positive[i] for i in keep] + [negative[i] for i in rng.permutation(len(negative))[:MOST_SEGMENTS]]
     weights, trans, start = _fit(data, rng)
     chain = Chain(weights, trans, start, 1.0, 0.0)
     y = np.array([y for _, y in docs], float)
