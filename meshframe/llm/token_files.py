@@ -18,6 +18,7 @@ Empty tables give no blocks. A block holds about BLOCK_IDS ids, or one longer do
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,7 @@ from meshframe.llm.common import partitions, stash, table
 MAGIC = b"TOK1"
 END_ID = 0
 BLOCK_IDS = 1 << 20
-MOST_WORDS, MOST_PIECES, LONGEST_KEPT = 350_000, 450_000, 64
+MOST_KNOWN, LONGEST_KEPT = 800_000, 64
 
 #: Four lengths for each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
@@ -100,35 +101,34 @@ class LibraryEncoder(Pieces):
         super().__init__(pattern)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        words, known = self.words, self.known
+        known = self.known
         lists = [self.words_of(t) for t in texts]
-        new = set().union(*lists).difference(words)
-        if len(words) + len(new) > MOST_WORDS:
-            words.clear()
-            new = set().union(*lists)
-        split = {w: self.split_word(w) for w in new}
-        pieces = set().union(*split.values())
-        missing = pieces.difference(known)
-        if len(known) + len(missing) > MOST_PIECES:
+        new = set().union(*lists).difference(known)
+        if len(known) + len(new) > MOST_KNOWN:
             known.clear()
-            missing = pieces
-        asked = list(missing)
+            new = set().union(*lists)
+        asked, composed = set(), []
+        for word in new:
+            if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+                asked.add(word)  # a piece by itself
+            else:
+                parts = self.split_word(word)
+                composed.append((word, parts))
+                asked.update(parts)
+        asked = list(asked.difference(known))
         for first in range(0, len(asked), 4096):
             some = asked[first : first + 4096]
             for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.array(coded.ids, "<u4").tobytes()
-        for w, p in split.items():
-            words[w] = known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])
-        out = [b"".join(map(words.__getitem__, own)) for own in lists]
-        for key in [p for p in asked if len(p) > LONGEST_KEPT]:
-            del known[key]
-        for key in [w for w in new if len(w) > LONGEST_KEPT]:
-            del words[key]
+                known[piece] = array("I", coded.ids).tobytes()
+        for word, parts in composed:
+            known[word] = b"".join([known[x] for x in parts])
+        out = [b"".join(map(known.__getitem__, own)) for own in lists]
+        for key in [k for k in (*asked, *new) if len(k) > LONGEST_KEPT]:
+            known.pop(key, None)
         return out
 
 
