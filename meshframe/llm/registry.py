@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from meshframe.llm import bpe, exact_dedup, media, mixing, near_dedup, quality, token_files, toxicity, url_filter
+from meshframe.llm import bpe, exact_dedup, html_text, media, mixing, near_dedup, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_media": media.op3_media,
+    "op4_html_text": html_text.op4_html_text,
     "op5_bpe": bpe.op5_bpe,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
