@@ -344,6 +344,22 @@ def toxicity(df: DataFrame, chain: Chain, text: str = "text", ident: str = "doc_
     return rows.mapInArrow(_tag(model, True), "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>")
 
 
+def _clean_only(model, threshold: float):
+    def run(batches):
+        chain = Chain(*model.value)
+        for batch in batches:
+            keep = [chain.score(chain.tag(tokens_of(v.as_py() or ""))[0]) < threshold for v in batch.column("text")]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def drop_toxic(df: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df, with all their columns, whose column text scores below the threshold."""
+    model = df.sparkSession.sparkContext.broadcast((chain.weights.astype(np.float32), chain.trans, chain.start, chain.slope, chain.offset))
+    return df.mapInArrow(_clean_only(model, threshold), df.schema)
+
+
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
