@@ -39,6 +39,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """How many tasks rows deserve, at each rows a task: as many as there are cores at least, and no more than a shuffle
+    has. Tables that are small beside the corpus are coalesced to it, so that they don't cost a task a partition."""
+    return max(1, min(partitions(spark), max(spark.sparkContext.defaultParallelism, -(-rows // each))))
+
+
 def clean_text(column: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

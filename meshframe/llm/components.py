@@ -10,29 +10,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.llm.common import stash
+from meshframe.llm.common import stash, tasks_for
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges for each task.
+EACH = 100_000
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(n)
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(n).distinct().coalesce(n)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    near = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return near.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m")).coalesce(n)
+    near = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(n)
+    return near.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(n)
+
 
+def connected_components(edges: DataFrame, rows: int) -> DataFrame:
+    """(node, component): for edges (a, b), each node but the smallest of its component, with that smallest.
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): for edges (a, b), each node but the smallest of its component, with that smallest."""
-    state = stash(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "edges")
+    rows: about how many edges there are.
+    """
+    state = stash(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct().coalesce(tasks_for(edges.sparkSession, rows, EACH)), "edges")
     seen = None
     while True:
         mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark
-        state = stash(_small_star(_large_star(state)), "edges")
+        n = tasks_for(edges.sparkSession, mark[0], EACH)
+        state = stash(_small_star(_large_star(state, n), n), "edges")

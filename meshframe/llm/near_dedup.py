@@ -7,9 +7,9 @@ of 0.75 a pair misses all bands once in a million. Pairs that meet are sifted by
 register estimate, six standard errors below the threshold, and then confirmed on the full sets.
 
 No bucket is expanded into all its pairs: members are compared with the bucket's hub, links become components, and only
-members of different components are compared further: with a second hub, and in the end, so that no link is lost, with
-each other, where an exact filter on the places of shared shingles leaves a chance. A large group of near copies becomes
-one component in the first two steps; texts that share a common passage form no pairs in the last.
+members of different components are compared further, so that no link is lost: with each other, where an exact filter on
+the places of shared shingles leaves a chance. A large group of near copies becomes one component in the first step;
+texts that share a common passage form no pairs in the second.
 
 Nulls and texts without words have an empty set and are linked with nothing. A row without an identifier is linked
 with nothing and kept. Rows that share an identifier are one node. Empty tables give empty results.
@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshframe.llm import shingles as sh
-from meshframe.llm.common import stash, table
+from meshframe.llm.common import stash, table, tasks_for
 from meshframe.llm.components import connected_components
 
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
+#: Bucket members, pairs and shingles for each task.
+MEMBERS_EACH, PAIRS_EACH, SHINGLES_EACH = 200_000, 20_000, 500_000
 
 _SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, regs binary"
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -94,12 +96,12 @@ def _confirm(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """(a, b, linked) of distinct pairs, on the full sets."""
     def side(name):
         return sets.select(F.col("rep").alias(name), F.col("regs").alias(f"{name}_regs"), F.col("hashes").alias(f"{name}_hashes"))
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = pairs.join(side("a"), "a").coalesce(n).join(side("b"), "b").coalesce(n)
     return stash(met.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "checked")
 
 
@@ -111,16 +113,17 @@ def _across(open_reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a pair is only formed where both places leave room enough. Texts that share a common passage meet at its shingles,
     late in both orders, and form no pairs.
     """
-    filed = sets.join(open_reps, "rep").select("rep", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    counts = filed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    filed = filed.join(counts, "h", "left").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "h")))
+    n = tasks_for(sets.sparkSession, 100 * open_reps.count(), SHINGLES_EACH)
+    filed = sets.join(open_reps, "rep").coalesce(n).select("rep", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    counts = filed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").coalesce(n)
+    filed = filed.join(counts, "h", "left").coalesce(n).withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "h")))
     # Shingles of one text alone take their places, but are met by no other.
-    filed = filed.where(F.col("df").isNotNull() & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("h", "rep", "component", "n", "place")
+    filed = filed.where(F.col("df").isNotNull() & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("h", "rep", "component", "n", "place").coalesce(n)
     other = filed.select("h", F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
     overlap = (F.col("n") + F.col("n2")) * percent  # of the overlap that is needed, 100 + percent times
     room = (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1) * (100 + percent) >= overlap
     met = filed.join(other, (filed["h"] == other["h"]) & (F.col("component") < F.col("component2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & room)
-    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).coalesce(n)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -136,29 +139,32 @@ def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", pe
     # The rows that share an identifier are one node: the first is taken for each class.
     sets = stash(near.mapInArrow(_sets, "rep long, regs binary, hashes array<long>"), "sets")
 
-    checked, labels = None, None
+    spark = df.sparkSession
+    many = members.count()
+    n, n_pairs = tasks_for(spark, many, MEMBERS_EACH), tasks_for(spark, many, PAIRS_EACH)
+    checked = labels = None
     for turn in range(HUB_ROUNDS + 1):
         if labels is None:
             here = members.withColumn("component", F.col("rep"))
         else:
-            here = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            open_keys = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-            here = here.join(open_keys, "key")
+            here = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).coalesce(n)
+            open_keys = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key").coalesce(n)
+            here = here.join(open_keys, "key").coalesce(n)
         if turn < HUB_ROUNDS:
-            pick = F.min if turn == 0 else F.max
-            hubs = here.groupBy("key").agg(pick(F.struct("component", "rep")).alias("hub"))
-            pairs = here.join(hubs, "key").where("component <> hub.component").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
+            pick = F.min if turn % 2 == 0 else F.max
+            hubs = here.groupBy("key").agg(pick(F.struct("component", "rep")).alias("hub")).coalesce(n)
+            pairs = here.join(hubs, "key").where("component <> hub.component").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).coalesce(n)
         else:
-            pairs = _across(here.select("rep", "component").distinct(), sets, percent)
-        pairs = pairs.distinct()
+            pairs = _across(stash(here.select("rep", "component").distinct().coalesce(n), "open"), sets, percent)
+        pairs = pairs.distinct().coalesce(n)
         if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        new = _verified(pairs, sets, percent)
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti").coalesce(n)
+        new = _verified(pairs, sets, percent, n_pairs)
         links = new.where("linked").select("a", "b")
         if labels is not None:
             links = links.union(labels.select("node", "component"))
         checked = new if checked is None else checked.union(new)
-        labels = connected_components(links)
+        labels = connected_components(links, many)
 
     final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
     out = signatures.select("doc_id", "n_shingles", "set_hi", "set_lo").join(final, ["set_hi", "set_lo"], "left")
