@@ -1,4 +1,315 @@
-"""The registered queries of the collective engine, and their SQL."""
+"""The registered queries of the collective engine, and their SQL.
 
+Four ranks; rank and idx come from keys by arithmetic, so buffers are built without a shuffle. Money and floats are
+taken in fixed point, so that sums do not depend on their order.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshframe.functions.datatypes import REGISTRY, Registry, round_fp16, truncate_bf16, wrap
+from meshframe.operators import collectives as C
+from meshframe.operators import p2p
+from meshframe.operators.comm import Communicator, split_table, topology
+from meshframe.plans import selection
+from meshframe.sources.buffers import arrays_to_buffers, pack, positions, read, to_buffers, unpack
+from meshframe.streaming.runtime import Call, OpAttr, Runtime, fuse
+
+P = 4
+WORLD = Communicator(P)
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+_RANKS = f"(SELECT range::INT AS rank FROM range({P}))"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- inputs
+
+
+def cents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem: a part's price in cents, at the order's rank."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    return to_buffers(rows, F.col("l_orderkey") % P, F.col("l_partkey"), F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+
+
+CENTS = f"(SELECT (l_orderkey % {P})::INT AS rank, 0 AS buf_id, l_partkey AS idx, round(l_extendedprice * 100)::BIGINT AS value FROM lineitem)"
+
+
+def micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings in millionths; vector v is the (v div 4)-th of rank v mod 4."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    long = arrays_to_buffers(rows, F.col("vec_id") % P, F.floor(F.col("vec_id") / P), F.col("embedding"), 64)
+    return long.withColumn("value", F.round(F.col("value").cast("double") * 1_000_000).cast("bigint"))
+
+
+_VECTORS = "(SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)"
+MICRO = f"(SELECT (vec_id % {P})::INT AS rank, 0 AS buf_id, (vec_id // {P}) * 64 + pos AS idx, round(x::DOUBLE * 1000000)::BIGINT AS value FROM {_VECTORS})"
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return to_buffers(rows, F.col("o_orderkey") % P, F.floor(F.col("o_orderkey") / P), F.round(F.col("o_totalprice") * 100).cast("bigint"))
+
+
+ORDERS = f"(SELECT (o_orderkey % {P})::INT AS rank, 0 AS buf_id, o_orderkey // {P} AS idx, round(o_totalprice * 100)::BIGINT AS value FROM orders)"
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events from the user's rank to the event's rank; positions in each pair follow event_id."""
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    rows = rows.select("event_id", (F.col("user_id") % P).cast("int").alias("src"), (F.col("event_id") % P).cast("int").alias("dst"), F.lit(0).alias("buf_id"), F.round(F.col("value") * 100).cast("bigint").alias("value"))
+    return positions(rows, ["src", "dst"], "event_id").select("src", "dst", "buf_id", "idx", "value")
+
+
+MESSAGES = f"""(SELECT src, dst, 0 AS buf_id, row_number() OVER (PARTITION BY src, dst ORDER BY event_id) - 1 AS idx, value
+FROM (SELECT event_id, (user_id % {P})::INT AS src, (event_id % {P})::INT AS dst, round(value * 100)::BIGINT AS value FROM events))"""
+
+
+# ---------------------------------------------------------------- allreduce, reduce, reduce_scatter
+
+for _op in ("sum", "min", "max"):
+    query(f"allreduce_{_op}", f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, {_op}(value)::BIGINT AS value FROM {CENTS} GROUP BY ALL), {_RANKS}")(
+        lambda spark, d, op=_op: C.allreduce(cents(spark, d), WORLD, op, "int64").expand()
+    )
+    query(f"reduce_scatter_{_op}", f"SELECT (idx // 16)::INT AS rank, buf_id, idx % 16 AS idx, {_op}(value)::BIGINT AS value FROM (SELECT buf_id, idx % 64 AS idx, value FROM {MICRO}) GROUP BY ALL")(
+        lambda spark, d, op=_op: C.reduce_scatter(micro(spark, d).withColumn("idx", F.col("idx") % 64), WORLD, 16, op, "int64")
+    )
+    for _root in (0, 3):
+        query(f"reduce_root{_root}_{_op}", f"SELECT {_root} AS rank, buf_id, idx, {_op}(value)::BIGINT AS value FROM {CENTS} GROUP BY ALL")(
+            lambda spark, d, op=_op, root=_root: C.reduce(cents(spark, d), WORLD, root, op, "int64")
+        )
+
+
+@query("allreduce_embeddings", f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, sum(value)::BIGINT AS value FROM {MICRO} GROUP BY ALL), {_RANKS}")
+def allreduce_embeddings(spark, d):
+    return C.allreduce(micro(spark, d), WORLD, "sum", "int64").expand()
+
+
+def _small(spark, d):
+    rows = read(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    return to_buffers(rows, F.col("n_nationkey") % P, F.col("n_regionkey"), (F.col("n_nationkey") % 5 + 1).cast("int"))
+
+
+_SMALL = f"(SELECT (n_nationkey % {P})::INT AS rank, 0 AS buf_id, n_regionkey::BIGINT AS idx, n_nationkey % 5 + 1 AS value FROM nation)"
+
+
+@query("allreduce_prod", f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, product(value)::INT AS value FROM {_SMALL} GROUP BY ALL), {_RANKS}")
+def allreduce_prod(spark, d):
+    return C.allreduce(_small(spark, d), WORLD, "prod", "int32").expand()
+
+
+@F.pandas_udf("bigint")
+def largest_magnitude(values: pd.Series) -> int:
+    return int(values.abs().max())
+
+
+@query("allreduce_custom", f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, max(abs(value))::BIGINT AS value FROM {MICRO} GROUP BY ALL), {_RANKS}")
+def allreduce_custom(spark, d):
+    """A user's reduction, here the largest magnitude, as a grouped pandas UDF."""
+    return C.allreduce(micro(spark, d), WORLD, largest_magnitude, "int64").expand()
+
+
+@query("allreduce_2d", f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, sum(value)::BIGINT AS value FROM {MICRO} GROUP BY ALL), {_RANKS}")
+def allreduce_2d(spark, d):
+    return C.allreduce_2d(micro(spark, d), WORLD, 2, "sum", "int64").expand()
+
+
+@query("allreduce_packed", f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, sum(value)::BIGINT AS value FROM {MICRO} GROUP BY ALL), {_RANKS}")
+def allreduce_packed(spark, d):
+    """By way of the packed form, as a strategy hint asks for it."""
+    hints = selection.parse("long:0-8191;packed:8192-max")
+    buffers = micro(spark, d)
+    if selection.choose(hints, 1 << 20) == "packed":
+        buffers = unpack(pack(buffers))
+    return C.allreduce(buffers, WORLD, "sum", "int64").expand()
+
+
+_WRAP8 = "((sum(value) + 128) % 256 + 256) % 256 - 128"
+
+
+@query("allreduce_int8_wrap", f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, ({_WRAP8})::TINYINT AS value FROM (SELECT buf_id, idx, ((value + 128) % 256 + 256) % 256 - 128 AS value FROM {CENTS}) GROUP BY ALL), {_RANKS}")
+def allreduce_int8_wrap(spark, d):
+    buffers = cents(spark, d).withColumn("value", wrap(F.col("value"), REGISTRY["int8"]))
+    return C.allreduce(buffers, WORLD, "sum", "int8").expand()
+
+
+@query(
+    "allreduce_uint64_wrap",
+    f"""SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, (sum(value::HUGEINT * 1000000007 + 18446744073709000000::HUGEINT) % 18446744073709551616::HUGEINT)::VARCHAR AS value
+    FROM {CENTS} GROUP BY ALL), {_RANKS}""",
+)
+def allreduce_uint64_wrap(spark, d):
+    value = (F.col("value").cast("decimal(20,0)") * F.lit(1_000_000_007) + F.lit("18446744073709000000").cast("decimal(20,0)")).cast("decimal(38,0)")
+    out = C.allreduce(cents(spark, d).withColumn("value", value), WORLD, "sum", "uint64").expand()
+    return out.withColumn("value", F.col("value").cast("string"))
+
+
+@query("allreduce_bf16")
+def allreduce_bf16(spark, d):
+    """Embeddings as bfloat16, folded in the order of ranks with truncation at each step."""
+    rows = read(spark, d, "embeddings").select("vec_id", "embedding")
+    long = arrays_to_buffers(rows, F.col("vec_id") % P, F.floor(F.col("vec_id") / P), F.col("embedding"), 64)
+    return C.allreduce(long.withColumn("value", truncate_bf16(F.col("value"))), WORLD, "sum", "bfloat16", strict=True).expand()
+
+
+@query("allreduce_fp16")
+def allreduce_fp16(spark, d):
+    rows = read(spark, d, "embeddings").select("vec_id", "embedding")
+    long = arrays_to_buffers(rows, F.col("vec_id") % P, F.floor(F.col("vec_id") / P), F.col("embedding"), 64)
+    return C.allreduce(long.withColumn("value", round_fp16(F.col("value"))), WORLD, "sum", "float16").expand()
+
+
+@query(
+    "allreduce_fused",
+    f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, sum(value)::BIGINT AS value FROM (SELECT rank, 0 AS buf_id, idx, value FROM {MICRO} UNION ALL SELECT rank, 1, idx, 2 * value FROM {MICRO} UNION ALL SELECT rank, 2, idx, -value FROM {MICRO}) GROUP BY ALL), {_RANKS}",
+)
+def allreduce_fused(spark, d):
+    """Three calls, one exchange."""
+    b = micro(spark, d)
+    calls = [Call(b.withColumn("value", f * F.col("value")), 64, "int64") for f in (1, 2, -1)]
+    ((_, result),) = fuse(calls, WORLD)
+    return result.expand()
+
+
+@query("fusion_plan", "SELECT * FROM (VALUES (0, 0), (1, 0), (2, 1), (3, 0), (4, 2)) t(call, fused_into)")
+def fusion_plan(spark, d):
+    """Which calls are fused: small ones of one kind; large and synchronous ones go alone."""
+    b = _small(spark, d)
+    calls = [Call(b, 16, "int32"), Call(b, 64, "int32"), Call(b, 1 << 20, "int32"), Call(b, 8, "int32"), Call(b, 8, "int32", attr=OpAttr(synchronous=True))]
+    groups = [(n, g) for g, (numbers, _) in enumerate(fuse(calls, WORLD)) for n in numbers]
+    return spark.createDataFrame(groups, "call int, fused_into int")
+
+
+@query("priority_order", "SELECT * FROM (VALUES (2, 0), (0, 1), (3, 2), (1, 3)) t(place, call)")
+def priority_order(spark, d):
+    """Calls of priority 1, 5, 0, 5 start by priority, equals in the order of issue."""
+    runtime = Runtime()
+    for p in (1, 5, 0, 5):
+        runtime.submit(lambda: None, OpAttr(priority=p))
+    order = runtime.flush()
+    runtime.close()
+    # Issue numbers of the calls, in the order they start; the table lists them as (place, call).
+    return spark.createDataFrame([(order.index(n), n) for n in range(len(order))], "place int, call int")
+
+
+# ---------------------------------------------------------------- broadcast, gather, all-to-all
+
+_BCAST = f"SELECT r.rank, b.buf_id, b.idx, b.value FROM (SELECT * FROM {ORDERS} WHERE rank = 2) b, {_RANKS} r"
+query("bcast_inplace", _BCAST)(lambda spark, d: C.bcast(orders(spark, d), WORLD, 2).expand())
+query("broadcast_outofplace", _BCAST)(lambda spark, d: C.broadcast(orders(spark, d), WORLD, 2).expand())
+
+_WIDTH = 1 << 32
+query("allgather", f"SELECT r.rank, b.buf_id, b.rank * {_WIDTH}::BIGINT + b.idx AS idx, b.value FROM {ORDERS} b, {_RANKS} r")(lambda spark, d: C.allgather(orders(spark, d), WORLD, _WIDTH).expand())
+query("allgather_vector", f"SELECT r.rank, b.rank AS src_rank, b.buf_id, b.idx, b.value FROM {ORDERS} b, {_RANKS} r")(lambda spark, d: C.allgather_vector(orders(spark, d), WORLD).expand())
+
+
+def uneven(spark, d):
+    """events at the user's rank, dense in the order of event_id."""
+    rows = read(spark, d, "events").select("event_id", (F.col("user_id") % P).cast("int").alias("rank"), F.round(F.col("value") * 100).cast("bigint").alias("value"))
+    return positions(rows, ["rank"], "event_id").select("rank", F.lit(0).alias("buf_id"), "idx", "value")
+
+
+UNEVEN = f"(SELECT rank, 0 AS buf_id, row_number() OVER (PARTITION BY rank ORDER BY event_id) - 1 AS idx, value FROM (SELECT event_id, (user_id % {P})::INT AS rank, round(value * 100)::BIGINT AS value FROM events))"
+_COUNTS = f"(SELECT rank, buf_id, n, coalesce(sum(n) OVER (PARTITION BY buf_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM (SELECT rank, buf_id, count(*) AS n FROM {UNEVEN} GROUP BY ALL))"
+query("count_offsets", f"SELECT rank, buf_id, n, \"offset\" FROM {_COUNTS}")(lambda spark, d: C.offsets(C.counts_of(uneven(spark, d)), ["buf_id"]))
+query("allgatherv", f"SELECT r.rank, b.buf_id, c.\"offset\" + b.idx AS idx, b.value FROM {UNEVEN} b JOIN {_COUNTS} c USING (rank, buf_id), {_RANKS} r")(lambda spark, d: C.allgatherv(uneven(spark, d), WORLD).expand())
+query("allgatherv_vector", f"SELECT r.rank, b.rank AS src_rank, b.buf_id, b.idx, b.value FROM {UNEVEN} b, {_RANKS} r")(lambda spark, d: C.allgatherv_vector(uneven(spark, d), WORLD).expand())
+
+query("alltoall", f"SELECT ((idx % 64) // 16)::INT AS rank, (idx // 64)::INT AS buf_id, rank * 16::BIGINT + idx % 16 AS idx, value FROM {MICRO}")(
+    lambda spark, d: C.alltoall(micro(spark, d).withColumn("buf_id", F.floor(F.col("idx") / 64).cast("int")).withColumn("idx", F.col("idx") % 64), WORLD, 16)
+)
+query("alltoall_vector", f"SELECT ((idx % 64) // 16)::INT AS rank, rank AS src_rank, (idx // 64)::INT AS buf_id, idx % 16 AS idx, value FROM {MICRO}")(
+    lambda spark, d: C.alltoall_vector(micro(spark, d).withColumn("buf_id", F.floor(F.col("idx") / 64).cast("int")).withColumn("idx", F.col("idx") % 64), WORLD, 16)
+)
+_STARTS = f"(SELECT dst, src, coalesce(sum(n) OVER (PARTITION BY dst ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT dst, src, count(*) AS n FROM {MESSAGES} GROUP BY ALL))"
+query("alltoallv", f"SELECT m.dst AS rank, m.buf_id, s.start + m.idx AS idx, m.value FROM {MESSAGES} m JOIN {_STARTS} s USING (dst, src)")(lambda spark, d: C.alltoallv(messages(spark, d), WORLD))
+query("alltoallv_vector", f"SELECT dst AS rank, src AS src_rank, buf_id, idx, value FROM {MESSAGES}")(lambda spark, d: C.alltoallv_vector(messages(spark, d), WORLD))
+
+
+@query("barrier", f"SELECT rank, count(*) AS n FROM {ORDERS} GROUP BY rank")
+def barrier(spark, d):
+    """Ranks count their elements on the far side of a barrier."""
+    return C.barrier(orders(spark, d).coalesce(2)).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- point to point
+
+
+def _ring(spark, d, group_id=0, seq=0):
+    b = orders(spark, d)
+    receives = WORLD.table(spark).select("rank", ((F.col("rank") + P - 1) % P).cast("int").alias("from_rank"), F.lit(group_id).alias("group_id"), F.lit(seq).alias("seq"))
+    return p2p.send(b, (F.col("rank") + 1) % P, seq, group_id), receives
+
+
+query("sendrecv_ring", f"SELECT ((rank + 1) % {P})::INT AS rank, rank AS from_rank, 0 AS seq, idx, value FROM {ORDERS}")(lambda spark, d: p2p.recv(*_ring(spark, d)))
+
+
+@query("sendrecv_group", f"SELECT ((rank + 1) % {P})::INT AS rank, rank AS from_rank, 0 AS seq, idx, value FROM {ORDERS} UNION ALL SELECT ((rank + 1) % {P})::INT, rank, 1, idx, value FROM {ORDERS}")
+def sendrecv_group(spark, d):
+    with p2p.Group() as group:
+        for seq in (0, 1):
+            messages_, receives = _ring(spark, d, seq=seq)
+            group.send(messages_)
+            group.recv(receives)
+    return group.result
+
+
+@query("sendrecv_unmatched", "SELECT * FROM (VALUES (2, 3, 0, 0, 'send'), (1, 3, 0, 0, 'recv')) t(src, dst, group_id, seq, side)")
+def sendrecv_unmatched(spark, d):
+    """Rank 3 waits for rank 1, while rank 2 sends to it."""
+    messages_, receives = _ring(spark, d)
+    receives = receives.withColumn("from_rank", F.when(F.col("rank") == 3, F.lit(1)).otherwise(F.col("from_rank")))
+    return p2p.unmatched(messages_, receives)
+
+
+# ---------------------------------------------------------------- communicators
+
+
+def _nations(spark, d):
+    return read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("rank"), F.col("n_regionkey").cast("int").alias("color"), (-F.col("n_nationkey")).cast("int").alias("key"))
+
+
+_SPLIT = "SELECT rank, color, key, (row_number() OVER (PARTITION BY color ORDER BY {order}) - 1)::INT AS new_rank, (count(*) OVER (PARTITION BY color))::INT AS new_size FROM (SELECT n_nationkey::INT AS rank, n_regionkey::INT AS color, (-n_nationkey)::INT AS key FROM nation)"
+query("comm_split_color", _SPLIT.format(order="rank"))(lambda spark, d: split_table(_nations(spark, d)))
+query("comm_split_key", _SPLIT.format(order="key, rank"))(lambda spark, d: split_table(_nations(spark, d), key="key"))
+query("topo_fixed_colors", "SELECT range::INT AS rank, (range // 2)::INT AS pair, (range % 2)::INT AS plane, (range // 4)::INT AS node, (range % 4)::INT AS node_rank FROM range(16)")(
+    lambda spark, d: topology(Communicator(16).table(spark), 4)
+)
+
+
+@query("rank_translation", "SELECT n_regionkey::INT AS color, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS local_rank, n_nationkey::INT AS global_rank FROM nation")
+def rank_translation(spark, d):
+    return split_table(_nations(spark, d)).select("color", F.col("new_rank").alias("local_rank"), F.col("rank").alias("global_rank"))
+
+
+@query("custom_datatype_gather", f"SELECT r.rank, b.rank AS src_rank, b.buf_id, b.idx, b.value FROM (SELECT (c_custkey % {P})::INT AS rank, 0 AS buf_id, c_custkey // {P} AS idx, lower(md5(c_name)) AS value FROM customer) b, {_RANKS} r")
+def custom_datatype_gather(spark, d):
+    """Opaque elements of 16 bytes, shown in hexadecimal."""
+    dtype = Registry().register(16)
+    rows = read(spark, d, "customer").select("c_custkey", "c_name")
+    b = to_buffers(rows, F.col("c_custkey") % P, F.floor(F.col("c_custkey") / P), F.unhex(F.md5("c_name")).cast(dtype.spark))
+    return C.allgather_vector(b, WORLD).expand().withColumn("value", F.lower(F.hex("value")))
+
+
+@query("single_rank", f"SELECT 0 AS rank, buf_id, idx, value FROM (SELECT buf_id, idx, sum(value)::BIGINT AS value FROM (SELECT 0 AS buf_id, o_orderkey AS idx, round(o_totalprice * 100)::BIGINT AS value FROM orders) GROUP BY ALL)")
+def single_rank(spark, d):
+    rows = read(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    b = to_buffers(rows, F.lit(0), F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    return C.allreduce(b, Communicator(1), "sum", "int64").expand()
+
+
+@query("zero_count", f"SELECT rank, buf_id, idx, value FROM {ORDERS} WHERE false")
+def zero_count(spark, d):
+    return C.reduce_scatter(orders(spark, d), WORLD, 0, "sum", "int64")
