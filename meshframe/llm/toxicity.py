@@ -19,7 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,12 @@ from pyspark.sql import functions as F
 from meshframe.llm.common import is_held_out, table
 from meshframe.llm.labelled import training_rows
 
-MOST_CLEAN, MOST_TOXIC = 6000, 3000
+MOST_CLEAN, MOST_TOXIC = 4000, 1500
 THRESHOLD = 0.3
 HASH_BITS = 18
 SEGMENT, EPOCHS, RATE, L2 = 32, 20, 0.3, 1e-4
 #: Segments of each kind that are learnt from, at most.
-MOST_SEGMENTS = 8000
+MOST_SEGMENTS = 6000
 #: Tokens with a lower log-odds emission start no window; and the tokens on either side that a window takes in.
 FLOOR, AROUND = -4.0, 6
 #: A document's log-odds are cut here, so that a few sure tokens say as much as many.
@@ -166,26 +169,31 @@ def tokens_of(text: str) -> list[str]:
 def seeds(docs: list[tuple[list[str], int]]) -> set[str]:
     """Features that mark toxic documents: at three places at least, at twenty times the clean documents' rate.
 
-    A place is a feature with the tokens before and after it, so that near copies of a document count once.
+    A place in a toxic document is a feature with the tokens before and after it, so that near copies of a document
+    count once. Only features that pass by their number alone have their places looked at.
     """
-    seen: tuple[dict, dict] = ({}, {})
-    names: dict[str, list[str]] = {}
+    tokens_seen: tuple[Counter, Counter] = (Counter(), Counter())
     totals = [0, 0]
     for tokens, label in docs:
         totals[label] += 1
-        own = seen[label]
-        for before, token, after in zip(["", *tokens], tokens, [*tokens[1:], ""], strict=False):
-            found = names.get(token)
-            if found is None:
-                found = names[token] = _seed_features(token)
-            place = hash((before, after))
-            for name in found:
-                if name in own:
-                    own[name].add(place)
-                else:
-                    own[name] = {place}
+        tokens_seen[label].update(tokens)
     share = totals[1] / sum(totals)
-    return {n for n, k in seen[1].items() if len(k) >= 3 and _marks(len(k), len(seen[0].get(n, ())), share)}
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for label in (0, 1):
+        for token, k in tokens_seen[label].items():
+            for name in _seed_features(token):
+                seen[label][name] += k
+    likely = {n for n, k in seen[1].items() if k >= 3 and _marks(k, seen[0][n], share)}
+    names = {t: found for t in tokens_seen[1] if (found := [n for n in _seed_features(t) if n in likely])}
+    places: dict[str, set[int]] = {n: set() for n in likely}
+    for tokens, label in docs:
+        if label:
+            for i, token in enumerate(tokens):
+                if token in names:
+                    place = hash((tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""))
+                    for name in names[token]:
+                        places[name].add(place)
+    return {n for n, k in places.items() if len(k) >= 3 and _marks(len(k), seen[0][n], share)}
 
 
 def _marks(toxic: int, clean: int, share: float) -> bool:
@@ -197,7 +205,7 @@ def _marks(toxic: int, clean: int, share: float) -> bool:
 
 def train(rows: list[tuple[str, int]], fold: bool = True) -> Chain:
     """From (text, 0 or 1) pairs."""
-    docs = [(tokens_of(t), y) for t, y in dict(rows).items()]
+    docs = [(list(map(sys.intern, tokens_of(t))), y) for t, y in dict(rows).items()]
     share = sum(y for _, y in docs) / max(1, len(docs))
     weights, trans, start = np.zeros(1 << HASH_BITS), np.zeros((2, 2)), 0.0
     if not 0 < share < 1:
@@ -237,7 +245,7 @@ def train(rows: list[tuple[str, int]], fold: bool = True) -> Chain:
 
 def _fit(data, rng) -> tuple[np.ndarray, np.ndarray, float]:
     """Gradient ascent (AdaGrad) on the regularised likelihood; segments of a batch go through the chain together."""
-    cache: dict[str, list[int]] = {}
+    cache: dict[str, array] = {}
     size = 1 << HASH_BITS
     weights, grads = np.zeros(size), np.full(size, 1e-8)
     trans, trans_grads, start = np.zeros((2, 2)), np.full((2, 2), 1e-8), 0.0
@@ -246,17 +254,17 @@ def _fit(data, rng) -> tuple[np.ndarray, np.ndarray, float]:
     for first in range(0, len(data), 500):
         some = data[first : first + 500]
         n, length = len(some), max(len(t) for t, _ in some)
-        feats, place = [], []
+        feats, place = array("i"), array("i")
         y, mask = np.zeros((n, length), int), np.zeros((n, length), bool)
         for i, (tokens, hit) in enumerate(some):
             y[i, : len(tokens)], mask[i, : len(tokens)] = hit, True
             for j, t in enumerate(tokens):
                 f = cache.get(t)
                 if f is None:
-                    f = cache[t] = token_features(t)
+                    f = cache[t] = array("i", token_features(t))
                 feats += f
-                place += [i * length + j] * len(f)
-        packed.append((np.array(feats), np.array(place), y, mask))
+                place.extend([i * length + j] * len(f))
+        packed.append((np.frombuffer(feats, np.int32), np.frombuffer(place, np.int32), y, mask))
     for _ in range(EPOCHS):
         for k in rng.permutation(len(packed)):
             feats, place, y, mask = packed[k]
