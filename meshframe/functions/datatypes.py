@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from meshframe.errors import InvalidArgument
 
@@ -97,8 +98,10 @@ def times(a: Column, b: Column, bits: int) -> Column:
     if bits <= 32:
         return F.pmod((a * b).cast(WIDE), span)
     low = F.lit(str(1 << 32)).cast(WIDE)
-    high_part = F.pmod(F.pmod((a * F.floor(b / low).cast(WIDE)).cast(WIDE), span).cast(WIDE) * low, span)
-    return F.pmod((high_part + (a * F.pmod(b, low)).cast(WIDE)).cast(WIDE), span).cast(WIDE)
+    low_part = F.pmod(b, low)
+    high = ((b - low_part) / low).cast(WIDE)  # exact: no fraction is left to round
+    high_part = F.pmod((F.pmod((a * high).cast(WIDE), span) * low).cast(WIDE), span)
+    return F.pmod((high_part + (a * low_part).cast(WIDE)).cast(WIDE), span).cast(WIDE)
 
 
 def truncate_bf16(value: Column) -> Column:
@@ -116,7 +119,7 @@ def round_bf16(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), value.cast("float")).otherwise(whole)
 
 
-@F.pandas_udf("float")
+@F.pandas_udf(FloatType())
 def round_fp16(values: pd.Series) -> pd.Series:
     """Floats rounded to the nearest float16, ties to even."""
     with np.errstate(over="ignore"):

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from meshframe.functions.datatypes import REGISTRY, Registry, round_fp16, truncate_bf16, wrap
 from meshframe.operators import collectives as C
@@ -110,7 +111,7 @@ def allreduce_prod(spark, d):
     return C.allreduce(_small(spark, d), WORLD, "prod", "int32").expand()
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def largest_magnitude(values: pd.Series) -> int:
     return int(values.abs().max())
 
