@@ -1,0 +1,148 @@
+"""Exact dedup, mixing and URL rules against plain Python."""
+
+import hashlib
+import math
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from meshframe.llm import exact_dedup as D
+from meshframe.llm import mixing as M
+from meshframe.llm import registry
+from meshframe.llm import url_filter as U
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+@pytest.mark.parametrize("ranges", [1, 7, 60])
+def test_exact_dedup(spark, keep, ranges):
+    rows = [(i, "copy" if i % 3 == 0 else f"text {i % 40}" if i % 2 else None if i % 10 == 4 else "", f"k{i}") for i in range(300)]
+    rows += [(None, "copy", "x"), (None, "alone without id", "y"), (None, "alone without id", "z"), (7, "tie", "a"), (7, "tie", "b"), (9000, "x" * 200_000, "long"), (9001, "x" * 200_000 + "y", "longer")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(5)
+    out = D.content_sort(df, keep=keep, ranges=ranges).collect()
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[t or ""].append(i)
+    assert len(out) == len(rows)
+    assert sorted(str((r["row"]["doc_id"], r["row"]["text"], r["row"]["kept"])) for r in out) == sorted(str(r) for r in rows)
+    stay = defaultdict(int)
+    for r in out:
+        text = r["row"]["text"] or ""
+        ids = [i for i in groups[text] if i is not None]
+        want = (min if keep == "min" else max)(ids) if ids else None
+        assert (r["keep_id"], r["group_size"]) == (want, len(groups[text]))
+        assert r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        stay[text] += r["kept"]
+        assert not r["kept"] or r["row"]["doc_id"] == want
+    assert set(stay.values()) == {1}
+    kept = D.exact_dedup(df, keep=keep, ranges=ranges)
+    assert kept.columns == df.columns and kept.count() == len(groups)
+
+
+def test_exact_dedup_of_nothing_and_normalised(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert D.exact_dedup(empty).count() == 0
+    df = spark.createDataFrame([(1, "A b"), (2, "a B"), (3, "c")], "doc_id long, text string")
+    out = D.content_sort(df, normalise=F.lower)
+    assert sorted((r["row"]["doc_id"], r["row"]["text"], r["keep_id"]) for r in out.collect()) == [(1, "A b", 1), (2, "a B", 1), (3, "c", 3)]
+
+
+def test_exact_dedup_stays_in_the_jvm(spark, sf_dir):
+    plan = D.op2_exact_dedup(spark, sf_dir)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def brute_mix(rows, weights=(5, 2, 1), most=3):
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    weight = {s: float(weights[k % len(weights)]) for k, s in enumerate(names)}
+    target, capped = {}, set()
+    while True:
+        free = [s for s in names if s not in capped]
+        rest = sum(total.values()) - sum(most * total[s] for s in capped)
+        share = sum(weight[s] for s in free)
+        target = {s: most * total[s] if s in capped else rest * weight[s] / share for s in names}
+        over = [s for s in free if target[s] > most * total[s] + 1e-9]
+        if not over:
+            break
+        capped |= set(over)
+    taken = {}
+    for s in names:
+        own = []
+        for i, t, x in rows:
+            if x == s:
+                marks = sum((t or "").count(c) for c in M.JUNK)
+                w = size[i] / (size[i] + 10 * marks) if size[i] else 1.0
+                u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+                own.append((-math.log(u) / w, i))
+        epochs = math.floor(target[s] / total[s] + 1e-12) if total[s] else 0
+        rest = math.floor(target[s] - epochs * total[s] + 1e-6)
+        for _, i in sorted(own):
+            part = max(0, min(size[i], rest))
+            rest -= part
+            taken[i] = epochs * size[i] + part
+    return size, total, target, taken
+
+
+def test_mixing(spark):
+    rows = [(i, " ".join(["wörd"] * (i * 7 % 23)) + ("%%% #" if i % 5 == 0 else ""), ["a", "b", "c", "d", None][min(4, i % 9)]) for i in range(200)]
+    rows += [(1000, None, "a"), (1001, "", "e"), (1002, "one\x0btwo\u00a0three", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("taken", F.lit("clash")).repartition(3)
+    out = M.mix(df).collect()
+    size, total, target, taken = brute_mix(rows)
+    assert len(out) == len(rows)
+    for r in out:
+        i, s = r["row"]["doc_id"], r["row"]["source"]
+        assert r["row"]["taken"] == "clash" and r["size"] == size[i] and r["source_size"] == total[s]
+        assert r["target"] == pytest.approx(target[s]) and r["taken"] <= 3 * size[i]
+        assert abs(r["taken"] - taken[i]) <= 1
+    for s in total:
+        assert abs(sum(r["taken"] for r in out if r["row"]["source"] == s) - target[s]) <= 1
+    assert M.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+LISTED = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def brute_url(url):
+    if not url or "://" not in url:
+        return "", "", None, "allow"
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = host.translate({c: c + 32 for c in range(65, 91)})
+    fits = [(len(h + p), h + p, v) for v, h, p in LISTED if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    _, rule, verdict = max(fits, default=(0, None, "allow"))
+    return host, path, rule, verdict
+
+
+def test_url_rules(spark):
+    urls = ["https://A.Example.COM/en/7x?q", "http://example.com/en/8", "ftp://x.net/de/1", "https://b.example.net/de/81#f", "http://notexample.net/de/8", "http://y.org/es/", "http://yorg/es/", "no scheme", None, "", "http://", "http://h?x=/en/", "a://b://c/d", "http://com/en/", "http://ÄX.com/en/é"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    none = U.mine(spark.createDataFrame([], "url string, bad boolean"))
+    out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge(df, none).collect()}
+    assert out == {i: brute_url(u) for i, u in enumerate(urls)}
+
+
+def test_mined_rules(spark):
+    rows = [(f"http://s{i % 9}.spam-farm.example.org/win/{i}", i % 20 != 0) for i in range(100)] + [(f"http://s{i % 9}.good.example.org/win/{i}", False) for i in range(100)]
+    rows += [(f"http://good.example.org/a/{i}?utm=1", None) for i in range(20)]
+    rules = U.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    found = {tuple(r["tokens"]): r["confidence"] for r in rules.collect()}
+    assert found == {("h:spam-farm",): pytest.approx(0.95)}  # longer rules say no more
+    pages = spark.createDataFrame([(1, "http://new.spam-farm.example.org/x"), (2, "http://good.example.org/win/1"), (2, "http://good.example.org/win/1")], "page_id long, url string")
+    assert sorted((r["page_id"], r["verdict"]) for r in U.judge(pages, rules).collect()) == [(1, "block"), (2, "allow"), (2, "allow")]
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_sql(spark, sf_dir, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = registry.QUERIES[name](spark, sf_dir)
+    cursor = c.execute(registry.SQL[name])
+    names = [d[0] for d in cursor.description]
+    want = sorted(tuple(map(str, (r[names.index(c)] for c in found.columns))) for r in cursor.fetchall())
+    assert sorted(tuple(map(str, r)) for r in found.collect()) == want
