@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from meshframe.llm.common import table
 
-#: Entries of a process's tables at most; a table that is full is emptied.
+#: Entries of a process's tables at most; a table that is full is emptied, but for the words of the moment.
 MOST_WORDS, MOST_PIECES, MOST_PAIRS, LONGEST_KEPT = 300_000, 500_000, 400_000, 64
 #: Texts are encoded together up to so many characters.
 TOGETHER = 3_000_000
@@ -219,10 +219,10 @@ class PrefixEncoder(Pieces):
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         lists = [self.words_of(t) for t in texts]
         words, known = self.words, self.known
-        new = set().union(*lists).difference(words)
-        if len(words) + len(new) > MOST_WORDS:
-            words.clear()
-            new = set().union(*lists)
+        here = set().union(*lists)
+        new = here.difference(words)
+        if len(words) + len(new) > MOST_WORDS:  # the words that occur here too are the ones that will again
+            words = self.words = {w: words[w] for w in here.intersection(words)}
         split = {w: self.split_word(w) for w in new}
         pieces = set().union(*split.values())
         missing = pieces.difference(known)
