@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshframe.llm.bpe import Pieces, in_groups
+from meshframe.llm.bpe import MARKS, Pieces, in_groups
 from meshframe.llm.common import partitions, stash, table
 
 MAGIC = b"TOK1"
@@ -107,24 +107,34 @@ class LibraryEncoder(Pieces):
         """Each text's ids as little-endian 32-bit integers."""
         known = self.known
         lists = [self.words_of(t) for t in texts]
-        new = set().union(*lists).difference(known)
-        if len(known) + len(new) > MOST_KNOWN:
-            known.clear()
-            new = set().union(*lists)
-        asked, composed = set(), []
+        here = set().union(*lists)
+        new = here.difference(known)
+        if len(known) + len(new) > MOST_KNOWN:  # the words that occur here too are the ones that will again
+            known = self.known = {w: known[w] for w in here.intersection(known)}
+        asked, composed, odd = set(), [], []
+        ask, compose = asked.add, composed.append
         for word in new:
-            if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
-                asked.add(word)  # a piece by itself
+            start = word[0] == " "
+            if word[start:].isalpha():
+                ask(word)  # a piece by itself
+                continue
+            core = word.rstrip(MARKS)
+            if core[start:].isalpha():  # letters, then marks: two pieces
+                tail = word[len(core) :]
+                compose((word, core, tail))
+                ask(core)
+                ask(tail)
             else:
-                parts = self.split_word(word)
-                composed.append((word, parts))
-                asked.update(parts)
+                odd.append((word, self.pieces(word)))
+                asked.update(odd[-1][1])
         asked = list(asked.difference(known))
         for first in range(0, len(asked), 4096):
             some = asked[first : first + 4096]
             for piece, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[piece] = array("I", coded.ids).tobytes()
-        for word, parts in composed:
+        for word, core, tail in composed:
+            known[word] = known[core] + known[tail]
+        for word, parts in odd:
             known[word] = b"".join([known[x] for x in parts])
         out = [b"".join(map(known.__getitem__, own)) for own in lists]
         for key in [k for k in (*asked, *new) if len(k) > LONGEST_KEPT]:
