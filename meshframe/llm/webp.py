@@ -353,15 +353,17 @@ def _read_fast(bits: Bits, group: list[Code], width: int, height: int) -> np.nda
     jumps: list[tuple[int, int, int, int]] = []  # literals before it, pixels before it, length, distance
     literals = made = 0
     while made < n:
-        window = _window(bits.data, bits.at, BLOCK_BITS + 64)
+        window = _window(bits.data, bits.at, BLOCK_BITS + 64, green.refers)
         size, spans = _token_sizes(window, group)
         own: list[int] = []
         add, p, last = own.append, 0, min(BLOCK_BITS, len(window) - 1)
         if not spans:
             if last < BLOCK_BITS:  # all that is left is here
-                for _ in range(n - made):
-                    add(p)
-                    p += size[p]
+                where = _follow(size, n - made)
+                tokens.append(_literals(window, where, green, red, blue, alpha))
+                bits.at += int(where[-1]) + size[where[-1]]
+                made = n
+                break
             else:
                 while p < last and made + len(own) < n:
                     add(p)
@@ -403,14 +405,38 @@ def _read_fast(bits: Bits, group: list[Code], width: int, height: int) -> np.nda
     return out
 
 
-def _window(data: bytes, start: int, most: int) -> np.ndarray:
-    """For each bit from start on, the 32 bits that follow; zeros behind the end."""
+def _follow(size: bytes, n: int) -> np.ndarray:
+    """The places of n tokens, one behind the other, from place 0 on. Only every fourth is walked to."""
+    one = np.frombuffer(size, np.uint8)
+    place = np.arange(len(one), dtype=np.int32)
+    two = one + one.take(place + one, mode="clip")
+    four = (two + two.take(place + two, mode="clip")).tobytes() if int(two.max()) < 128 else None
+    if four is None:  # long tokens: sums of four may not fit into a byte
+        four = (two.astype(np.int64) + two.take(place + two, mode="clip")).tolist()
+    own: list[int] = []
+    add, p = own.append, 0
+    for _ in range(-(-n // 4)):
+        add(p)
+        p += four[p]
+    first = np.array(own, np.int32)
+    third = first + two[first]
+    out = np.empty((len(first), 4), np.int32)
+    out[:, 0], out[:, 2] = first, third
+    out[:, 1] = first + one[first]
+    out[:, 3] = third + one.take(third, mode="clip")
+    return out.reshape(-1)[:n]
+
+
+def _window(data: bytes, start: int, most: int, wide: bool) -> np.ndarray:
+    """For each bit from start on, the bits that follow (32 if wide, else 17 at least); zeros behind the end."""
     first = start // 8
     raw = np.frombuffer(data[first : first + most // 8 + 8] + b"\0" * 16, np.uint8)
-    words = raw[:-7].astype(np.uint64)
-    for k in range(1, 5):
-        words |= raw[k : len(raw) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
-    return (words[:, None] >> _EIGHT).astype(np.uint32).reshape(-1)[start % 8 :]
+    n, kind = len(raw) - 7, np.uint64 if wide else np.uint32
+    words = raw[:n].astype(kind)
+    for k in range(1, 5 if wide else 3):
+        words |= raw[k : n + k].astype(kind) << kind(8 * k)
+    bits = (words[:, None] >> _EIGHT.astype(kind)).reshape(-1)[start % 8 :]
+    return bits.astype(np.uint32) if wide else bits
 
 
 def _token_sizes(window: np.ndarray, group: list[Code]):
