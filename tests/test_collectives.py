@@ -157,6 +157,20 @@ def test_split_and_translation():
     assert parts[0].local_rank(0) == 2 and parts[0].global_rank(0) == 2
 
 
+def test_custom_reductions(spark):
+    import pandas as pd
+    from pyspark.sql.types import LongType
+
+    @F.pandas_udf(LongType())
+    def largest(values: pd.Series) -> int:
+        return int(values.abs().max())
+
+    b = buffers(spark, 3, 2, (F.col("idx") - 5 * F.col("rank")).cast("bigint"))
+    for op in (largest, lambda v: F.max(F.abs(v))):
+        out = C.allreduce(b, Communicator(3), op, "int64").values.collect()
+        assert {r["idx"]: r["value"] for r in out} == {0: 10, 1: 9}
+
+
 def test_custom_types():
     registry = Registry()
     t = registry.register(16)
