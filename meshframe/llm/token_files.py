@@ -17,6 +17,7 @@ Empty tables give no blocks. A block holds about BLOCK_IDS ids, or one longer do
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -93,24 +94,50 @@ def read_block(block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder(Pieces):
-    """The tokenizers library's ids of texts; each distinct piece goes through the library once."""
+    """The tokenizers library's ids of texts; each distinct piece goes through the library once.
+
+    As in the library, the file's added tokens (such as "<|endoftext|>") are found in a text first, and have their own
+    ids; words are cut from what lies between.
+    """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
         super().__init__(pattern)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items() if t.content}
+        #: Tokens that look at, or take in, what stands around them are left to the library.
+        self.plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values())
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.known: dict[str, bytes] = dict(self.added)
+
+    def parts_of(self, text: str) -> list[str]:
+        """The text's words, with the added tokens between them."""
+        if self.cut is None or not self.cut.search(text):
+            return self.words_of(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [*self.words_of(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + self.words_of(text[at:])
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
+        if not self.plain:
+            own = {i: self.whole(t) for i, t in enumerate(texts) if self.cut.search(t)}
+            if own:
+                rest = iter(self.encode_many([t for i, t in enumerate(texts) if i not in own]))
+                return [own[i] if i in own else next(rest) for i in range(len(texts))]
         known = self.known
-        lists = [self.words_of(t) for t in texts]
+        lists = [self.parts_of(t) for t in texts]
         here = set().union(*lists)
         new = here.difference(known)
         if len(known) + len(new) > MOST_KNOWN:  # the words that occur here too are the ones that will again
-            known = self.known = {w: known[w] for w in here.intersection(known)}
+            known = self.known = {w: known[w] for w in here.intersection(known)} | self.added
         asked, composed, odd = set(), [], []
         ask, compose = asked.add, composed.append
         for word in new:

@@ -104,6 +104,33 @@ def test_op10(spark, sf_dir):
     assert len(out) == len(texts)
 
 
+def test_added_tokens_are_those_of_the_library(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [*ODD, end, f"{end} x a{end}b", f"a b {end}{end}\n", f" {end} ", "<|endoftext| > <|endof", f"x.{end}, the {end[:-1]}{end}"] * 2
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = T.LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert want[len(ODD) + 1] == [50256, 2124, 257, 50256, 65]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_many(texts)] == want
+    monkeypatch.setattr(T, "MOST_KNOWN", 3)
+    assert [np.frombuffer(encoder.encode_many([t])[0], "<u4").tolist() for t in texts] == want
+    out = T.read_tokens(T.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in sorted(out, key=lambda r: r["start"])] == [(len(i) + 1, zlib.crc32(np.array([*i, 0], "<u4").tobytes())) for i in want]
+
+
+def test_added_tokens_that_take_in_spaces(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.add_special_tokens([AddedToken("<s>", lstrip=True, rstrip=True), AddedToken("<word>", single_word=True)])
+    tokenizer.save(str(tmp_path / "t.json"))
+    texts = ["a  <s>  b", "x<word>y <word> z", "plain text", "<|endoftext|> <s>a"]
+    encoder = T.LibraryEncoder(str(tmp_path / "t.json"), P.PATTERN)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_many(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_small_blocks_nulls_and_ties(spark):
     df = spark.createDataFrame([(3, "c d"), (1, None), (2, ""), (3, "a"), (None, "n"), (9, "z " * 50)], "doc_id long, text string")
     out = T.read_tokens(T.write_tokens(df, block_ids=3)).collect()
