@@ -22,7 +22,6 @@ import re
 import sys
 import zlib
 from array import array
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -169,31 +168,47 @@ def tokens_of(text: str) -> list[str]:
 def seeds(docs: list[tuple[list[str], int]]) -> set[str]:
     """Features that mark toxic documents: at three places at least, at twenty times the clean documents' rate.
 
-    A place in a toxic document is a feature with the tokens before and after it, so that near copies of a document
-    count once. Only features that pass by their number alone have their places looked at.
+    A place is a feature with the tokens before and after it, so that near copies of a document count once, toxic or
+    clean. Clean places are counted for the features that would pass without any.
     """
-    tokens_seen: tuple[Counter, Counter] = (Counter(), Counter())
+    number: dict[str, int] = {"": 0}  # the empty token stands between documents
+    texts = (array("i", [0]), array("i", [0]))
     totals = [0, 0]
     for tokens, label in docs:
         totals[label] += 1
-        tokens_seen[label].update(tokens)
+        texts[label].extend([number.setdefault(t, len(number)) for t in tokens])
+        texts[label].append(0)
     share = totals[1] / sum(totals)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for label in (0, 1):
-        for token, k in tokens_seen[label].items():
-            for name in _seed_features(token):
-                seen[label][name] += k
-    likely = {n for n, k in seen[1].items() if k >= 3 and _marks(k, seen[0][n], share)}
-    names = {t: found for t in tokens_seen[1] if (found := [n for n in _seed_features(t) if n in likely])}
-    places: dict[str, set[int]] = {n: set() for n in likely}
-    for tokens, label in docs:
-        if label:
-            for i, token in enumerate(tokens):
-                if token in names:
-                    place = hash((tokens[i - 1] if i else "", tokens[i + 1] if i + 1 < len(tokens) else ""))
-                    for name in names[token]:
-                        places[name].add(place)
-    return {n for n, k in places.items() if len(k) >= 3 and _marks(len(k), seen[0][n], share)}
+    columns, names = [array("i"), array("i"), array("i"), array("i")], {}
+    for token in number:
+        found = _seed_features(token)
+        for k, column in enumerate(columns):
+            column.append(names.setdefault(found[k], len(names)) if k < len(found) else -1)
+    name_of = [np.frombuffer(c, np.int32) for c in columns]
+    toxic = _places(texts[1], name_of, np.ones(len(names), bool))
+    likely = np.array([k >= 3 and _marks(k, 0, share) for k in toxic.tolist()], bool)
+    clean = _places(texts[0], name_of, likely)
+    return {n for n, i in names.items() if likely[i] and _marks(int(toxic[i]), int(clean[i]), share)}
+
+
+def _places(text: array, name_of: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """How many distinct pairs of neighbours each wanted feature has in texts of token numbers, 0 between documents.
+
+    name_of: the features of each token, -1 for none. Each column of it has features that the others don't have.
+    """
+    counts = np.zeros(len(wanted), np.int64)
+    ids = np.frombuffer(text, np.int32)
+    for column in name_of:
+        name = np.where((column >= 0) & wanted[column], column, -1)[ids] if len(wanted) else np.zeros(0, np.int32)
+        for part in range(8):  # an eighth of the features at a time takes little memory
+            at = np.flatnonzero((name & 7 == part) & (name >= 0))
+            own, place = name[at], ids[at - 1].astype(np.int64) << 32 | ids[at + 1]
+            order = np.lexsort((place, own))
+            own, place = own[order], place[order]
+            first = np.ones(len(own), bool)
+            first[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1])
+            counts += np.bincount(own[first], minlength=len(wanted))
+    return counts
 
 
 def _marks(toxic: int, clean: int, share: float) -> bool:

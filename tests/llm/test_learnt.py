@@ -96,6 +96,33 @@ def test_windows_agree_with_the_whole_chain():
     assert all(abs(whole[i] - p) < 1e-4 for i, p in found.items()) and all(p < 1e-4 for i, p in enumerate(whole) if i not in found)
 
 
+def _seeds_by_sets(docs):
+    """As seeds(), from sets of (before, after) for each feature on both sides."""
+    seen, totals = ({}, {}), [0, 0]
+    for tokens, label in docs:
+        totals[label] += 1
+        for before, token, after in zip(["", *tokens], tokens, [*tokens[1:], ""], strict=False):
+            for name in X._seed_features(token):
+                seen[label].setdefault(name, set()).add((before, after))
+    share = totals[1] / sum(totals)
+    return {n for n, k in seen[1].items() if len(k) >= 3 and X._marks(len(k), len(seen[0].get(n, ())), share)}
+
+
+def test_near_copies_of_a_clean_document_count_once():
+    words = [f"w{i}" for i in range(300)]
+    rng = np.random.default_rng(4)
+    text = lambda n: [words[i] for i in rng.integers(0, 300, n)]
+    clean = [(text(60), 0) for _ in range(200)]
+    base = text(80)
+    clean += [([*base[:40], "Scumbag,", *base[40:], f"copy{i}"], 0) for i in range(300)]  # near copies, one word each
+    toxic = [([*text(20), "scumbag" if i % 2 else "Scumbag,", *text(20)], 1) for i in range(120)]
+    docs = clean + toxic
+    found = X.seeds(docs)
+    assert found == _seeds_by_sets(docs)
+    assert "w=scumbag" in found and "p=scum" in found and not any("w=w" in n for n in found)
+    assert X.seeds([([], 0), ([], 1)]) == set() and X.seeds([(["1"], 0), (["2", "3"], 1)]) == set()
+
+
 def test_spans():
     text = "Ein  wörd scum trash.\nend"
     assert X.spans(text, {2: 0.9, 3: 0.8, 4: 0.1}) == [{"start": 10, "end": 21, "marginal": 0.9}]
