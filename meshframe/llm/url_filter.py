@@ -17,7 +17,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.llm.common import is_held_out, table
+from meshframe.llm.common import is_held_out, stash, table
 
 #: (verdict, host, path), as the query's contract states them.
 LISTED = (
@@ -28,7 +28,7 @@ LISTED = (
     ("block", "org", "/es/"),
 )
 #: Support as a share of the labelled URLs, and as a count, below which a rule is chance.
-SUPPORT, LEAST_ROWS, CONFIDENCE, LONGEST = 0.001, 20, 0.6, 4
+SUPPORT, LEAST_ROWS, CONFIDENCE = 0.001, 20, 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LABEL = "y:bad"
 
@@ -57,32 +57,48 @@ def tokens(url: str) -> Column:
     steps = F.transform(steps, lambda x, i: F.concat(F.lit("p"), (i + 1).cast("string"), F.lit(":"), F.regexp_replace(x, r"\d+", "#")))
     query = F.regexp_extract(_rest(url), r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.regexp_extract(x, r"^[^=]*", 0)))
-    return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(names, site, steps, keys)))
+    extension = F.lower(F.regexp_extract("path", r"/[^/]*\.([A-Za-z][A-Za-z0-9]*)$", 1))
+    kind = F.when(extension != "", F.array(F.concat(F.lit("e:"), extension))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(names, site, steps, kind, keys)))
 
 
 def parsed(urls: DataFrame, url: str) -> DataFrame:
     return urls.withColumn("host", host(url)).withColumn("path", path(url)).withColumn("tokens", tokens(url))
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float = SUPPORT, least_rows: int = LEAST_ROWS, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float = SUPPORT, least_rows: int = LEAST_ROWS, confidence: float = CONFIDENCE) -> DataFrame:
     """(tokens, confidence, support, filed_under) of the rules for bad URLs, from (url, bad boolean)."""
     known = parsed(labelled.where(F.col(bad).isNotNull()).select(F.col(url).alias("__url"), F.col(bad).alias("__bad")), "__url").where(F.size("tokens") > 0)
     baskets = known.select(F.when(F.col("__bad"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items"))
     support = min(1.0, max(support, least_rows / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    # Without a threshold on the confidence every subset of a rule's tokens is there, and the best one is carried up.
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(baskets)
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = model.associationRules.where((F.col("consequent")[0] == LABEL) & (F.size("antecedent") <= longest))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    # A longer rule must be more confident than every rule on a subset of its tokens: subsets are met by equality.
-    part = F.transform(F.sequence(F.lit(1), F.lit((1 << longest) - 1)), lambda bits: F.filter(F.col("tokens"), lambda t, i: F.getbit(bits, i) == 1))
-    subsets = rules.select("tokens", "confidence", F.explode(F.array_distinct(part)).alias("subset")).where(F.size("subset") < F.size("tokens"))
-    weaker = rules.select(F.col("tokens").alias("subset"), F.col("confidence").alias("other"))
-    beaten = subsets.join(weaker, "subset").where("other >= confidence").select("tokens").distinct()
-    rules = rules.join(beaten, "tokens", "left_anti")
+    rules = model.associationRules.where(F.col("consequent")[0] == LABEL)
+    rules = stash(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
+    rules = _unbeaten(rules).where(F.col("confidence") >= confidence)
     rare = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min_by("token", F.struct("freq", "token")).alias("filed_under"))
     return rules.join(rare, "tokens")
 
 
+def _unbeaten(rules: DataFrame) -> DataFrame:
+    """The rules that are more confident than every rule on a proper subset of their tokens.
+
+    Rules of one length meet those with one token less, which bring the highest confidence among their own subsets.
+    """
+    longest = rules.agg(F.max(F.size("tokens"))).first()[0] or 0
+    own = rules.where(F.size("tokens") == 1)
+    stay, carried = own, own.select("tokens", F.col("confidence").alias("best"))
+    for length in range(2, longest + 1):
+        own = rules.where(F.size("tokens") == length)
+        less = own.select("tokens", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("less"))
+        below = less.join(carried.withColumnRenamed("tokens", "less"), "less").groupBy("tokens").agg(F.max("best").alias("below"))
+        met = stash(own.join(below, "tokens", "left"), "rules")
+        stay = stay.union(met.where("below is null or confidence > below").select(stay.columns))
+        carried = met.select("tokens", F.greatest("confidence", "below").alias("best"))
+    return stay
+
+
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", ident: str = "page_id", listed=LISTED) -> DataFrame:
     """ident, host, path, rule, verdict and the mined rule that decided, for every row of urls."""
     pages = parsed(urls.select(F.col(ident).alias("ident"), F.col(url).alias("__url")), "__url")

@@ -136,6 +136,39 @@ def test_mined_rules(spark):
     assert sorted((r["page_id"], r["verdict"]) for r in U.judge(pages, rules).collect()) == [(1, "block"), (2, "allow"), (2, "allow")]
 
 
+def test_rules_of_any_length(spark):
+    """Only all six tokens together tell the bad URLs; rules stay as brute force over all subsets has it."""
+    steps = ["a", "b", "c", "d", "e"]
+    rows = []
+    for i in range(240):
+        off = i % 8  # one of the six is missing, or none
+        url = f"http://x/{'/'.join('z' if off == k else s for k, s in enumerate(steps))}{'' if off == 5 else '?key=1'}"
+        rows.append((url, off > 5))
+    rules = U.mine(spark.createDataFrame(rows, "url string, bad boolean"), confidence=0.3)
+    found = {tuple(r["tokens"]): r["confidence"] for r in rules.collect()}
+    whole = tuple(sorted([*(f"p{k + 1}:{s}" for k, s in enumerate(steps)), "q:key"]))
+    assert found[whole] == 1.0 and max(map(len, found)) == 6
+
+    sets = [({r["tokens"][i] for i in range(len(r["tokens"]))}, b) for (u, b), r in zip(rows, U.parsed(spark.createDataFrame(rows, "url string, bad boolean"), "url").collect(), strict=True)]
+    every = sorted(set().union(*(s for s, _ in sets)))
+    conf = {}
+    for bits in range(1, 1 << len(every)):
+        part = tuple(t for k, t in enumerate(every) if bits >> k & 1)
+        hit = [b for s, b in sets if s.issuperset(part)]
+        if sum(hit) >= 20:
+            conf[part] = sum(hit) / len(hit)
+    want = {a: c for a, c in conf.items() if c >= 0.3 and not any(o >= c for b, o in conf.items() if len(b) < len(a) and set(b) < set(a))}
+    assert found == pytest.approx(want)
+    pages = spark.createDataFrame([(1, "http://x/a/b/c/d/e?key=2"), (2, "http://y/a/q/r/s/t")], "page_id long, url string")
+    assert [r["verdict"] for r in U.judge(pages, rules.where("confidence = 1")).orderBy("page_id").collect()] == ["block", "allow"]
+
+
+def test_extension_tokens(spark):
+    urls = ["http://h/a/b.PDF?x.y", "http://h/a.b/c", "http://h.com", "http://h/.tar.gz#k", "http://h/v1.2"]
+    rows = U.parsed(spark.createDataFrame(list(enumerate(urls)), "i long, url string"), "url").orderBy("i").collect()
+    assert [[t for t in r["tokens"] if t[:2] == "e:"] for r in rows] == [["e:pdf"], [], [], ["e:gz"], []]
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
