@@ -14,25 +14,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the one set on the context.
+
+    Where neither is set, one machine's temporary folder serves a local session; on a cluster it would not be shared, so
+    there it is an error.
+    """
+    global _own_dir
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="meshframe-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = known.get() if known.isDefined() else None
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = _own_dir = _own_dir or tempfile.mkdtemp(prefix="meshframe-")
     return path.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
+class Scratch:
+    """Tables written into the shared folder to cut the lineage, and their removal.
 
     Parquet rather than checkpoint() where columns are wide: it is compressed, and later reads prune columns.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stash(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, keep: int = 0) -> None:
+        """Removes all tables but the last `keep`, which the caller still reads."""
+        gone = self.paths[: len(self.paths) - keep]
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in gone:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)
+        self.paths = self.paths[len(gone) :]
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """A table that stays as long as the shared folder does."""
+    return Scratch(df.sparkSession).stash(df, label)
 
 
 def partitions(spark: SparkSession) -> int:

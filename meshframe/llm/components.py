@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step sends every node's neighbours to the smallest node it knows; both are grouped minima and equi-joins, so no
-component meets in one task. The state after each round is written to the shared folder. Only two numbers a round, to
-see whether anything changed, come to the driver.
+component meets in one task. The state after each round is written to the shared folder and the one before is removed.
+Only two numbers a round, to see whether anything changed, come to the driver.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.llm.common import stash, tasks_for
-
+from meshframe.llm.common import Scratch, tasks_for
 
 #: Edges for each task.
 EACH = 100_000
@@ -30,17 +29,20 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return near.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(n)
 
 
-def connected_components(edges: DataFrame, rows: int) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
     """(node, component): for edges (a, b), each node but the smallest of its component, with that smallest.
 
-    rows: about how many edges there are.
+    rows: about how many edges there are. The result is the last table of scratch.
     """
-    state = stash(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct().coalesce(tasks_for(edges.sparkSession, rows, EACH)), "edges")
+    own = Scratch(edges.sparkSession)
+    state = own.stash(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct().coalesce(tasks_for(edges.sparkSession, rows, EACH)), "edges")
     seen = None
     while True:
         mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
+            scratch.paths += own.paths
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = mark
         n = tasks_for(edges.sparkSession, mark[0], EACH)
-        state = stash(_small_star(_large_star(state, n), n), "edges")
+        state = own.stash(_small_star(_large_star(state, n), n), "edges")
+        own.remove(keep=1)

@@ -1,7 +1,15 @@
-"""Five-word shingles as 64-bit hashes, HyperMinHash registers and their bands, in numpy over whole Arrow batches."""
+"""Five-word shingles as 64-bit hashes, HyperMinHash registers and their bands, in numpy.
+
+Words are hashed by BLAKE2, so that no pattern of letters makes two words alike; a set is known by 128 bits of BLAKE2
+over its sorted hashes.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -10,19 +18,29 @@ BUCKET_BITS, MANTISSA_BITS = 8, 10
 REGISTERS = 1 << BUCKET_BITS
 BAND_ROWS = 5
 BANDS = REGISTERS // BAND_ROWS
-#: Documents are hashed together in pieces of about so many bytes.
-PIECE = 1 << 20
+#: A text is cut into words in pieces of about so many bytes; and shingles go on in groups of about so many.
+PIECE, GROUP = 1 << 21, 1 << 17
+#: Words whose hashes are remembered, and the longest of them in bytes.
+MOST_KNOWN, LONGEST_KNOWN = 300_000, 48
 
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C55
 _PLACE = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A random order of the buckets for each bucket: an empty bucket takes the register of the first filled one in its order.
 _ORDER = np.argsort(_rng.random((REGISTERS, REGISTERS)), axis=1).argsort(axis=1).astype(np.uint16)
-_powers: list[np.ndarray] = []
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+class _Known(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONGEST_KNOWN:
+            if len(self) >= MOST_KNOWN:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_known = _Known()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -31,80 +49,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base, and of its inverse modulo 2**64, up to n at least."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, PIECE + 1)
-        with np.errstate(over="ignore"):
-            up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers
-
-
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A string column's bytes and offsets; nulls are empty."""
-    if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
-
-
-def pieces(offsets: np.ndarray, most: int = PIECE):
-    """(first, end) of runs of documents of about so many bytes; a longer document is a run of its own."""
-    first = 0
-    while first < len(offsets) - 1:
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        yield first, end
-        first = end
-
-
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each document, sorted: (hashes one after another, offsets)."""
-    n_docs, base = len(offsets) - 1, int(offsets[0])
-    part, at = data[base : int(offsets[-1])], offsets - base
-    with np.errstate(over="ignore"):
-        inside = np.zeros(len(part) + 2, bool)
-        inside[1:-1] = ~_SPACE[part]
-        here, before, after = inside[1:-1], inside[:-2].copy(), inside[2:].copy()
-        edges = at[1:-1]
-        before[edges[edges < len(part)]] = False
-        after[edges[edges > 0] - 1] = False
-        starts, ends = np.flatnonzero(here & ~before), np.flatnonzero(here & ~after) + 1
-        up, down = _power_tables(len(part))
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * down[: len(part)], out=sums[1:])
-        words = _mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
-        doc = np.searchsorted(at, starts, "right") - 1
-        counts = np.bincount(doc, minlength=n_docs)
-        first = np.concatenate(([0], np.cumsum(counts)))
-        if len(words) >= WIDTH:
-            n = len(words) - WIDTH + 1
-            mixed = np.zeros(n, np.uint64)
-            for k in range(WIDTH):
-                mixed += words[k : k + n] * _PLACE[k]
-            whole = doc[:n] == doc[WIDTH - 1 :]
-            hashes, owner = _mix(mixed[whole]), doc[:n][whole]
-        else:
-            hashes, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        lengths = np.bincount(owner, minlength=n_docs)
-        bounds = np.concatenate(([0], np.cumsum(lengths)))
-        out, sizes = [], np.zeros(n_docs, np.int64)
-        for i in range(n_docs):
-            if counts[i] >= WIDTH:
-                own = hashes[bounds[i] : bounds[i + 1]]
-                own.sort()
-                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-            elif counts[i]:
-                few = words[first[i] : first[i + 1]]
-                own = _mix((few * _PLACE[: len(few)]).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(few)))
-            else:
-                continue
-            sizes[i] = len(own)
-            out.append(own)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(sizes)))
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, A-Z as a-z; a long text is cut at white space, so that few words are held at once."""
+    parts, at = [], 0
+    while at < len(text):
+        space = _SPACE.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = space.end() if space else len(text)
+        words = text[at:end].lower().split()
+        parts.append(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct shingles of a text, sorted; with fewer than WIDTH words the whole sequence is the only one."""
+    words = word_hashes(text)
+    if len(words) >= WIDTH:
+        n = len(words) - WIDTH + 1
+        mixed = words[:n] * _PLACE[0]
+        for k in range(1, WIDTH):
+            mixed += words[k : k + n] * _PLACE[k]
+        hashes = _mix(mixed)
+        hashes.sort()
+        return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))]
+    if len(words):
+        return _mix((words * _PLACE[: len(words)]).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(words)))
+    return words
+
+
+def digest(hashes: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit halves of the set's digest."""
+    both = blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
+
+
+def grouped(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets) of runs of texts with about GROUP shingles; a null text has no shingles."""
+    first, sets, held = 0, [], 0
+    for i, value in enumerate(column.cast(pa.large_binary())):
+        sets.append(shingle_set(value.as_py() or b""))
+        held += len(sets[-1])
+        if held >= GROUP:
+            yield first, sets
+            first, sets, held = i + 1, [], 0
+    if sets:
+        yield first, sets
 
 
 def registers(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import corpus_pipeline
 from meshframe.llm import near_dedup as N
 from meshframe.llm import shingles as sh
+from meshframe.llm.common import Scratch
 from meshframe.llm.components import connected_components
 
 
@@ -45,14 +46,25 @@ def edited(rng, words, n):
 
 def test_sets_and_registers():
     texts = ["", None, "one", "a b c d", "A b\tc\x0bd e F", "x y " * 300, "é ß\u00a0x y z w", "a b c d e f g" * 50]
-    data, offsets = sh.utf8(pa.array(texts))
-    hashes, at = sh.shingle_hashes(data, offsets)
-    assert np.diff(at).tolist() == [len(shingle_set(t)) for t in texts]
-    regs = sh.registers(hashes, at)
+    groups = list(sh.grouped(pa.array(["pad", *texts])[1:]))
+    sets = [x for _, some in groups for x in some]
+    assert [len(x) for x in sets] == [len(shingle_set(t)) for t in texts]
+    regs = sh.registers(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))))
     assert (regs[0] == 0).all() and np.count_nonzero(regs[2]) == 1
-    sliced = pa.array(["pad", *texts])[1:]
-    again, at2 = sh.shingle_hashes(*sh.utf8(sliced))
-    assert (again == hashes).all() and (at2 == at).all()
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    text = " ".join(f"w{i * i}" for i in range(3000)).encode()
+    whole = sh.word_hashes(text)
+    monkeypatch.setattr(sh, "PIECE", 50)
+    assert (sh.word_hashes(text) == whole).all() and (sh.word_hashes(b"x" * 500) == sh.word_hashes(b"X" * 500)).all()
+
+
+def test_words_of_a_pattern_differ():
+    """Thue-Morse words and their complements are alike under polynomials modulo a power of two."""
+    plain = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    other = plain.translate(str.maketrans("ab", "ba"))
+    assert sh.word_hashes(plain.encode())[0] != sh.word_hashes(other.encode())[0]
 
 
 def test_estimates_are_near():
@@ -70,7 +82,7 @@ def test_estimates_are_near():
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 30)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
-    out = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), len(edges)).collect()}
+    out = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), len(edges), Scratch(spark)).collect()}
     parent = list(range(200))
 
     def find(x):
@@ -82,7 +94,7 @@ def test_components(spark):
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
     assert out == {i: find(i) for e in edges for i in e if find(i) != i}
-    assert connected_components(spark.createDataFrame([], "a long, b long"), 0).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long"), 0, Scratch(spark)).count() == 0
 
 
 def test_near_duplicates(spark):
@@ -111,6 +123,43 @@ def test_near_duplicates_without_identifiers(spark):
     assert N.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copies_around_a_bad_hub(spark, monkeypatch):
+    """A large group whose members lie around the threshold from each other: every link, and few pairs formed."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = [edited(rng, base, rng.choice([9, 10, 11, 12])) for _ in range(40)] + [edited(rng, base, rng.choice([2, 4, 6, 7])) for _ in range(160)]
+    rows = list(enumerate(texts))
+    formed = []
+    across = N._across
+    monkeypatch.setattr(N, "_across", lambda *a: formed.append(across(*a)) or formed[-1])
+    monkeypatch.setattr(N, "WORTHWHILE", 0)  # one hub round only, so that the filter has to find the rest
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(df).collect()}
+    assert out == brute(rows)
+
+
+def test_no_links_no_pairs(spark, monkeypatch):
+    """Copies that all differ too much from each other: pairs would be tens of thousands."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(200)]
+    rows = list(enumerate(edited(rng, base, 9) for _ in range(300)))
+    counts = []
+    verified = N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *a: counts.append(pairs.count()) or verified(pairs, *a))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(df).collect()}
+    assert out == brute(rows)
+    assert sum(counts) < 20 * len(rows), counts
+
+
+def test_repeated_identifiers_and_other_columns(spark):
+    long = " ".join(f"x{i}" for i in range(60))
+    rows = [(7, "a b c d e f g", "u"), (7, long, None), (3, "a b c d e f g", "v"), (9, long + " y", "w"), (7, long, None), (1, None, "z"), (2, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_key string").withColumnRenamed("text_key", "kept")
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in N.near_duplicates(df).collect())
+    assert out == [(1, 0, 1, True), (2, 0, 2, True), (3, 3, 3, True), (7, 3, 3, False), (7, 56, 7, True), (7, 56, 7, True), (9, 57, 7, False)]
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage on its predecessor's rows, held against what brute force keeps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
