@@ -7,7 +7,9 @@ of training rows that were left out of the fit give the isotonic calibration.
 
 Nulls: a null text is empty; an empty text has a vector of its own and a score like any other. The training rows are a
 bounded sample (MOST_ROWS for each label), in at most FIT_PARTITIONS partitions. Without rows of both labels every score
-is the share of good rows. Repeated rows get a result each; empty tables give empty results.
+is the share of good rows. Ties: training rows of one score are pooled, so that a score has one calibrated value; equal
+texts get equal scores. A very long text is read whole; its words are held at once. Repeated rows get a result each.
+Columns other than text and identifier are not looked at. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -81,11 +83,15 @@ class Kernel:
 
 
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pools adjacent violators: (scores, probabilities) to interpolate between, each pool smoothed by half a row."""
-    order = np.argsort(scores, kind="stable")
+    """Pools adjacent violators: (scores, probabilities) to interpolate between, each pool smoothed by half a row.
+
+    Rows of one score are one pool from the start.
+    """
+    distinct, which = np.unique(scores, return_inverse=True)
+    sums, sizes = np.bincount(which, y, len(distinct)), np.bincount(which, minlength=len(distinct)).astype(float)
     pools: list[list[float]] = []
-    for s, v in zip(scores[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([v, 1.0, s, s])
+    for s, v, n in zip(distinct.tolist(), sums.tolist(), sizes.tolist(), strict=True):
+        pools.append([v, n, s, s])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             v2, n2, _, high = pools.pop()
             pools[-1][0] += v2
