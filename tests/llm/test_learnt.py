@@ -23,6 +23,8 @@ def test_isotonic():
     s, y = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6]), np.array([0, 1, 0, 0, 1, 1.0])
     xs, ps = Q.isotonic(s, y)
     assert (np.diff(ps) >= 0).all() and (np.diff(xs) >= 0).all()
+    tied, p = Q.isotonic(np.array([0.5, 0.5, 0.5, 0.9]), np.array([0, 1, 1, 1.0]))
+    assert np.interp(0.5, tied, p) == pytest.approx(2.5 / 4) and len(set(tied.tolist())) == 2
     assert np.interp(0.25, xs, ps) == pytest.approx((1 + 0.5) / 4) and np.interp(0.05, xs, ps) < 0.3
 
 
@@ -42,24 +44,39 @@ def test_statistics_of_odd_texts():
         assert len(v) == size and all(map(math.isfinite, v))
 
 
-def accuracy(spark, larger, out, label):
+def judged(spark, larger, out, label):
+    """(label, predicted, score) of the labelled rows that are held out."""
     labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
-    judged = [(labels[r["doc_id"]], r["predicted"]) for r in out if r["held_out"] and r["doc_id"] in labels]
-    return sum(a == b for a, b in judged) / len(judged)
+    rows = [(labels[r["doc_id"]], r["predicted"], r["score"]) for r in out if r["held_out"] and r["doc_id"] in labels]
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+
+def auc(y, score):
+    """The share of pairs of a row of either label in which the one of label 1 scores higher; ties are half."""
+    a, b = score[y == 1][:, None], score[y == 0][None]
+    return float(((a > b) + 0.5 * (a == b)).mean())
 
 
 def test_op6(spark, larger):
     out = Q.op6_quality(spark, larger).collect()
     assert len(out) == spark.read.parquet(f"{larger}/documents.parquet").count()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
-    assert accuracy(spark, larger, out, "quality") > 0.93
+    y, predicted, score = judged(spark, larger, out, "quality")
+    assert (y == predicted).mean() > 0.93 and auc(y, score) > 0.95
+    # Calibrated: of the rows scored in a range, about as many are good as the scores say.
+    for low, high in ((0.0, 0.5), (0.5, 1.01)):
+        some = (score >= low) & (score < high)
+        assert abs(y[some].mean() - score[some].mean()) < 0.12
 
 
 def test_op7(spark, larger):
     out = X.op7_toxicity(spark, larger).collect()
     assert len(out) == spark.read.parquet(f"{larger}/documents.parquet").count()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out)
-    assert accuracy(spark, larger, out, "toxic") > 0.9
+    y, predicted, score = judged(spark, larger, out, "toxic")
+    both = (y * predicted).sum()
+    # A third of the rows labelled toxic here have no word that is; 37 toxic rows are learnt from.
+    assert both / predicted.sum() >= 0.85 and both / y.sum() >= 0.6 and auc(y, score) > 0.8
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{larger}/documents.parquet").collect()}
     found = [texts[r["doc_id"]][s["start"] : s["end"]] for r in out for s in r["spans"]]
     assert any("idiot" in f for f in found)
@@ -74,26 +91,65 @@ def test_without_labels_every_score_is_the_same(spark):
     assert X.toxicity(docs.limit(0), X.learn(docs, none)).count() == 0
 
 
+def chain_of(rng, fit=(1.0, 0.0, 0.0)):
+    trans = rng.normal(size=(2, 2))
+    return X.Chain(rng.normal(size=1 << X.HASH_BITS), trans - trans[0, 0], 0.7, fit)
+
+
+def plain_marginals(chain, e):
+    """Forward-backward token by token."""
+    m = np.exp(chain.trans)
+    forward, backward = [np.array([1.0, math.exp(chain.start + e[0])])], [np.ones(2)]
+    for x in e[1:]:
+        a = forward[-1] @ m * (1.0, math.exp(x))
+        forward.append(a / a.sum())
+    for x in e[:0:-1]:
+        b = m @ (backward[-1] * (1.0, math.exp(x)))
+        backward.append(b / b.sum())
+    p = np.array(forward) * np.array(backward[::-1])
+    return p[:, 1] / p.sum(1)
+
+
 def test_marginals_are_those_of_all_sequences():
     rng = np.random.default_rng(3)
-    chain = X.Chain(np.zeros(1 << X.HASH_BITS), rng.normal(size=(2, 2)), 0.0, 1.0, 0.0)
-    e = rng.normal(size=7).tolist()
+    chain = chain_of(rng)
+    e = rng.normal(size=7)
     total, hit = 0.0, np.zeros(7)
     for states in product((0, 1), repeat=7):
-        w = math.exp(sum(x for x, s in zip(e, states, strict=True) if s) + sum(chain.trans[a, b] for a, b in zip(states, states[1:], strict=False)))
+        w = math.exp(chain.start * states[0] + sum(x for x, s in zip(e, states, strict=True) if s) + sum(chain.trans[a, b] for a, b in zip(states, states[1:], strict=False)))
         total += w
         hit += w * np.array(states)
-    assert np.allclose(chain.marginals(e), hit / total)
+    assert np.allclose(1 / (1 + np.exp(-chain.log_odds(e, np.array([7])))), hit / total)
+    assert np.allclose(plain_marginals(chain, e), hit / total)
 
 
-def test_windows_agree_with_the_whole_chain():
-    weights = np.full(1 << X.HASH_BITS, 0.0)
-    chain = X.Chain(weights, np.array([[0.0, -1.0], [-0.5, 0.8]]), 0.0, 1.0, 0.0)
-    tokens = [f"w{i}" for i in range(200)]
-    chain.known = {t: -12.0 for t in tokens} | {"w50": 3.0, "w51": 1.0, "w120": 2.0}
-    _, found = chain.tag(tokens)
-    whole = chain.marginals([chain.known[t] for t in tokens])
-    assert all(abs(whole[i] - p) < 1e-4 for i, p in found.items()) and all(p < 1e-4 for i, p in enumerate(whole) if i not in found)
+def test_texts_side_by_side_are_as_by_themselves(monkeypatch):
+    rng = np.random.default_rng(4)
+    chain = chain_of(rng)
+    parts = [rng.normal(-3, 3, n) for n in (1, 700, 2, 64, 65, 300, 0, 5)]
+    for together in (1 << 18, 100, 64, 1):
+        monkeypatch.setattr(X, "TOGETHER", together)
+        odds = chain.log_odds(np.concatenate(parts), np.cumsum([len(p) for p in parts]))
+        whole = np.concatenate([plain_marginals(chain, p) for p in parts if len(p)])
+        assert np.allclose(1 / (1 + np.exp(-odds)), whole, atol=1e-9)
+
+
+def test_scores_are_those_of_the_whole_chain(spark, sf_dir):
+    """All documents: the query's scores against forward-backward in plain Python over all tokens."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    chain = X.learn(docs.select("doc_id", "text"), labels)
+    got = {r["doc_id"]: r for r in X.toxicity(docs, X.Chain(*chain.parts())).collect()}
+    weights = chain.weights.astype(np.float32).astype(float)
+    for r in docs.collect():
+        tokens = (r["text"] or "").split()
+        any_odds = -X.MOST_LOG
+        if tokens:
+            p = plain_marginals(chain, [max(-30.0, min(30.0, sum(weights[f] for f in X.token_features(t)))) for t in tokens])
+            none = float(np.log1p(-np.minimum(p, 1 - 1e-16)).sum())
+            any_odds = max(-X.MOST_LOG, min(X.MOST_LOG, math.log(-math.expm1(none)) - none if none > -700 else X.MOST_LOG))
+            assert len(got[r["doc_id"]]["spans"]) == sum(a and not b for a, b in zip(p >= 0.5, [False, *(p[:-1] >= 0.5)], strict=True))
+        x = chain.fit @ (any_odds, math.log1p(len(tokens)), 1)
+        assert abs(got[r["doc_id"]]["score"] - 1 / (1 + math.exp(-x))) < 1e-6
 
 
 def _seeds_by_sets(docs):
@@ -108,7 +164,7 @@ def _seeds_by_sets(docs):
     return {n for n, k in seen[1].items() if len(k) >= 3 and X._marks(len(k), len(seen[0].get(n, ())), share)}
 
 
-def test_near_copies_of_a_clean_document_count_once():
+def test_near_copies_of_a_clean_document_count_once(spark):
     words = [f"w{i}" for i in range(300)]
     rng = np.random.default_rng(4)
     text = lambda n: [words[i] for i in rng.integers(0, 300, n)]
@@ -117,13 +173,42 @@ def test_near_copies_of_a_clean_document_count_once():
     clean += [([*base[:40], "Scumbag,", *base[40:], f"copy{i}"], 0) for i in range(300)]  # near copies, one word each
     toxic = [([*text(20), "scumbag" if i % 2 else "Scumbag,", *text(20)], 1) for i in range(120)]
     docs = clean + toxic
-    found = X.seeds(docs)
+    rows = spark.createDataFrame([(" ".join(t), y) for t, y in docs], "text string, label int")
+    found = X.marks(rows, len(toxic) / len(docs))
     assert found == _seeds_by_sets(docs)
     assert "w=scumbag" in found and "p=scum" in found and not any("w=w" in n for n in found)
-    assert X.seeds([([], 0), ([], 1)]) == set() and X.seeds([(["1"], 0), (["2", "3"], 1)]) == set()
+    assert X.marks(rows.limit(0), 0.5) == frozenset()
 
 
 def test_spans():
     text = "Ein  wörd scum trash.\nend"
-    assert X.spans(text, {2: 0.9, 3: 0.8, 4: 0.1}) == [{"start": 10, "end": 21, "marginal": 0.9}]
-    assert X.spans("", {}) == []
+    out = X.spans(text, np.array([-9.0, -9.0, 2.0, 1.0, -3.0]))
+    assert [(s["start"], s["end"]) for s in out] == [(10, 21)] and out[0]["marginal"] == pytest.approx(1 / (1 + math.exp(-2.0)))
+    assert X.spans("", np.zeros(0)) == []
+
+
+def odd_rows(spark):
+    """Nulls, empty and blank texts, a very long one, repeated rows, and columns with clashing names."""
+    long = "you idiot " + "lorem ipsum dolor " * 200_000
+    rows = [(1, None, 0.5, "x"), (2, "", None, None), (3, " \n ", 0.1, "x"), (4, long, 0.2, "y"), (5, "you idiot", 0.1, "z"), (5, "you idiot", 0.1, "z"), (None, "you idiot", 0.3, "z"), (6, "x" * 300_000, 1.0, "w")]
+    return spark.createDataFrame(rows, "doc_id long, text string, score double, label string")
+
+
+def test_odd_tables(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(X, "PIECE", 5000)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    odd = odd_rows(spark)
+    chain, model = X.learn(docs, labels), Q.learn(docs, labels)
+    for out in (X.toxicity(odd, chain), Q.quality(odd, model)):
+        rows = out.collect()
+        assert len(rows) == 8 and all(0 <= r["score"] <= 1 for r in rows)
+        by = {}
+        for r in rows:
+            by.setdefault(r["doc_id"], set()).add(r["score"])
+        assert len(by[5]) == 1 and by[5] == by[None] and by[1] == by[2]
+    assert X.drop_toxic(odd, chain, 2.0).collect() == odd.collect() and X.drop_toxic(odd, chain, 2.0).columns == odd.columns
+    assert X.drop_toxic(odd.limit(0), chain).count() == 0 and Q.quality(odd.limit(0), model).count() == 0
+    # Labels that are null, repeated or contradict each other; documents that repeat an identifier.
+    rows = [(1, None, None), (5, 1, 1), (5, 1, 1), (4, 0, 0), (4, 1, 1), (None, 1, 1), (7, 1, 0)]
+    few = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    assert X.toxicity(odd, X.learn(odd, few)).count() == 8 and Q.quality(odd, Q.learn(odd, few)).count() == 8
