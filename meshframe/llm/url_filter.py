@@ -1,23 +1,34 @@
 """URL filtering by association rules.
 
 A URL becomes a set of tokens: host suffixes and labels, path segments (digits masked), extension, query keys. Spark's
-FP-growth mines token sets with the label from labelled URLs. A mined rule stays if its support and its confidence
-reach the thresholds and no rule on a subset of its tokens is as confident. Rules are matched by an inverted index: a
-rule is filed under its rarest token, so that a URL meets only the rules filed under one of its tokens, and is then
-compared in full. The most confident rule decides; without one the URL is allowed. A list of (host, path) rules goes
-before the mined ones.
+FP-growth mines token sets with the label from labelled URLs, for either verdict. A rule stays if its support is a share
+SUPPORT of the labelled URLs, its confidence LIFT times the share of its verdict among all of them, this is no chance
+(LEAST_GAIN), and no rule on a subset of its tokens is as confident. Rules are of any length.
+
+Tokens that stand in the same labelled URLs say the same about them; the first in order speaks for all, which also keeps
+long URLs that are repeated from having subsets without number. A token or a rule with fewer URLs than the gain needs
+can't pass, so the mining starts from there.
+
+Rules are matched by an inverted index: a rule is filed under its rarest token, so that a URL meets only the rules filed
+under one of its tokens, and is then compared in full. Of the rules that fit, the one whose odds rise most over those of
+its verdict decides (ties: the larger support, then block, then the tokens in order); without any the URL is allowed. A
+list of (host, path) rules goes before the mined ones, the longest first; these are all different.
 
 Nulls: a null URL, or one without "://", has empty host and path and no tokens; no rule fits it, so it is allowed.
-Labelled rows without a label are left out. Repeated rows get a result each. Empty tables give empty results.
+Labelled rows without a label are left out. A very long URL is read whole. Repeated rows get a result each. Columns
+other than URL and identifier are not looked at. Empty tables give empty results; without labels of both kinds there are
+no mined rules.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.llm.common import is_held_out, stash, table
+from meshframe.llm.common import Scratch, is_held_out, stash, table
 
 #: (verdict, host, path), as the query's contract states them.
 LISTED = (
@@ -27,10 +38,13 @@ LISTED = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Support as a share of the labelled URLs, and as a count, below which a rule is chance.
-SUPPORT, LEAST_ROWS, CONFIDENCE = 0.001, 20, 0.6
+#: Support as a share of the labelled URLs; confidence as a multiple of the verdict's share; and the log-likelihood ratio
+#: (twice, against the verdict's share) below which a rule is chance: one in a hundred reaches it by chance.
+SUPPORT, LIFT, LEAST_GAIN = 0.005, 1.15, 6.63
+#: Rules that every task may hold; more are dealt by token and by one of SALTS parts.
+MOST_HELD, SALTS = 20_000, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LABEL = "y:bad"
+BLOCK, ALLOW = "block", "allow"
 
 
 def _rest(url: str) -> Column:
@@ -66,36 +80,65 @@ def parsed(urls: DataFrame, url: str) -> DataFrame:
     return urls.withColumn("host", host(url)).withColumn("path", path(url)).withColumn("tokens", tokens(url))
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float = SUPPORT, least_rows: int = LEAST_ROWS, confidence: float = CONFIDENCE) -> DataFrame:
-    """(tokens, confidence, support, filed_under) of the rules for bad URLs, from (url, bad boolean)."""
-    known = parsed(labelled.where(F.col(bad).isNotNull()).select(F.col(url).alias("__url"), F.col(bad).alias("__bad")), "__url").where(F.size("tokens") > 0)
-    baskets = known.select(F.when(F.col("__bad"), F.concat("tokens", F.array(F.lit(LABEL)))).otherwise(F.col("tokens")).alias("items"))
-    support = min(1.0, max(support, least_rows / max(1, baskets.count())))
-    # Without a threshold on the confidence every subset of a rule's tokens is there, and the best one is carried up.
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(baskets)
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = model.associationRules.where(F.col("consequent")[0] == LABEL)
-    rules = stash(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
-    rules = _unbeaten(rules).where(F.col("confidence") >= confidence)
-    rare = rules.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min_by("token", F.struct("freq", "token")).alias("filed_under"))
-    return rules.join(rare, "tokens")
+_RULES = "tokens array<string>, verdict string, confidence double, support double, strength double, filed_under string"
 
 
-def _unbeaten(rules: DataFrame) -> DataFrame:
-    """The rules that are more confident than every rule on a proper subset of their tokens.
+def _gain(hits: Column, n: Column, share: Column) -> Column:
+    """Twice the log-likelihood ratio of hits among n against a share; 0 for fewer than the share."""
+    miss = n - hits
+    part = lambda k, of: F.when(k > 0, k * F.log(k / (n * of))).otherwise(F.lit(0.0))
+    return F.when(hits > n * share, 2 * (part(hits, share) + part(miss, 1 - share))).otherwise(F.lit(0.0))
+
+
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float = SUPPORT, lift: float = LIFT, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """(tokens, verdict, confidence, support, strength, filed_under) of the rules, from (url, bad boolean)."""
+    spark = labelled.sparkSession
+    scratch = Scratch(spark)
+    known = parsed(labelled.where(F.col(bad).isNotNull()).select(F.col(url).alias("__url"), F.col(bad).alias("__bad")), "__url").where(F.size("tokens") > 0)
+    known = scratch.stash(known.select(F.xxhash64("__url").alias("own"), F.xxhash64(F.lit(1), "__url").alias("other"), "__bad", "tokens"), "labelled")
+    n, blocked = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("__bad").cast("long")), F.lit(0))).first()
+    if blocked in (0, n):
+        scratch.remove()
+        return spark.createDataFrame([], _RULES)
+    share = {BLOCK: blocked / n, ALLOW: 1 - blocked / n}
+    least = max(support * n, least_gain / (2 * math.log(1 / min(share.values()))))
+    wide = "decimal(38,0)"
+    stood = known.select("own", "other", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.sum(F.col("own").cast(wide)).alias("own"), F.sum(F.col("other").cast(wide)).alias("other"))
+    speakers = stood.where(F.col("freq") >= least).groupBy("freq", "own", "other").agg(F.min("token").alias("token"))
+    # At most as many as a URL's tokens on average, divided by the support.
+    freq = {r["token"]: r["freq"] for r in speakers.select("token", "freq").collect()}
+    verdict = F.when(F.col("__bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    baskets = known.select(F.concat(F.array(verdict), F.array_intersect("tokens", F.lit(sorted(freq)))).alias("items")) if freq else known.select(F.array(verdict).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n * (1 - 1e-12)), minConfidence=0.0).fit(baskets)
+    rules = model.associationRules.select(F.array_sort("antecedent").alias("tokens"), F.col("consequent")[0].alias("verdict"), "confidence", "support").where(F.col("verdict").isin(BLOCK, ALLOW))
+    of = F.when(F.col("verdict") == BLOCK, F.lit(share[BLOCK])).otherwise(F.lit(share[ALLOW]))
+    hits = F.round(F.col("support") * n)
+    rows = F.round(hits / F.col("confidence"))
+    odds = (hits + 0.5) / (rows - hits + 0.5)
+    rules = rules.withColumn("gain", _gain(hits, rows, of)).withColumn("good", (F.col("gain") >= least_gain) & (F.col("confidence") >= lift * of)).withColumn("strength", F.log(odds * (1 - of) / of))
+    rules = scratch.stash(rules.select("tokens", "verdict", "confidence", "support", "strength", "good"), "rules")
+    rules = _unbeaten(rules, scratch).where("good").drop("good")
+    rare = F.array_min(F.transform("tokens", lambda t: F.struct(F.element_at(F.map_from_arrays(F.lit(list(freq)), F.lit(list(freq.values()))), t).alias("freq"), t.alias("token"))))["token"] if freq else F.lit(None)
+    out = scratch.stash(rules.withColumn("filed_under", rare), "rules")
+    scratch.remove(keep=1)
+    return out
+
+
+def _unbeaten(rules: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rules that are more confident than every rule for the same verdict on a proper subset of their tokens.
 
     Rules of one length meet those with one token less, which bring the highest confidence among their own subsets.
     """
     longest = rules.agg(F.max(F.size("tokens"))).first()[0] or 0
     own = rules.where(F.size("tokens") == 1)
-    stay, carried = own, own.select("tokens", F.col("confidence").alias("best"))
+    stay, carried = own, own.select("tokens", "verdict", F.col("confidence").alias("best"))
     for length in range(2, longest + 1):
         own = rules.where(F.size("tokens") == length)
-        less = own.select("tokens", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("less"))
-        below = less.join(carried.withColumnRenamed("tokens", "less"), "less").groupBy("tokens").agg(F.max("best").alias("below"))
-        met = stash(own.join(below, "tokens", "left"), "rules")
+        less = own.select("tokens", "verdict", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("less"))
+        below = less.join(carried.withColumnRenamed("tokens", "less"), ["less", "verdict"]).groupBy("tokens", "verdict").agg(F.max("best").alias("below"))
+        met = scratch.stash(own.join(below, ["tokens", "verdict"], "left"), "rules")
         stay = stay.union(met.where("below is null or confidence > below").select(stay.columns))
-        carried = met.select("tokens", F.greatest("confidence", "below").alias("best"))
+        carried = met.select("tokens", "verdict", F.greatest("confidence", "below").alias("best"))
     return stay
 
 
@@ -106,15 +149,20 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", ident: str = "pag
     for verdict, h, p in sorted(listed, key=lambda r: len(r[1] + r[2])):  # the longest is tried first
         hit = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
         fits = F.when(hit, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(fits)
-    pages = pages.withColumn("fit", fits)
-    # Many pages share a token set; each set meets the index once.
-    sets = pages.where(F.col("fit").isNull()).groupBy("tokens").agg(F.count(F.lit(1)).alias("pages"))
-    met = sets.select("tokens", F.explode("tokens").alias("filed_under")).join(rules.withColumnRenamed("tokens", "rule_tokens"), "filed_under")
+    # Rows get numbers that stay as they are if tasks run again.
+    pages = stash(pages.select(F.monotonically_increasing_id().alias("row"), "ident", "host", "path", "tokens", fits.alias("fit")), "urls")
+    tokens_of = pages.where("fit is null").select("row", "tokens", F.explode("tokens").alias("filed_under"))
+    index = rules.select(F.col("tokens").alias("rule_tokens"), "filed_under", F.struct("strength", "support", (F.col("verdict") == BLOCK).alias("blocks"), F.col("tokens").alias("tokens")).alias("mined"))
+    if rules.count() <= MOST_HELD:
+        met = tokens_of.join(F.broadcast(index), "filed_under")
+    else:  # a token may be in most URLs: each part of the URLs meets a copy of the index
+        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = tokens_of.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["filed_under", "salt"])
     met = met.where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-    best = met.groupBy("tokens").agg(F.max_by("rule_tokens", F.struct("confidence", "support", "rule_tokens")).alias("mined"))
-    out = pages.join(best, "tokens", "left")
-    mined = F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(F.col("ident").alias(ident), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", mined).alias("verdict"), F.when(F.col("fit").isNull(), F.array_join("mined", " ")).alias("mined_rule"))
+    best = met.groupBy("row").agg(F.max("mined").alias("mined"))
+    out = pages.join(best, "row", "left")
+    mined = F.when(F.col("mined.blocks"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    return out.select(F.col("ident").alias(ident), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", mined).alias("verdict"), F.array_join("mined.tokens", " ").alias("mined_rule"))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
