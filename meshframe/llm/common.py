@@ -75,6 +75,19 @@ def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
     return max(1, min(partitions(spark), max(spark.sparkContext.defaultParallelism, -(-rows // each))))
 
 
+#: Rows of a table that every task may hold beside its own; and the parts of the other table, where it has more rows.
+MOST_HELD, SALTS = 50_000, 16
+
+
+def meet(rows: DataFrame, few: DataFrame, keys: list[str], own: str, most: int | None = None) -> DataFrame:
+    """rows joined to few on keys, however many rows share a key: few is broadcast as long as it has no more than most
+    rows by count; else each of SALTS parts of rows, dealt by column own, meets a copy of it."""
+    if few.count() <= (MOST_HELD if most is None else most):
+        return rows.join(F.broadcast(few), keys)
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"]).drop("__salt")
+
+
 def clean_text(column: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

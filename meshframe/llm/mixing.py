@@ -5,11 +5,19 @@ stops at a multiple of its source's size and the excess is shared again by weigh
 key with its quality weight as rate, so small keys go to good documents. A source is read in whole epochs as often as
 its target allows; what remains is taken in key order, up to the word at which the target is met.
 
-Keys are hashes of identifiers, so reruns agree. Prefix sums need no task that sees a whole source: keys are dealt to
-BUCKETS monotone buckets, sums of buckets give each bucket's start, and only inside a bucket are rows sorted.
-
-Nulls: a null text has size 0 and takes nothing; a null source is a source; a null identifier is hashed as empty text.
-Ties of keys go by identifier. Empty tables give empty results.
+Rows are written once with size and key. As documents are taken in order, all that has to be found for a source is the
+row at which it stops: sums of buckets of keys give the bucket, sums of rows alike inside it the place. Buckets grow in
+number with the rows, and rows that are alike are summed before they meet, so no task sees a whole source. Then each row
+is compared with its source's stop, and stays where it is. The targets alone are found in one task, from a row a source.
+
+The weight is a column, such as a quality score above 0; by default words by words plus ten for each ASCII symbol that is
+no sentence mark.
+
+Keys are hashes of identifiers, so reruns agree. Ties of keys go by identifier, then by a digest of text and source; rows
+alike in all of these can't be told apart, and as many of them are taken as the target needs. A null text has size 0 and
+takes nothing; a null source is a source; a null identifier comes last among ties and is hashed by its text. A very long
+text counts in whole. Repeated rows are documents of their own. Columns of the input are carried along, whatever their
+names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,12 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshframe.llm.common import clean_text, table
+from meshframe.llm.common import Scratch, clean_text, meet, table
 
-BUCKETS = 1024
+#: Buckets of keys in a source: at least so many, and one for so many rows.
+BUCKETS, BUCKET_ROWS = 1024, 50_000
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
 WORD = r"[^\x20\x09-\x0D]+"
-JUNK = "%*#&$|!"
+#: The ASCII symbols but for . , ; : ! ? ' " ( ) -
+SYMBOLS = r"#$%&*+/<=>@[\]^_`{|}~"
 
 
 def words(text: str = "text") -> Column:
@@ -30,14 +40,14 @@ def words(text: str = "text") -> Column:
 
 
 def quality_weight(size: Column, text: str = "text") -> Column:
-    """Words by words plus ten for each mark that prose hardly has: 1 for clean prose, near 0 for junk."""
-    marks = F.length(clean_text(text)) - F.length(F.translate(clean_text(text), JUNK, ""))
+    """Words by words plus ten for each symbol: 1 for clean prose, near 0 for junk."""
+    marks = F.length(clean_text(text)) - F.length(F.translate(clean_text(text), SYMBOLS, ""))
     return F.when(size > 0, size.cast("double") / (size + 10 * marks)).otherwise(F.lit(1.0))
 
 
-def uniform(ident: str = "doc_id", seed: str = "mix") -> Column:
-    """In (0, 1), from 52 bits of an MD5 of the identifier."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(ident).cast("string"), F.lit(""))).cast("binary"))
+def uniform(name: Column, seed: str = "mix") -> Column:
+    """In (0, 1), from 52 bits of an MD5 of a string."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
@@ -57,40 +67,90 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataF
     return s.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(df: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source", size: Column | None = None, weight: Column | None = None, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """df's rows as struct ``row`` with size, source_size, target and taken (words the mix takes, repeats counted)."""
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(ident).alias("ident"), F.col(source).alias("source"), (words(text) if size is None else size).alias("size"), F.col(text).alias("text"))
-    keyed = keyed.withColumn("weight", quality_weight(F.col("size")) if weight is None else weight).drop("text")
-    keyed = keyed.withColumn("key", -F.log(uniform("ident", seed)) / F.col("weight"))
-    keyed = keyed.withColumn("bucket", F.least(F.floor(F.col("key") / (F.col("key") + 1) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    dealt = keyed.drop("weight").repartition("source", "bucket")  # one exchange serves the sums and the sort
-
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    starts = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most)
-    starts = starts.alias("b").join(goals.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select("b.source", "bucket", "bucket_start", "source_size", "target")
-
-    d = dealt.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
-    d = d.select("d.*", "bucket_start", "source_size", "target")
-    rank = Window.partitionBy("source", "bucket").orderBy("key", F.col("ident").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("before", F.col("bucket_start") + F.coalesce(F.sum("size").over(rank), F.lit(0)))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    d = d.withColumn("epochs", epochs).withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return d.select("row", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+_ORDER = ("key", "no_ident", "ident", "digest")
+
+
+def _stops(keyed: DataFrame, scratch: Scratch, weights, most: int) -> DataFrame:
+    """(source, source_size, target, epochs, stop, part): where the last, fractional reading of a source stops.
+
+    Rows before stop (a struct in the order of taking) are taken whole once more, and part words of stop itself.
+    """
+    spark = keyed.sparkSession
+    buckets = max(BUCKETS, -(-keyed.count() // BUCKET_ROWS))
+    bucket = F.least(F.floor(F.col("key") / (F.col("key") + 1) * buckets), F.lit(buckets - 1)).cast("long")
+    rows = keyed.select("source", "size", *_ORDER, "row_id", bucket.alias("bucket"))
+    sums = scratch.stash(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    goals = goals.withColumn("epochs", epochs).withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    goals = scratch.stash(goals.select(_null(), _name(), "source_size", "target", "epochs", "rest"), "goals")
+
+    def upto(order: list[str], value: str) -> Column:
+        return F.coalesce(F.sum(value).over(Window.partitionBy("no_source", "name").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # The bucket, then the rows alike, in which the words that remain run out.
+    by_bucket = sums.select(_null(), _name(), "bucket", "words").withColumn("before", upto(["bucket"], "words"))
+    last = by_bucket.join(goals.select("no_source", "name", "rest"), ["no_source", "name"]).where("before <= rest and rest < before + words")
+    last = scratch.stash(last.select("no_source", "name", "bucket", (F.col("rest") - F.col("before")).alias("rest")), "last")
+    alike = meet(rows.select(_null(), _name(), "size", *_ORDER, "row_id", "bucket"), last, ["no_source", "name", "bucket"], "row_id")
+    alike = alike.groupBy("no_source", "name", "size", "rest", *_ORDER).agg(F.count(F.lit(1)).alias("copies"), F.min("row_id").alias("row_id"))
+    alike = alike.withColumn("words", F.col("size") * F.col("copies")).withColumn("before", upto([*_ORDER], "words")).where("before <= rest and rest < before + words")
+    left = F.col("rest") - F.col("before")
+    alike = scratch.stash(alike.select("no_source", "name", *_ORDER, "row_id", "copies", F.floor(left / F.col("size")).cast("long").alias("whole"), (left % F.col("size")).alias("part")), "alike")
+    several = alike.where("whole > 0")
+    if several.count():
+        # Which of several copies it is: they are numbered by the task that wrote them, and inside it.
+        copies = meet(rows.select(_null(), _name(), *_ORDER, "row_id"), several.select("no_source", "name", *[F.col(c).alias(f"stop_{c}") for c in _ORDER], "whole"), ["no_source", "name"], "row_id")
+        copies = copies.where(F.struct(*_ORDER) == F.struct(*[F.col(f"stop_{c}").alias(c) for c in _ORDER])).select("no_source", "name", "whole", "row_id", F.shiftright("row_id", 33).alias("task"))
+        tasks = copies.groupBy("no_source", "name", "task").agg(F.count(F.lit(1)).alias("n")).withColumn("before", upto(["task"], "n"))
+        place = F.row_number().over(Window.partitionBy("no_source", "name", "task").orderBy("row_id")) - 1
+        found = copies.withColumn("place", place).join(tasks, ["no_source", "name", "task"]).where(F.col("before") + F.col("place") == F.col("whole"))
+        found = scratch.stash(found.select("no_source", "name", F.col("row_id").alias("copy_id")), "copies")
+        alike = alike.join(found, ["no_source", "name"], "left").withColumn("row_id", F.coalesce("copy_id", "row_id")).drop("copy_id")
+    stop = F.struct(*_ORDER, "row_id")
+    return scratch.stash(goals.join(alike.select("no_source", "name", stop.alias("stop"), "part"), ["no_source", "name"], "left").drop("rest"), "stops")
+
+
+def _null() -> Column:
+    return F.col("source").isNull().alias("no_source")
+
+
+def _name() -> Column:
+    return F.coalesce("source", F.lit("")).alias("name")
+
+
+def mix(df: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source", size: Column | None = None, weight: Column | None = None, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
+    """Rows (the columns in carry, by default all of df's) as struct ``row`` with size, source_size, target and taken
+    (words the mix takes, repeats counted).
+
+    The result reads a table in the shared folder, which holds the rows; smaller ones on the way are removed.
+    """
+    scratch = Scratch(df.sparkSession)
+    # Named apart from the columns that are carried along.
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row"), F.col(ident).alias("ident"), F.col(source).cast("string").alias("source"), F.xxhash64(text, source).alias("digest"), F.col(text).alias("text"), (words(text) if size is None else size).alias("size"), (F.lit(None).cast("double") if weight is None else weight.cast("double")).alias("weight"))
+    if weight is None:
+        own = own.withColumn("weight", quality_weight(F.col("size")))
+    name = F.coalesce(F.col("ident").cast("string"), F.md5(clean_text("text").cast("binary")))
+    own = own.withColumn("key", -F.log(uniform(name, seed)) / F.col("weight")).withColumn("no_ident", F.col("ident").isNull())
+    keyed = scratch.stash(own.select("row", "source", "size", *_ORDER, F.monotonically_increasing_id().alias("row_id")), "keyed")
+    rest = Scratch(df.sparkSession)
+    stops = _stops(keyed, rest, weights, most)
+    out = meet(keyed.withColumns({"no_source": _null(), "name": _name()}), stops, ["no_source", "name"], "row_id")
+    here = F.struct(*_ORDER, "row_id")
+    once = F.when(here < F.col("stop"), F.col("size")).when(here == F.col("stop"), F.col("part")).otherwise(F.lit(0))
+    rest.remove(keep=1)
+    return out.select("row", "size", "source_size", "target", (F.col("epochs") * F.col("size") + once).cast("long").alias("taken"))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    size = words()
-    slim = docs.select("doc_id", "source", F.lit(None).cast("string").alias("text"), size.alias("size"), quality_weight(size).alias("weight"))
-    return mix(slim, size=F.col("size"), weight=F.col("row.weight")).select("row.doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, carry=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = r"""
 WITH w AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         length(coalesce(text, '')) - length(translate(coalesce(text, ''), '%*#&$|!', '')) AS marks
+         length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#$%&*+/<=>@[\]^_`{|}~', '')) AS marks
   FROM documents),
 k AS (
   SELECT *, -ln((('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)

@@ -28,7 +28,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.llm.common import Scratch, is_held_out, stash, table
+from meshframe.llm.common import Scratch, is_held_out, meet, stash, table
 
 #: (verdict, host, path), as the query's contract states them.
 LISTED = (
@@ -41,8 +41,8 @@ LISTED = (
 #: Support as a share of the labelled URLs; confidence as a multiple of the verdict's share; and the log-likelihood ratio
 #: (twice, against the verdict's share) below which a rule is chance: one in a hundred reaches it by chance.
 SUPPORT, LIFT, LEAST_GAIN = 0.005, 1.15, 6.63
-#: Rules that every task may hold; more are dealt by token and by one of SALTS parts.
-MOST_HELD, SALTS = 20_000, 16
+#: Rules that every task may hold.
+MOST_HELD = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "block", "allow"
 
@@ -153,11 +153,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", ident: str = "pag
     pages = stash(pages.select(F.monotonically_increasing_id().alias("row"), "ident", "host", "path", "tokens", fits.alias("fit")), "urls")
     tokens_of = pages.where("fit is null").select("row", "tokens", F.explode("tokens").alias("filed_under"))
     index = rules.select(F.col("tokens").alias("rule_tokens"), "filed_under", F.struct("strength", "support", (F.col("verdict") == BLOCK).alias("blocks"), F.col("tokens").alias("tokens")).alias("mined"))
-    if rules.count() <= MOST_HELD:
-        met = tokens_of.join(F.broadcast(index), "filed_under")
-    else:  # a token may be in most URLs: each part of the URLs meets a copy of the index
-        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = tokens_of.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["filed_under", "salt"])
+    met = meet(tokens_of, index, ["filed_under"], "row", MOST_HELD)  # a token may be in most URLs
     met = met.where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
     best = met.groupBy("row").agg(F.max("mined").alias("mined"))
     out = pages.join(best, "row", "left")
