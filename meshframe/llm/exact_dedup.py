@@ -4,10 +4,11 @@ Every row gets a sort key: the leading bytes of its normalised text, the text's
 from a bounded sample of keys deal the rows to ranges; each range is sorted (externally, by Spark) on key prefix, whole
 text and identifier, so equal texts stand side by side. Each row is compared in full with its neighbour; a row that
 differs from the one before opens a run. Identifiers are part of the splitters, so a group of copies of any size is
-dealt to several ranges. Only the first and the last run of a range can go on in another range; these, two a range at
-most, are matched on their whole texts.
+dealt to several ranges. The sorted rows are written once, without their texts unless these are asked for. Only the first
+and the last run of a range can go on in another range; these, two a range at most, are written with their whole texts
+and matched on them.
 
-Nulls: a null text counts as empty. Rows without an identifier come last within their group, and stay only if the
+Nulls: a null text counts as empty. A very long text is compared in whole, and sorted by Spark like any other. Rows without an identifier come last within their group, and stay only if the
 whole group has none. Repeated rows are copies like any other: of rows alike in text and identifier one stays. Empty
 tables give empty results. All columns of the input are carried along, whatever their names.
 """
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshframe.llm.common import clean_text, partitions, table
+from meshframe.llm.common import clean_text, partitions, stash, table
 
 PREFIX_BYTES = 24
 #: Ranges for each shuffle partition, so that hashing range numbers to partitions stays even.
@@ -56,16 +57,17 @@ def _range_of(key: Column, splitters: list[str]) -> Column:
     return fine[0]
 
 
-def content_sort(df: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min", normalise=None, ranges: int | None = None) -> DataFrame:
-    """df's rows as struct ``row`` with keep_id, group_size, kept and text_sha256.
+def content_sort(df: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min", normalise=None, ranges: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """df's rows (the columns in carry, by default all) as struct ``row`` with keep_id, group_size, kept and text_sha256.
 
     keep: "min" keeps the smallest identifier of equal texts, "max" the largest. normalise: from a text column to what
-    is compared (nothing by default).
+    is compared (nothing by default). The result reads a table in the shared folder.
     """
     spark = df.sparkSession
     ranges = min(MOST_RANGES, ranges or RANGES_EACH * partitions(spark))
     body = clean_text(text) if normalise is None else normalise(clean_text(text))
-    carried = [c for c in df.columns if c != text or normalise is not None]
+    wanted = carry or df.columns
+    carried = [c for c in wanted if c != text or normalise is not None]  # a text that is as it was goes once
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("__row") if carried else F.lit(None).alias("__row"), body.alias("__text"), F.col(text).isNull().alias("__null"), F.col(ident).alias("__id"))
     rows = rows.withColumn("__sha", F.sha2(F.encode("__text", "UTF-8"), 256))
     keyed = rows.withColumn("__key", _sort_key(F.col("__text"), F.col("__sha"), F.col("__id")))
@@ -82,14 +84,17 @@ def content_sort(df: DataFrame, text: str = "text", ident: str = "doc_id", keep:
     pick = F.min if keep == "min" else F.max
     runs = runs.withColumn("__first", pick("__id").over(run)).withColumn("__count", F.count(F.lit(1)).over(run)).withColumn("__last", F.max("__run").over(Window.partitionBy("__range")))
 
-    edges = runs.where("__opens and (__run = 1 or __run = __last)")
-    same = Window.partitionBy("__text")
-    edges = edges.select("__range", "__run", pick("__first").over(same).alias("__keep"), F.sum("__count").over(same).alias("__size"), F.count(F.lit(1)).over(same).alias("__parts"))
+    row = [F.col("__row")[c].alias(c) if c in carried else F.when(~F.col("__null"), F.col("__text")).alias(c) for c in wanted]
+    edge = F.col("__opens") & ((F.col("__run") == 1) | (F.col("__run") == F.col("__last")))
+    runs = runs.select(F.struct(*row).alias("row"), "__id", "__sha", "__range", "__run", "__opens", "__first", "__count", F.when(edge, F.col("__text")).alias("__edge"))
+    runs = stash(runs, "runs")
+
+    same = Window.partitionBy("__edge")
+    edges = runs.where("__edge is not null").select("__range", "__run", pick("__first").over(same).alias("__keep"), F.sum("__count").over(same).alias("__size"), F.count(F.lit(1)).over(same).alias("__parts"))
     edges = edges.where("__parts > 1").drop("__parts")  # at most two rows a range
     out = runs.join(F.broadcast(edges), ["__range", "__run"], "left")
     keep_id = F.when(F.col("__size").isNull(), F.col("__first")).otherwise(F.col("__keep"))
-    row = [F.col("__row")[c].alias(c) if c != text or normalise is not None else F.when(~F.col("__null"), F.col("__text")).alias(c) for c in df.columns]
-    return out.select(F.struct(*row).alias("row"), keep_id.alias("keep_id"), F.coalesce("__size", "__count").alias("group_size"), (F.col("__opens") & keep_id.eqNullSafe(F.col("__id"))).alias("kept"), F.col("__sha").alias("text_sha256"))
+    return out.select("row", keep_id.alias("keep_id"), F.coalesce("__size", "__count").alias("group_size"), (F.col("__opens") & keep_id.eqNullSafe(F.col("__id"))).alias("kept"), F.col("__sha").alias("text_sha256"))
 
 
 def exact_dedup(df: DataFrame, **options) -> DataFrame:
@@ -100,7 +105,7 @@ def exact_dedup(df: DataFrame, **options) -> DataFrame:
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Groups of equal texts in documents; the row with the largest doc_id stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return content_sort(docs, keep="max").select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+    return content_sort(docs, keep="max", carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP2_SQL = """
