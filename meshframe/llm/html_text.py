@@ -10,7 +10,9 @@ Scripts, styles and other content that is not shown never become blocks. Charact
 inside a block is one space; the article's blocks are joined by one space in page order.
 
 Nulls: a null page is empty and has no text. Markup that is not closed, closed twice or cut off is read as far as it
-goes. Repeated rows get a result each; empty tables give empty results. Pages of any length are read whole.
+goes. Pages of any length are read whole; memory follows the longest. Ties between sequences go to what is not article.
+Repeated rows get a result each. Columns other than identifier, address and page are not looked at. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content that is not shown as text.
 HIDDEN = frozenset("script style noscript template head title textarea select option svg math iframe object canvas audio video".split())
+#: Elements whose content follows the rules of XML.
+FOREIGN = frozenset("svg math".split())
 #: Content up to the closing tag, whatever it looks like.
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Blocks that end an open paragraph.
@@ -43,10 +47,15 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fiel
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>?)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""").search
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
 
+#: One notice word in so many words makes a block a notice.
+NOTICE_WORDS = 50
+
+
 class Block:
     __slots__ = ("linked", "names", "path", "text")
 
@@ -113,8 +122,10 @@ def blocks(page: str) -> list[Block]:
             pop(name)
             continue
         if name in VOID:
-            if name not in INLINE:
-                close() if name == "hr" else parts.append(" ") if parts and not hidden else None
+            if name == "hr":
+                close()
+            elif name == "br" and parts and not hidden:
+                parts.append(" ")
             continue
         if name in ENDS_PARAGRAPH:
             close()
@@ -128,8 +139,8 @@ def blocks(page: str) -> list[Block]:
             close()
             if name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 pop(name)
-        if m[3].rstrip().endswith("/"):
-            continue
+        if _CLOSED(m[3]) and (name in FOREIGN or any(n in FOREIGN for n, _ in stack)):
+            continue  # elsewhere a slash closes nothing
         if name in RAW:
             stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = end if stop is None else stop.end()
@@ -160,12 +171,12 @@ _NOTICE = ("cookie", "subscribe", "newsletter", "sign up", "copyright", "©", "a
 
 def block_features(block: Block, place: int, total: int) -> list[int]:
     text = block.text
-    head = text[:200].lower()
+    low = text.lower()
     words = text.count(" ") + 1
     found = [f"len={min(int(math.log2(words)), 8)}", f"link={int(block.linked * 4)}", f"stop={text[-1] in '.!?…:;'}", f"first={text[0].isupper()}", f"at={place * 5 // max(1, total)}"]
     if words < 12:
         found.append(f"short={'stop' if text[-1] in '.!?' else 'open'}")
-    found += [f"n={w}" for w in _NOTICE if w in head] if len(text) < 400 else []
+    found += [f"n={w}" for w in _NOTICE if w in low and low.count(w) * NOTICE_WORDS >= words]
     return [*_path_features(block.path, block.names), *(_hash(f) for f in found)]
 
 
