@@ -34,7 +34,7 @@ from meshframe.llm.common import table
 HASH_BITS = 14
 TRAINING_PAGES, EPOCHS, RATE, L2 = 900, 12, 0.3, 1e-3
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup svg math time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content that is not shown as text.
 HIDDEN = frozenset("script style noscript template head title textarea select option svg math iframe object canvas audio video".split())

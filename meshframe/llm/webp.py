@@ -5,13 +5,15 @@ two-dimensional distance map, the colour cache, meta prefix codes, and the predi
 colour-indexing transforms. Streams with one group of prefix codes and no cache are read fast: the token that would
 start at every bit is looked up at once, the chain of tokens is followed, and only then are values fetched.
 
-The writer picks, per image, one channel (green) with a palette, or plain green; predictor, cross-colour,
-subtract-green, back-references and the cache can be asked for. It writes one group of codes.
+The writer takes the transforms, back-references (of any length, or long ones alone, which are found in numpy) and the
+cache as asked for. It writes one group of codes.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -23,8 +25,13 @@ MOST_SIDE = 1 << 14
 CODE_LIMIT = 12
 #: Bits that are looked up at once.
 BLOCK_BITS = 1 << 21
+#: Back-references of the quick writer: the shortest, the longest and the farthest.
+LONG, LONGEST, FARTHEST = 32, 4096, (1 << 20) - 120
+#: Bits of a back-reference and of the codes that it adds, about; and the share of an image that back-references must save.
+JUMP_BITS, CODE_BITS, SAVED = 32, 120, 0.1
+_ODD = np.random.default_rng(7).integers(1, 1 << 63, LONG // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EIGHT = np.arange(8, dtype=np.uint64)
-_REVERSED = ((np.arange(1 << 15)[:, None] >> np.arange(15) & 1) << np.arange(14, -1, -1)).sum(1).tolist()
+_REVERSED = ((np.arange(1 << 15)[:, None] >> np.arange(15) & 1) << np.arange(14, -1, -1)).sum(1).astype(np.uint32)
 
 
 def _near_distances() -> list[tuple[int, int]]:
@@ -63,6 +70,10 @@ class BitWriter:
         self._v.append(value)
         self._n.append(n)
 
+    def put_pairs(self, values: list[int], sizes: list[int]) -> None:
+        self._v += values
+        self._n += sizes
+
     def put_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
         """Fields of at most 32 bits each."""
         self._flush()
@@ -124,40 +135,45 @@ def code_lengths(counts, limit: int) -> list[int]:
         floor *= 2  # rarer symbols are taken for commoner ones until the tree is low enough
 
 
+def _in_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The used symbols in canonical order, and their lengths."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    return used, lengths[used]
+
+
 def canonical(lengths) -> np.ndarray:
     """The codes, each with its first bit lowest, as they stand in the stream."""
+    lengths = np.asarray(lengths, np.int64)
     codes = np.zeros(len(lengths), np.uint32)
-    used = sorted((n, s) for s, n in enumerate(np.asarray(lengths).tolist()) if n)
-    code = before = 0
-    for n, s in used:
-        code <<= n - before
-        codes[s] = _REVERSED[code] >> (15 - n)
-        code, before = code + 1, n
+    used, own = _in_order(lengths)
+    share = 1 << (15 - own)
+    codes[used] = _REVERSED[np.cumsum(share) - share]  # as fractions of 15 bits, codes follow each other without a gap
     return codes
 
 
+@lru_cache(maxsize=16)
+def _read_order(bits: int) -> np.ndarray:
+    return _REVERSED[: 1 << bits] >> np.uint32(15 - bits)
+
+
 class Code:
     """A prefix code as a table over the next max_bits bits: symbol and length."""
 
     def __init__(self, lengths):
-        lengths = np.asarray(lengths)
-        used = np.flatnonzero(lengths)
-        if len(used) == 0:
-            used, lengths = np.array([0]), np.zeros(1, int)
-        self.bits = 0 if len(used) == 1 else int(lengths.max())
-        size = 1 << self.bits
-        self.symbol, self.length = np.zeros(size, np.uint16), np.zeros(size, np.uint8)
-        if self.bits == 0:
-            self.symbol[0] = used[0]
+        lengths = np.asarray(lengths, np.int64)
+        used, own = _in_order(lengths)
+        if len(used) <= 1:
+            self.bits = 0
+            self.symbol, self.length = np.zeros(1, np.uint16), np.zeros(1, np.uint8)
+            self.symbol[:] = used
         else:
-            codes = canonical(lengths)
-            filled = 0
-            for s in used.tolist():
-                self.symbol[codes[s] :: 1 << lengths[s]] = s
-                self.length[codes[s] :: 1 << lengths[s]] = lengths[s]
-                filled += size >> lengths[s]
-            if filled != size:
+            self.bits = int(own[-1])
+            order, times = _read_order(self.bits), 1 << (self.bits - own)
+            if times.sum() != len(order):
                 raise ValueError("the prefix code is not complete")
+            self.symbol = np.repeat(used.astype(np.uint16), times)[order]
+            self.length = np.repeat(own.astype(np.uint8), times)[order]
         self.refers = bool((self.symbol >= 256).any())
 
     def read(self, bits: Bits) -> int:
@@ -166,15 +182,21 @@ class Code:
         return int(self.symbol[at])
 
 
+@lru_cache(maxsize=256)
+def _single(symbol: int) -> Code:
+    return Code([0] * symbol + [1])
+
+
 def _read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = [0] * alphabet
     if bits.read(1):  # simple: one or two symbols
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
-        lengths[first] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        if not two:
+            return _single(first)
+        lengths = [0] * alphabet
+        lengths[first] = lengths[bits.read(8)] = 1
         return Code(lengths)
+    lengths = [0] * alphabet
     meta = [0] * 19
     for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
         meta[k] = bits.read(3)
@@ -206,7 +228,7 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
 
 
 def _write_code(out: BitWriter, lengths: list[int]) -> None:
-    used = [i for i, n in enumerate(lengths) if n]
+    used = [i for i, n in enumerate(lengths) if n] if any(lengths) else []
     if len(used) <= 2 and all(i < 256 for i in used):
         first = used[0] if used else 0
         out.put(1, 1)
@@ -217,12 +239,8 @@ def _write_code(out: BitWriter, lengths: list[int]) -> None:
             out.put(used[1], 8)
         return
     tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    i = 0
-    while i < len(lengths):
-        j = i
-        while j < len(lengths) and lengths[j] == lengths[i]:
-            j += 1
-        run, value = j - i, lengths[i]
+    for value, same in groupby(lengths):
+        run = len(list(same))
         if value:
             tokens.append((value, 0, 0))
             run -= 1
@@ -235,8 +253,8 @@ def _write_code(out: BitWriter, lengths: list[int]) -> None:
                 n = min(138, run)
                 tokens.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
                 run -= n
-        tokens += [(value, 0, 0)] * run
-        i = j
+        if run:
+            tokens += [(value, 0, 0)] * run
     meta = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     out.put(0, 1)
     last = max(k for k in range(19) if meta[CODE_LENGTH_ORDER[k]] or k < 4)
@@ -244,12 +262,9 @@ def _write_code(out: BitWriter, lengths: list[int]) -> None:
     for k in CODE_LENGTH_ORDER[: last + 1]:
         out.put(meta[k], 3)
     out.put(0, 1)  # lengths of the whole alphabet follow
-    codes, single = canonical(meta), sum(1 for n in meta if n) == 1
-    for s, extra, n in tokens:
-        if not single:
-            out.put(int(codes[s]), meta[s])
-        if n:
-            out.put(extra, n)
+    codes, sizes = canonical(meta).tolist(), meta if sum(1 for n in meta if n) > 1 else [0] * 19
+    # Extra bits stand behind the code they belong to.
+    out.put_pairs([codes[s] | extra << sizes[s] if sizes[s] else extra for s, extra, _ in tokens], [sizes[s] + n for s, _, n in tokens])
 
 
 def _prefix_values(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,9 +361,11 @@ def _read_fast(bits: Bits, group: list[Code], width: int, height: int) -> np.nda
     """One group and no cache: a token's meaning depends on the bit it starts at alone."""
     n = width * height
     green, red, blue, alpha, distance = group
-    if not green.bits and not (red.bits or blue.bits or alpha.bits) and green.symbol[0] < 256:
-        value = int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(blue.symbol[0])
-        return np.full(n, value, np.uint32)
+    if not (red.bits or blue.bits or alpha.bits):
+        rest = int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(blue.symbol[0])
+        if not green.bits and green.symbol[0] < 256:
+            return np.full(n, rest | int(green.symbol[0]) << 8, np.uint32)
+        return _read_green(bits, green, distance, width, n).astype(np.uint32) << np.uint32(8) | np.uint32(rest)
     tokens: list[np.ndarray] = []
     jumps: list[tuple[int, int, int, int]] = []  # literals before it, pixels before it, length, distance
     literals = made = 0
@@ -357,28 +374,15 @@ def _read_fast(bits: Bits, group: list[Code], width: int, height: int) -> np.nda
         size, spans = _token_sizes(window, group)
         own: list[int] = []
         add, p, last = own.append, 0, min(BLOCK_BITS, len(window) - 1)
-        if not spans:
-            if last < BLOCK_BITS:  # all that is left is here
-                where = _follow(size, n - made)
-                tokens.append(_literals(window, where, green, red, blue, alpha))
-                bits.at += int(where[-1]) + size[where[-1]]
-                made = n
-                break
+        while p < last and made < n:
+            span = spans.get(p)
+            if span is None:
+                add(p)
+                made += 1
             else:
-                while p < last and made + len(own) < n:
-                    add(p)
-                    p += size[p]
-            made += len(own)
-        else:
-            while p < last and made < n:
-                span = spans.get(p)
-                if span is None:
-                    add(p)
-                    made += 1
-                else:
-                    jumps.append((literals + len(own), made, span[0], _distance(span[1], width)))
-                    made += span[0]
-                p += size[p]
+                jumps.append((literals + len(own), made, span[0], _distance(span[1], width)))
+                made += span[0]
+            p += size[p]
         if not p:
             raise ValueError("the data end early")
         tokens.append(_literals(window, np.array(own, np.int64), green, red, blue, alpha))
@@ -387,44 +391,112 @@ def _read_fast(bits: Bits, group: list[Code], width: int, height: int) -> np.nda
     pixels = tokens[0] if len(tokens) == 1 else np.concatenate(tokens)
     if made != n:
         raise ValueError("a back-reference leaves the image")
-    if not jumps:
-        return pixels
     out = np.zeros(n, np.uint32)
     taken = at = 0
     for before, place, length, far in jumps:
         out[at:place] = pixels[taken:before]
-        if far > place:
-            raise ValueError("a back-reference leaves the image")
-        done = 0
-        while done < length:  # a copy that overlaps itself doubles
-            step = min(length - done, far + done)
-            out[place + done : place + done + step] = out[place - far : place - far + step]
-            done += step
+        _copy(out, place, length, far)
         taken, at = before, place + length
     out[at:] = pixels[taken:]
     return out
 
 
-def _follow(size: bytes, n: int) -> np.ndarray:
-    """The places of n tokens, one behind the other, from place 0 on. Only every fourth is walked to."""
-    one = np.frombuffer(size, np.uint8)
-    place = np.arange(len(one), dtype=np.int32)
-    two = one + one.take(place + one, mode="clip")
-    four = (two + two.take(place + two, mode="clip")).tobytes() if int(two.max()) < 128 else None
-    if four is None:  # long tokens: sums of four may not fit into a byte
-        four = (two.astype(np.int64) + two.take(place + two, mode="clip")).tolist()
+def _copy(out: np.ndarray, place: int, length: int, far: int) -> None:
+    """Repeats what stands far before place; a copy that overlaps itself doubles."""
+    if far > place or place + length > len(out):
+        raise ValueError("a back-reference leaves the image")
+    done = 0
+    while done < length:
+        step = min(length - done, far + done)
+        out[place + done : place + done + step] = out[place - far : place - far + step]
+        done += step
+
+
+def _read_green(bits: Bits, green: Code, distance: Code, width: int, n: int) -> np.ndarray:
+    """The green bytes of n pixels whose other channels take no bits."""
+    out, made = np.empty(n, np.uint8), 0
+    kind = green.length | (green.symbol >= 256).astype(np.uint8) << np.uint8(7)
+    mask = np.uint32((1 << green.bits) - 1)
+    while made < n:
+        here = _window(bits.data, bits.at, BLOCK_BITS + 64, False) & mask
+        size = kind[here]
+        back = np.flatnonzero(size >= 128) if green.refers else np.zeros(0, np.int64)
+        if len(back):
+            length, code, size[back] = _references(bits.data, bits.at, back, green, distance, here)
+        end = min(BLOCK_BITS, 8 * len(bits.data) - bits.at)
+        if end <= 0:
+            raise ValueError("the data end early")
+        where = _follow(size, end)
+        counts = None
+        if len(back):
+            jumps = np.flatnonzero(kind[here[where]] >= 128)
+            which = np.searchsorted(back, where[jumps])
+            counts = np.ones(len(where), np.int64)
+            counts[jumps] = length[which]
+            ends = np.cumsum(counts)
+            used = min(len(where), int(np.searchsorted(ends, n - made)) + 1)
+        else:
+            used = min(len(where), n - made)
+        last = int(where[used - 1])
+        bits.at += last + int(size[last])
+        if counts is None:
+            out[made : made + used] = green.symbol[here[where[:used]]]
+            made += used
+            continue
+        starts = made + ends[:used] - counts[:used]
+        plain = np.ones(used, bool)
+        jumps, which = jumps[jumps < used], which[: np.count_nonzero(jumps < used)]
+        plain[jumps] = False
+        if made + int(ends[used - 1]) > n:
+            raise ValueError("a back-reference leaves the image")
+        out[starts[plain]] = green.symbol[here[where[:used][plain]]]
+        for place, k in zip(starts[jumps].tolist(), which.tolist(), strict=True):
+            _copy(out, place, int(length[k]), _distance(int(code[k]), width))
+        made += int(ends[used - 1])
+    return out
+
+
+def _references(data: bytes, start: int, back: np.ndarray, green: Code, distance: Code, here: np.ndarray):
+    """(lengths, distance codes, bits taken) of the back-references that would begin at the places in back."""
+    raw = np.frombuffer(data[start // 8 :] + b"\0" * 24, np.uint8)
+    last = len(raw) - 8
+
+    def ahead(place: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """n bits from each place on; 32 at most."""
+        at = place + start % 8
+        first = np.minimum(at >> 3, last)
+        words = raw[first[:, None] + np.arange(8)].view("<u8").reshape(-1)
+        return (words >> (at & 7).astype(np.uint64) & ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
+    base, extra = _prefix_values(green.symbol[here[back]] - np.uint16(256))
+    p = back + green.length[here[back]]
+    length = base + ahead(p, extra)
+    p = p + extra
+    found = ahead(p, np.full(len(p), distance.bits))
+    p = p + distance.length[found]
+    base, extra = _prefix_values(distance.symbol[found])
+    code = base + ahead(p, extra)
+    return length, code, (p + extra - back).astype(np.uint8)
+
+
+def _follow(size: np.ndarray, end: int) -> np.ndarray:
+    """The places of tokens, one behind the other, from place 0 up to end. Only every fourth is walked to."""
+    place = np.arange(len(size), dtype=np.int32)
+    two = size + size.take(place + size, mode="clip")
+    four = (two + two.take(place + two, mode="clip")).tobytes()  # a token has 15 + 10 + 15 + 18 bits at most
     own: list[int] = []
     add, p = own.append, 0
-    for _ in range(-(-n // 4)):
+    while p < end:
         add(p)
         p += four[p]
     first = np.array(own, np.int32)
     third = first + two[first]
     out = np.empty((len(first), 4), np.int32)
     out[:, 0], out[:, 2] = first, third
-    out[:, 1] = first + one[first]
-    out[:, 3] = third + one.take(third, mode="clip")
-    return out.reshape(-1)[:n]
+    out[:, 1] = first + size[first]
+    out[:, 3] = third + size.take(third, mode="clip")
+    out = out.reshape(-1)
+    return out[: int(np.searchsorted(out, end))]
 
 
 def _window(data: bytes, start: int, most: int, wide: bool) -> np.ndarray:
@@ -546,18 +618,25 @@ def predictor(pixels: np.ndarray, modes: np.ndarray, bits: int, inverse: bool) -
     height, width = pixels.shape
     whole = source.copy() if not inverse else np.zeros_like(source)
     out = np.zeros_like(source)
-    one = len(np.unique((modes >> 8) & 15)) == 1
+    kinds = np.unique((modes >> 8) & 15)
+    if len(kinds) == 1 and kinds[0] in (1, 2):  # from the left, or from above, all over: running sums or differences
+        first, then = (0, 1) if kinds[0] == 1 else (1, 0)
+        if inverse:
+            source[0, 0, 3] += 255
+            edge = (slice(None), 0) if kinds[0] == 1 else (0, slice(None))
+            source[edge] = np.cumsum(source[edge], axis=0)
+            return _join((np.cumsum(source, axis=then) & 255).astype(np.uint8))
+        out = source.copy()
+        edge = (slice(1, None), 0) if first == 0 else (0, slice(1, None))
+        before = (slice(None, -1), 0) if first == 0 else (0, slice(None, -1))
+        if then == 1:
+            out[:, 1:] -= source[:, :-1]
+        else:
+            out[1:] -= source[:-1]
+        out[edge] = source[edge] - source[before]
+        out[0, 0, 3] -= 255
+        return _join((out & 255).astype(np.uint8))
     for y in range(height):
-        if y and one and _mode_at(modes, 0, 0, bits) == 2 and inverse:  # from above alone: a row at once
-            whole[y, 1:] = (source[y, 1:] + whole[y - 1, 1:]) & 255
-            whole[y, 0] = (source[y, 0] + whole[y - 1, 0]) & 255
-            continue
-        if (not y or one and _mode_at(modes, 0, 0, bits) == 1) and inverse:  # from the left alone: running sums
-            first = np.array([0, 0, 0, 255]) if not y else whole[y - 1, 0]
-            row = source[y].copy()
-            row[0] += first
-            whole[y] = np.cumsum(row, axis=0) & 255
-            continue
         for x in range(width):
             if not y:
                 guess = np.array([0, 0, 0, 255]) if not x else whole[y, x - 1]
@@ -652,9 +731,7 @@ def _tokens(pixels: np.ndarray, width: int, refs: bool, cache_bits: int):
     seen: dict[bytes, int] = {}
     values, raw = flat.tolist(), flat.astype("<u4").tobytes()
     cache, shift = [None] * (1 << cache_bits), 32 - cache_bits
-    codes = {}
-    for code in range(120, 0, -1):
-        codes[_distance(code, width)] = code
+    codes = _codes_of_distances(width)
     while at < n:
         length = far = 0
         if refs:
@@ -682,7 +759,91 @@ def _tokens(pixels: np.ndarray, width: int, refs: bool, cache_bits: int):
     return out
 
 
-def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, refs: bool = False, cache_bits: int = 0) -> None:
+def repeats(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, how far back) of stretches of LONG bytes and more that stood before, from left to right.
+
+    Hashes of LONG bytes at every LONGth place are kept; those of all places are looked up among them.
+    """
+    n = len(samples) - LONG + 1
+    if n <= 1:
+        return []
+    raw = np.ascontiguousarray(samples, np.uint8).tobytes()
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    hashes = eight[:n] * _ODD[0]
+    for k in range(1, LONG // 8):
+        hashes += eight[8 * k : 8 * k + n] * _ODD[k]
+    hashes ^= hashes >> np.uint64(31)
+    hashes *= _ODD[0]
+    kept, first = np.unique(hashes[::LONG], return_index=True)
+    shift = np.uint64(64 - max(10, len(kept).bit_length() + 4))
+    maybe = np.zeros(1 << (64 - int(shift)), bool)
+    maybe[kept >> shift] = True
+    at = np.flatnonzero(maybe[hashes >> shift])
+    which = np.minimum(np.searchsorted(kept, hashes[at]), len(kept) - 1)
+    source = first[which] * LONG
+    fine = (kept[which] == hashes[at]) & (source < at) & (at - source < FARTHEST)
+    out, end, size = [], 0, len(raw)
+    for place, start in zip(at[fine].tolist(), source[fine].tolist(), strict=True):
+        if place < end or raw[place : place + LONG] != raw[start : start + LONG]:
+            continue
+        length, step = LONG, 64
+        while place + length < size:
+            if raw[place + length : place + length + step] == raw[start + length : start + length + step] and place + length + step <= size:
+                length += step
+                step *= 2
+            elif step > 1:
+                step //= 2
+            else:
+                break
+        while place > end and start > 0 and raw[place - 1] == raw[start - 1]:
+            place, start, length = place - 1, start - 1, length + 1
+        end = place + length
+        while length:  # a last part too short for a token of its own is taken off the one before
+            part = length if length <= LONGEST else min(LONGEST, length - LONG)
+            out.append((place, part, place - start))
+            place, start, length = place + part, start + part, length - part
+    return out
+
+
+@lru_cache(maxsize=16)
+def _codes_of_distances(width: int) -> dict[int, int]:
+    return {_distance(code, width): code for code in range(120, 0, -1)}
+
+
+def _write_green(out: BitWriter, samples: np.ndarray, rest: tuple[int, int, int], width: int, jumps: list[tuple[int, int, int]]) -> None:
+    """Green bytes, the other channels (red, blue, alpha) being the same all over, with back-references."""
+    codes = _codes_of_distances(width)
+    own = [(_prefix_of(length), _prefix_of(codes.get(far, far + 120))) for _, length, far in jumps]
+    ends = np.zeros(len(samples) + 1, np.int8)
+    for place, length, _ in jumps:
+        ends[place] += 1
+        ends[place + length] -= 1
+    plain = samples[np.cumsum(ends[:-1], dtype=np.int8) == 0]
+    before = [place for place, _, _ in jumps]
+    before = np.array(before, np.int64) - np.cumsum([0, *(length for _, length, _ in jumps[:-1])])
+    counts = np.bincount(plain, minlength=256 + LENGTH_SYMBOLS)
+    far_counts = np.zeros(DISTANCE_SYMBOLS, int)
+    for (s, _, _), (d, _, _) in own:
+        counts[256 + s] += 1
+        far_counts[d] += 1
+    lengths, far_lengths = code_lengths(counts, CODE_LIMIT), code_lengths(far_counts, CODE_LIMIT)
+    _write_code(out, lengths)
+    for value in rest:
+        _write_code(out, [0] * value + [1])
+    _write_code(out, far_lengths)
+    codes_of, far_codes, alone = canonical(lengths), canonical(far_lengths), np.count_nonzero(far_counts) == 1
+    fields = [((int(codes_of[256 + s]), lengths[256 + s]), (x, n), (int(far_codes[d]), 0 if alone else far_lengths[d]), (y, m)) for (s, x, n), (d, y, m) in own]
+    fields = np.array(fields, np.int64).reshape(-1, 2)
+    fields[fields[:, 1] == 0, 0] = 0
+    literal = np.ones(len(plain) + len(fields), bool)
+    literal[np.repeat(before, 4) + np.arange(len(fields))] = False
+    both = np.empty((2, len(literal)), np.int64)
+    both[:, literal] = codes_of[plain], np.array(lengths)[plain]
+    both[:, ~literal] = fields.T
+    out.put_many(*both)
+
+
+def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, refs: bool | str = False, cache_bits: int = 0) -> None:
     out.put(int(cache_bits > 0), 1)
     if cache_bits:
         out.put(cache_bits, 4)
@@ -690,11 +851,20 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, refs: bool = Fa
         out.put(0, 1)  # one group of codes
     alphabet = 256 + LENGTH_SYMBOLS + ((1 << cache_bits) if cache_bits else 0)
     width = pixels.shape[-1]
-    tokens = _tokens(pixels, width, refs, cache_bits)
     parts = _split(pixels.reshape(-1))
+    if refs == "long":
+        jumps = [] if ((pixels ^ pixels.flat[0]) & np.uint32(0xFFFF00FF)).any() else repeats(parts[:, 1])
+        if jumps and _saved(parts[:, 1], jumps) > SAVED:
+            _write_green(out, parts[:, 1], tuple(int(parts[0, k]) for k in (2, 0, 3)), width, jumps)
+            return
+        refs = False
+    tokens = _tokens(pixels, width, refs, cache_bits)
     if tokens is None:
         fields = []
         for k, size in ((1, alphabet), (2, 256), (0, 256), (3, 256)):
+            if k != 1 and not (parts[:, k] != parts[0, k]).any():
+                _write_code(out, [0] * int(parts[0, k]) + [1])
+                continue
             counts = np.bincount(parts[:, k], minlength=size)
             lengths = code_lengths(counts, CODE_LIMIT)
             _write_code(out, lengths)
@@ -734,9 +904,24 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, refs: bool = Fa
                 out.put(int(codes[field[0]][field[1]]), lengths[field[0]][field[1]])
 
 
-def encode(pixels: np.ndarray, transforms=(), refs: bool = False, cache_bits: int = 0, tile_bits: int = 4, modes=None, cross=None) -> bytes:
+def _saved(samples: np.ndarray, jumps: list[tuple[int, int, int]]) -> float:
+    """The share of the literals' bits that back-references save, about."""
+    bits = _entropy(samples)
+    taken = sum(length for _, length, _ in jumps)
+    return (taken * bits - len(jumps) * JUMP_BITS - CODE_BITS) / max(1.0, len(samples) * bits)
+
+
+def _entropy(samples: np.ndarray) -> float:
+    """Bits a sample."""
+    counts = np.bincount(samples, minlength=256)
+    shares = counts[counts > 0] / len(samples)
+    return float(-(shares * np.log2(shares)).sum())
+
+
+def encode(pixels: np.ndarray, transforms=(), refs: bool | str = False, cache_bits: int = 0, tile_bits: int = 4, modes=None, cross=None) -> bytes:
     """A WebP file of ARGB pixels (height, width), with the transforms in the order given.
 
+    refs: back-references of 4 pixels and more, or "long": of LONG and more, where green alone varies and they pay.
     modes: predictor modes by tile (mode 1 everywhere by default); cross: cross-colour multipliers by tile, as pixels.
     """
     height, width = pixels.shape
