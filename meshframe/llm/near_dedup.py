@@ -234,5 +234,12 @@ def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", pe
     return out
 
 
+def drop_near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """The rows of df, with all their columns, that are kept: a row goes by its identifier and text, not by the former
+    alone."""
+    gone = near_duplicates(df, text, ident, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")).distinct()
+    return df.join(gone, (df[ident].cast("long") == F.col("__gone")) & (F.xxhash64(F.coalesce(df[text], F.lit(""))) == F.col("__gone_key")), "left_anti")
+
+
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
