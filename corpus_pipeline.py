@@ -1,7 +1,12 @@
 """A corpus pipeline: toxic documents go, copies go, near copies go, sources are mixed, and texts become token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written
-as Parquet and read again as the next stage's docs. All stages but the last return the columns of documents.
+as Parquet and read again as the next stage's docs. All stages but the last return the columns of documents; other columns
+that docs has are carried along, whatever their names, and the last stage leaves them out.
+
+Null and empty texts are not toxic, are copies of each other, and have no near copies; the mix takes none of them, as they
+have no words. Null identifiers and repeated rows are rows of their own: rows that are alike are copies. A very long text
+goes through in whole. Ties are decided as the operators state. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,9 +29,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked documents, the one with the smallest doc_id stays. Rows that share an identifier are judged
+    each by its text."""
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: No SQL expresses the tagger or the tokenizer; the tests hold run() against a brute-force version.
+#: No SQL expresses the tagger or the tokenizer; the tests hold run() against a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
