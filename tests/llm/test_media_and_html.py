@@ -216,7 +216,6 @@ def test_repeats():
 
 def test_odd_texts(spark, monkeypatch):
     """Nulls, texts of several images, repeated rows, and columns with clashing names."""
-    monkeypatch.setattr(media, "MOST_BYTES", 576 * 4)
     rows = [(1, None, "a"), (2, "", None), (3, "lorem ipsum " * 1000, "c"), (3, "lorem ipsum " * 1000, "c"), (None, "x", "d")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, feature string")
     stored = {(r["doc_id"], bytes(r["media"])) for r in media.to_media(frame).collect()}
@@ -224,7 +223,10 @@ def test_odd_texts(spark, monkeypatch):
     for i, m in stored:
         text = next(t for j, t, _ in rows if i == j) or ""
         assert media.load(m) == media.padded(text.encode())
-    assert len(list(media.images(next(m for i, m in stored if i == 3)))) == -(-len(media.padded(b"lorem ipsum " * 1000)) // (576 * 4))
+    with monkeypatch.context() as m:
+        m.setattr(media, "MOST_BYTES", 576 * 4)
+        payload = media.padded(b"lorem ipsum " * 1000)
+        assert media.load(media.store(payload)) == payload and len(list(media.images(media.store(payload)))) == -(-len(payload) // (576 * 4))
     out = frame.select("doc_id", "text").mapInArrow(media._media, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").collect()
     assert len(out) == 5 and out[2] == out[3] and out[0][1:] == out[1][1:]
 
