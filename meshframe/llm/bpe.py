@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from meshframe.llm.common import table
 
 #: Entries of a process's tables at most; a table that is full is emptied, but for the words of the moment.
-MOST_WORDS, MOST_PIECES, MOST_PAIRS, LONGEST_KEPT = 300_000, 500_000, 400_000, 64
+MOST_WORDS, MOST_PIECES, MOST_PAIRS, LONGEST_KEPT = 150_000, 200_000, 200_000, 64
 #: Texts are encoded together up to so many characters.
 TOGETHER = 3_000_000
 #: Marks that, behind letters, are a piece of their own.

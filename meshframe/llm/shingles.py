@@ -21,7 +21,7 @@ BANDS = REGISTERS // BAND_ROWS
 #: A text is cut into words in pieces of about so many bytes; and shingles go on in groups of about so many.
 PIECE, GROUP = 1 << 21, 1 << 17
 #: Words whose hashes are remembered, and the longest of them in bytes.
-MOST_KNOWN, LONGEST_KNOWN = 300_000, 48
+MOST_KNOWN, LONGEST_KNOWN = 100_000, 48
 
 _rng = np.random.default_rng(20240607)
 _PLACE = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -26,7 +26,7 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ FOLDS = 4
 #: Log-likelihood ratio at which a feature marks toxic documents.
 LEAST_GAIN = 12.0
 #: Tokens and words whose emissions are remembered; the longest of them; characters of a text and tokens held at once.
-MOST_KNOWN, LONGEST_KNOWN, PIECE, TOGETHER = 300_000, 64, 1 << 20, 1 << 18
+MOST_KNOWN, LONGEST_KNOWN, PIECE, TOGETHER = 120_000, 64, 1 << 20, 1 << 17
 #: Tokens of a stretch that a step of the scan goes through side by side with other stretches.
 STRETCH = 64
 #: Emissions and log-odds are cut here for the sake of floating point alone.
@@ -200,18 +200,23 @@ class Chain:
             out[lo:hi] += np.log(ratio)[::-1]
         return out
 
-    def evidence(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def evidence(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows of the log-odds of any toxic token and the length's logarithm; log-odds of all tokens; the ends of texts
         among them) for runs of texts."""
         held, size = [], 0
-        for i, text in enumerate(texts):
+        for text in texts:
             held.append(self.emissions(text))
             size += len(held[-1])
-            if size >= TOGETHER or i + 1 == len(texts):
-                ends = np.cumsum([len(e) for e in held])
-                odds = self.log_odds(np.concatenate(held), ends) if size else np.zeros(0)
-                yield _aggregate(odds, ends), odds, ends
+            if size >= TOGETHER:
+                yield self._run(held)
                 held, size = [], 0
+        if held:
+            yield self._run(held)
+
+    def _run(self, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ends = np.cumsum([len(e) for e in held])
+        odds = self.log_odds(np.concatenate(held), ends) if ends[-1] else np.zeros(0)
+        return _aggregate(odds, ends), odds, ends
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         x = evidence @ self.fit[:-1] + self.fit[-1]
@@ -443,7 +448,7 @@ def _evidence(model):
     def run(batches):
         chain = Chain(*model.value)
         for batch in batches:
-            x = np.concatenate([np.zeros((0, 2)), *(x for x, _, _ in chain.evidence([v.as_py() or "" for v in batch.column("text")]))])
+            x = np.concatenate([np.zeros((0, 2)), *(x for x, _, _ in chain.evidence(v.as_py() or "" for v in batch.column("text")))])
             yield pa.RecordBatch.from_arrays([batch.column("label"), *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(2)]], names=["label", "any", "length"])
 
     return run
@@ -512,7 +517,7 @@ def _clean_only(model, threshold: float, text: str):
     def run(batches):
         chain = Chain(*model.value)
         for batch in batches:
-            scores = [chain.score(x) for x, _, _ in chain.evidence([v.as_py() or "" for v in batch.column(text)])]
+            scores = [chain.score(x) for x, _, _ in chain.evidence(v.as_py() or "" for v in batch.column(text))]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *scores]) < threshold))
 
     return run
