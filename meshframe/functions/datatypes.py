@@ -8,11 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType
 
 from meshframe.errors import InvalidArgument
 
@@ -104,26 +101,46 @@ def times(a: Column, b: Column, bits: int) -> Column:
     return F.pmod((high_part + (a * low_part).cast(WIDE)).cast(WIDE), span).cast(WIDE)
 
 
+def _place(value: Column, digits: int, least: int) -> Column:
+    """The value of the last binary place of a DOUBLE that is kept to so many digits, 2**least at least."""
+    size = F.abs(value)
+    near = F.pow(F.lit(2.0), F.floor(F.log2(size)))  # one power off at most; comparisons put it right
+    power = F.when(near > size, near / 2).when(near * 2 <= size, near * 2).otherwise(near)
+    return F.greatest(power * 2.0 ** (1 - digits), F.lit(2.0**least))
+
+
+def _fixed(value: Column) -> Column:
+    """Values that no format changes: zeros, infinities, NaN."""
+    return (value == 0) | F.isnan(value) | (F.abs(value) == float("inf"))
+
+
 def truncate_bf16(value: Column) -> Column:
-    """A FLOAT with the lower half of its bits cleared."""
-    bits = F.call_function("java_method", F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), value.cast("float")).cast("int")
-    return F.call_function("java_method", F.lit("java.lang.Float"), F.lit("intBitsToFloat"), bits.bitwiseAND(F.lit(-65536))).cast("float")
+    """A FLOAT with the lower half of its bits cleared: 8 binary digits, what is below them dropped."""
+    x = value.cast("double")
+    return F.when(value.isNull() | _fixed(x), value.cast("float")).otherwise(x - x % _place(x, 8, -133)).cast("float")
+
+
+def _to_nearest(value: Column, digits: int, least: int, over: float) -> Column:
+    """To so many binary digits, ties to even; from over on infinite."""
+    x = value.cast("double")
+    place = _place(x, digits, least)
+    rest = x % place
+    low = x - rest
+    odd = F.abs(low / place) % 2 == 1
+    up = (F.abs(rest) * 2 > place) | ((F.abs(rest) * 2 == place) & odd)
+    whole = F.when(up, low + F.signum(x) * place).otherwise(low)
+    whole = F.when(F.abs(whole) >= over, F.signum(x) * float("inf")).otherwise(whole)
+    return F.when(value.isNull() | _fixed(x), value.cast("float")).otherwise(whole).cast("float")
 
 
 def round_bf16(value: Column) -> Column:
     """A FLOAT rounded to the nearest bfloat16, ties to even; NaN and infinities stay."""
-    bits = F.call_function("java_method", F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), value.cast("float")).cast("int").cast("bigint")
-    odd = F.shiftright(bits, 16).bitwiseAND(F.lit(1))
-    rounded = (bits + F.lit(0x7FFF) + odd).bitwiseAND(F.lit(~0xFFFF))
-    whole = F.call_function("java_method", F.lit("java.lang.Float"), F.lit("intBitsToFloat"), wrap(rounded, BUILT_IN["int32"])).cast("float")
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), value.cast("float")).otherwise(whole)
-
-
-@F.pandas_udf(FloatType())
-def round_fp16(values: pd.Series) -> pd.Series:
-    """Floats rounded to the nearest float16, ties to even."""
-    with np.errstate(over="ignore"):
-        return pd.Series(values.to_numpy(np.float32, na_value=np.nan).astype(np.float16).astype(np.float32)).where(values.notna().to_numpy(), None)
+    return _to_nearest(value, 8, -133, 2.0**128)
+
+
+def round_fp16(value: Column) -> Column:
+    """A FLOAT rounded to the nearest float16, ties to even; NaN and infinities stay."""
+    return _to_nearest(value, 11, -24, 65536.0)
 
 
 def to_element(value: Column, dtype: DataType, rounding: str = "truncate") -> Column:

@@ -1,20 +1,23 @@
 """Reductions as aggregate expressions.
 
 Sums of integers are exact (DECIMAL) and wrapped once, which equals wrapping at each step. Products of integers are
-folded modulo the width: a fold holds one value a rank, so its size is the communicator's. min and max are Spark's (NaN
-is largest). bfloat16 and float16 are reduced as FLOAT in double precision with one conversion at the end; strict=True
-folds in the order of ranks and converts after each step.
+folded modulo the width; products() multiplies what a task has of an element first, so that a fold holds a value a batch.
+min and max are Spark's (NaN is largest). bfloat16 and float16 are reduced as FLOAT in double precision with one
+conversion at the end; strict=True folds in the order of ranks, for buffers with an element a rank, and converts after
+each step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.errors import InvalidArgument, Unsupported
-from meshframe.functions.datatypes import WIDE, DataType, times, to_element, truncate_bf16
+from meshframe.errors import InvalidArgument
+from meshframe.functions.datatypes import BUILT_IN, WIDE, DataType, round_bf16, round_fp16, times, to_element, truncate_bf16, wrap
 
 SUM, PROD, MIN, MAX = "sum", "prod", "min", "max"
 #: A custom reduction: from a column to an aggregate (a grouped pandas UDF will do).
@@ -32,7 +35,7 @@ def reduction(op: str | Custom, value: Column, dtype: DataType, rank: Column | N
     if dtype.kind == "custom":
         raise InvalidArgument("elements of a custom type need a custom reduction")
     if strict and dtype.kind == "float":
-        return _ordered(op, value, dtype, rank)
+        return _ordered(op, value, dtype, rank, rounding)
     if op == SUM:
         return to_element(F.sum(_wide(value, dtype)), dtype, rounding)
     if op == PROD:
@@ -47,16 +50,34 @@ def reduction(op: str | Custom, value: Column, dtype: DataType, rank: Column | N
     raise InvalidArgument(f"unknown reduction {op}")
 
 
-def _ordered(op: str, value: Column, dtype: DataType, rank: Column | None) -> Column:
+def _ordered(op: str, value: Column, dtype: DataType, rank: Column | None, rounding: str) -> Column:
     if rank is None:
         raise InvalidArgument("a strict reduction needs the ranks")
-    if dtype.name == "float16":
-        raise Unsupported("strict float16 folds have no expression; reduce in float32")
     kind = "double" if dtype.name == "float64" else "float"
-    end = (lambda c: truncate_bf16(c)) if dtype.name == "bfloat16" else (lambda c: c.cast(kind))
+    end = {"bfloat16": truncate_bf16 if rounding == "truncate" else round_bf16, "float16": round_fp16}.get(dtype.name, lambda c: c.cast(kind))
     ops = {SUM: lambda a, b: a + b, PROD: lambda a, b: a * b, MIN: F.least, MAX: F.greatest}
     if op not in ops:
         raise InvalidArgument(f"unknown reduction {op}")
     values = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), value.cast(kind).alias("v")))), lambda s: s["v"])
     rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
     return F.aggregate(rest, F.element_at(values, 1), lambda a, b: end(ops[op](a, b)))
+
+
+def _multiplied(batches):
+    """Each batch's product of the values of an element, modulo 2**64."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        buf, idx, value = (np.asarray(batch.column(c)) for c in ("buf_id", "idx", "value"))
+        order = np.lexsort((idx, buf))
+        buf, idx, value = buf[order], idx[order], value[order]
+        first = np.flatnonzero(np.concatenate(([True], (buf[1:] != buf[:-1]) | (idx[1:] != idx[:-1]))))
+        product = np.multiply.reduceat(value.view(np.uint64), first).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(buf[first]), pa.array(idx[first]), pa.array(product)], names=["buf_id", "idx", "value"])
+
+
+def products(buffers: DataFrame, dtype: DataType) -> DataFrame:
+    """(buf_id, idx, value BIGINT): partial products of integers modulo 2**64, which any narrower width divides."""
+    rows = buffers.select("buf_id", "idx", wrap(F.col("value"), BUILT_IN["int64"]).alias("value"))
+    rows = rows.where("buf_id is not null and idx is not null and value is not null")
+    return rows.mapInArrow(_multiplied, "buf_id int, idx bigint, value bigint")

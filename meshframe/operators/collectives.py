@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshframe.errors import InvalidArgument
 from meshframe.functions.datatypes import REGISTRY
-from meshframe.functions.reductions import reduction
+from meshframe.functions.reductions import PROD, products, reduction
 from meshframe.operators.comm import Communicator
 
 
@@ -36,6 +36,8 @@ class Replicated:
 
 
 def _reduced(buffers: DataFrame, op, dtype, strict: bool, rounding: str) -> DataFrame:
+    if op == PROD and REGISTRY[dtype].kind in ("int", "uint"):
+        buffers = products(buffers, REGISTRY[dtype]).withColumn("rank", F.lit(0))
     value = reduction(op, F.col("value"), REGISTRY[dtype], F.col("rank"), strict, rounding)
     return buffers.groupBy("buf_id", "idx").agg(value.alias("value"))
 
@@ -51,6 +53,15 @@ def allreduce_2d(buffers: DataFrame, comm: Communicator, per_node: int, op="sum"
     return allreduce(inner, comm, op, dtype)
 
 
+def allreduce_packed(packed: DataFrame, comm: Communicator, width: int, op="sum", dtype: str = "float32", rounding: str = "truncate") -> Replicated:
+    """Buffers in packed form (rank, buf_id, chunk_id, values of width elements): arrays are reduced place by place, so a
+    row of the exchange is a chunk. The values come out in long form."""
+    places = [reduction(op, F.get("values", F.lit(i)), REGISTRY[dtype], rounding=rounding) for i in range(width)]
+    chunks = packed.groupBy("buf_id", "chunk_id").agg(F.array(*places).alias("values"), F.max(F.size("values")).alias("n"))
+    rows = chunks.select("buf_id", "chunk_id", F.posexplode(F.slice("values", 1, F.col("n"))).alias("pos", "value"))
+    return Replicated(rows.select("buf_id", (F.col("chunk_id") * width + F.col("pos")).alias("idx"), "value"), comm)
+
+
 def reduce(buffers: DataFrame, comm: Communicator, root: int, op="sum", dtype: str = "float32", strict: bool = False, rounding: str = "truncate") -> DataFrame:
     """Rows of the root alone; other ranks receive nothing."""
     return Replicated(_reduced(buffers, op, dtype, strict, rounding), comm).on(root)
@@ -133,9 +144,23 @@ def alltoall_vector(buffers: DataFrame, comm: Communicator, count: int) -> DataF
     return buffers.where(idx < comm.size * count).select(F.floor(idx / count).cast("int").alias("rank"), F.col("rank").alias("src_rank"), "buf_id", (idx % count).alias("idx"), "value")
 
 
-def alltoallv(messages: DataFrame, comm: Communicator) -> DataFrame:
-    """messages: (src, dst, buf_id, idx, value), idx dense from 0 for each pair. Receivers lay blocks out by sender."""
-    counts = messages.groupBy("dst", "src", "buf_id").agg(F.count(F.lit(1)).alias("n"))
+def check_matrix(send_counts: DataFrame, recv_counts: DataFrame) -> None:
+    """What src means to send to dst (src, dst, buf_id, n) is what dst expects from src; a missing count is 0."""
+    met = send_counts.withColumnRenamed("n", "sent").join(recv_counts.withColumnRenamed("n", "expected"), ["src", "dst", "buf_id"], "full")
+    row = met.where(F.coalesce("sent", F.lit(0)) != F.coalesce("expected", F.lit(0))).first()
+    if row is not None:
+        raise InvalidArgument(f"rank {row['src']} sends {row['sent'] or 0} elements to rank {row['dst']}, which expects {row['expected'] or 0}")
+
+
+def alltoallv(messages: DataFrame, comm: Communicator, counts: DataFrame | None = None, recv_counts: DataFrame | None = None) -> DataFrame:
+    """messages: (src, dst, buf_id, idx, value), idx dense from 0 for each pair. Receivers lay blocks out by sender.
+
+    counts: (src, dst, buf_id, n), taken from the messages if not given; recv_counts: what receivers expect, checked.
+    """
+    if counts is None:
+        counts = messages.groupBy("dst", "src", "buf_id").agg(F.count(F.lit(1)).alias("n"))
+    if recv_counts is not None:
+        check_matrix(counts, recv_counts)
     starts = offsets(counts, ["dst", "buf_id"], "src").select("dst", "src", "buf_id", "offset")
     placed = messages.join(F.broadcast(starts), ["dst", "src", "buf_id"])  # a row for each pair of ranks
     return placed.select(F.col("dst").cast("int").alias("rank"), "buf_id", (F.col("offset") + F.col("idx")).alias("idx"), "value")
@@ -153,8 +178,11 @@ def split_blocks(buffers: DataFrame, send_counts: DataFrame) -> DataFrame:
     return met.select("src", "dst", "buf_id", (F.col("idx") - F.col("offset")).alias("idx"), "value")
 
 
-def barrier(df: DataFrame) -> DataFrame:
-    """All tasks of the stage wait for each other; it needs a slot for each partition."""
+def barrier(spark: SparkSession, comm: Communicator) -> None:
+    """A task for each rank, which all wait for each other. It needs a slot for each, and moves no data: actions before it
+    are done, and plans that run later start later."""
+    if comm.size > spark.sparkContext.defaultParallelism:
+        raise InvalidArgument(f"{comm.size} ranks can't wait for each other in {spark.sparkContext.defaultParallelism} slots")
 
     def wait(batches):
         from pyspark import BarrierTaskContext
@@ -162,4 +190,4 @@ def barrier(df: DataFrame) -> DataFrame:
         BarrierTaskContext.get().barrier()
         yield from batches
 
-    return df.mapInArrow(wait, df.schema, barrier=True)
+    spark.range(0, comm.size, 1, comm.size).mapInArrow(wait, "id long", barrier=True).write.format("noop").mode("overwrite").save()

@@ -31,6 +31,10 @@ class Communicator:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.range(self.size).select(F.col("id").cast("int").alias("rank"))
 
+    def handle(self, rank: int, device: object = None, context: object = None) -> Handle:
+        """What one rank holds of the communicator."""
+        return Handle(self, self.check_root(rank), device, context)
+
     def check_root(self, root: int) -> int:
         if not 0 <= root < self.size:
             raise InvalidArgument(f"root {root} is not below {self.size}")
@@ -57,6 +61,20 @@ class Communicator:
         return {c: Communicator(len(m), f"{self.name}/{c}", tuple(m)) for c, m in sorted(parts.items())}
 
 
+@dataclass(frozen=True)
+class Handle:
+    """A rank's view: its number, the size, and the device and context it was made with, which Spark has no use for."""
+
+    comm: Communicator
+    rank: int
+    device: object = None
+    context: object = None
+
+    @property
+    def size(self) -> int:
+        return self.comm.size
+
+
 def split_table(ranks: DataFrame, color: str = "color", key: str | None = None) -> DataFrame:
     """(rank, color) with new_rank and new_size, for groups of any number of ranks."""
     part = Window.partitionBy(color)
@@ -76,16 +94,49 @@ def topology(ranks: DataFrame, per_node: int) -> DataFrame:
     )
 
 
+def topology_from(ranks: DataFrame, colours: dict[str, str]) -> DataFrame:
+    """Colours as an environment gives them: for each name a text of one number a rank, joined by commas."""
+    for name, text in colours.items():
+        parts = text.split(",")
+        if not all(p.strip().isdigit() for p in parts):
+            raise InvalidArgument(f"{name}: not a list of colours: {text}")
+        ranks = ranks.withColumn(name, F.get(F.lit([int(p) for p in parts]), F.col("rank")))
+        if ranks.where(F.col(name).isNull()).first() is not None:
+            raise InvalidArgument(f"{name}: a rank has no colour")
+    return ranks
+
+
 class KeyValueStore:
-    """The rendezvous store; in Spark only the driver needs one."""
+    """The rendezvous store; in Spark only the driver needs one. create() makes one, and attach() finds it by address."""
+
+    _stores: dict[str, KeyValueStore] = {}
 
     def __init__(self, address: str | None = None):
         self.address = address or f"driver:{id(self):x}"
         self._values: dict[str, str] = {}
 
+    @classmethod
+    def create(cls, address: str | None = None) -> KeyValueStore:
+        store = cls(address)
+        if store.address in cls._stores:
+            raise InvalidArgument(f"{store.address} is taken")
+        cls._stores[store.address] = store
+        return store
+
+    @classmethod
+    def attach(cls, address: str) -> KeyValueStore:
+        if address not in cls._stores:
+            raise InvalidArgument(f"no store at {address}")
+        return cls._stores[address]
+
+    def close(self) -> None:
+        self._stores.pop(self.address, None)
+
     def set(self, key: str, value: str) -> None:
-        if not value:
-            raise InvalidArgument("a value is not empty")
+        """Values are texts that are not empty; a NUL at the end, as C callers have it, is not part of them."""
+        value = value.removesuffix("\0")
+        if not value or "\0" in value:
+            raise InvalidArgument("a value is not empty and ends at the first NUL")
         self._values[key] = value
 
     def get(self, key: str) -> str:

@@ -13,8 +13,9 @@ from meshframe.functions.datatypes import REGISTRY, Registry, round_fp16, trunca
 from meshframe.operators import collectives as C
 from meshframe.operators import p2p
 from meshframe.operators.comm import Communicator, split_table, topology
-from meshframe.plans import selection
-from meshframe.sources.buffers import arrays_to_buffers, pack, positions, read, to_buffers, unpack
+from meshframe.plans import planned
+from meshframe.plans.settings import Settings
+from meshframe.sources.buffers import arrays_to_buffers, positions_and_counts, read, to_buffers
 from meshframe.streaming.runtime import Call, OpAttr, Runtime, fuse
 
 P = 4
@@ -66,10 +67,11 @@ ORDERS = f"(SELECT (o_orderkey % {P})::INT AS rank, 0 AS buf_id, o_orderkey // {
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events from the user's rank to the event's rank; positions in each pair follow event_id."""
+    """events from the user's rank to the event's rank, positions in each pair following event_id; and (src, dst, buf_id, n)."""
     rows = read(spark, sf_dir, "events").select("event_id", "user_id", "value")
     rows = rows.select("event_id", (F.col("user_id") % P).cast("int").alias("src"), (F.col("event_id") % P).cast("int").alias("dst"), F.lit(0).alias("buf_id"), F.round(F.col("value") * 100).cast("bigint").alias("value"))
-    return positions(rows, ["src", "dst"], "event_id").select("src", "dst", "buf_id", "idx", "value")
+    placed, counts = positions_and_counts(rows, ["src", "dst"], "event_id")
+    return placed.select("src", "dst", "buf_id", "idx", "value"), counts.select("src", "dst", F.lit(0).alias("buf_id"), "n")
 
 
 MESSAGES = f"""(SELECT src, dst, 0 AS buf_id, row_number() OVER (PARTITION BY src, dst ORDER BY event_id) - 1 AS idx, value
@@ -122,12 +124,17 @@ def allreduce_2d(spark, d):
 
 @query("allreduce_packed", f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, sum(value)::BIGINT AS value FROM {MICRO} GROUP BY ALL), {_RANKS}")
 def allreduce_packed(spark, d):
-    """By way of the packed form, as a strategy hint asks for it."""
-    hints = selection.parse("long:0-8191;packed:8192-max")
-    buffers = micro(spark, d)
-    if selection.choose(hints, 1 << 20) == "packed":
-        buffers = unpack(pack(buffers))
-    return C.allreduce(buffers, WORLD, "sum", "int64").expand()
+    """Arrays as they are read, reduced place by place: a vector is a chunk, and nothing is exploded before the exchange."""
+    rows = read(spark, d, "embeddings").select("vec_id", "embedding")
+    values = F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint"))
+    packed = rows.select((F.col("vec_id") % P).cast("int").alias("rank"), F.lit(0).alias("buf_id"), F.floor(F.col("vec_id") / P).alias("chunk_id"), values.alias("values"))
+    return planned.allreduce(packed, WORLD, 1 << 20, "sum", "int64", Settings(chunk_elements=64), packed=True).expand()
+
+
+@query("allreduce_hinted", f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, max(value)::BIGINT AS value FROM {CENTS} GROUP BY ALL), {_RANKS}")
+def allreduce_hinted(spark, d):
+    """In two levels, as a hint asks for sums of this size."""
+    return planned.allreduce(cents(spark, d), WORLD, 1 << 20, "max", "int64", Settings(allreduce="long:0-8191;tree:8192-max")).expand()
 
 
 _WRAP8 = "((sum(value) + 128) % 256 + 256) % 256 - 128"
@@ -150,19 +157,51 @@ def allreduce_uint64_wrap(spark, d):
     return out.withColumn("value", F.col("value").cast("string"))
 
 
-@query("allreduce_bf16")
+def _sql_place(x: str, digits: int, least: int) -> str:
+    """The last binary place that is kept, in SQL: a power of two found by its logarithm and put right by comparison."""
+    near = f"pow(2.0::DOUBLE, floor(log2(abs({x}))))"
+    power = f"CASE WHEN {near} > abs({x}) THEN {near} / 2 WHEN {near} * 2 <= abs({x}) THEN {near} * 2 ELSE {near} END"
+    return f"greatest(({power}) * pow(2.0::DOUBLE, {1 - digits}), pow(2.0::DOUBLE, {least}))"
+
+
+def _sql_truncated(x: str) -> str:
+    """A DOUBLE without what is below 8 binary digits, as FLOAT."""
+    return f"(CASE WHEN {x} = 0 THEN 0.0 ELSE {x} - ({x} % ({_sql_place(x, 8, -133)})) END)::FLOAT"
+
+
+def _sql_half(x: str) -> str:
+    """A DOUBLE to the nearest of 11 binary digits, ties to even, as FLOAT."""
+    place = _sql_place(x, 11, -24)
+    rest, low = f"({x} % ({place}))", f"({x} - ({x} % ({place})))"
+    up = f"abs({rest}) * 2 > {place} OR (abs({rest}) * 2 = {place} AND abs({low} / {place}) % 2 = 1)"
+    return f"(CASE WHEN {x} = 0 THEN 0.0 WHEN {up} THEN {low} + sign({x}) * {place} ELSE {low} END)::FLOAT"
+
+
+_FLOATS = f"(SELECT (vec_id % {P})::INT AS rank, 0 AS buf_id, (vec_id // {P}) * 64 + pos AS idx, x::DOUBLE AS x FROM {_VECTORS})"
+_BF16 = f"SELECT rank, buf_id, idx, {_sql_truncated('x')} AS value FROM {_FLOATS}"
+_FOLD = f"SELECT buf_id, idx, max(value) FILTER (rank = 0) AS s, {', '.join(f'max(value) FILTER (rank = {k}) AS v{k}' for k in range(1, P))} FROM ({_BF16}) GROUP BY buf_id, idx"
+for _k in range(1, P):
+    _sum = f"(s + v{_k})::FLOAT::DOUBLE"
+    _FOLD = f"SELECT buf_id, idx, CASE WHEN v{_k} IS NULL THEN s WHEN s IS NULL THEN v{_k} ELSE {_sql_truncated(_sum)} END AS s, * EXCLUDE (buf_id, idx, s) FROM ({_FOLD})"
+
+
+def _vectors(spark, d):
+    rows = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return arrays_to_buffers(rows, F.col("vec_id") % P, F.floor(F.col("vec_id") / P), F.col("embedding"), 64)
+
+
+@query("allreduce_bf16", f"SELECT rank, buf_id, idx, s AS value FROM ({_FOLD}), {_RANKS}")
 def allreduce_bf16(spark, d):
     """Embeddings as bfloat16, folded in the order of ranks with truncation at each step."""
-    rows = read(spark, d, "embeddings").select("vec_id", "embedding")
-    long = arrays_to_buffers(rows, F.col("vec_id") % P, F.floor(F.col("vec_id") / P), F.col("embedding"), 64)
-    return C.allreduce(long.withColumn("value", truncate_bf16(F.col("value"))), WORLD, "sum", "bfloat16", strict=True).expand()
+    return C.allreduce(_vectors(spark, d).withColumn("value", truncate_bf16(F.col("value"))), WORLD, "sum", "bfloat16", strict=True).expand()
 
 
-@query("allreduce_fp16")
+_FP16 = f"SELECT buf_id, idx, sum(value::DOUBLE) AS x FROM (SELECT buf_id, idx, {_sql_half('x')} AS value FROM {_FLOATS}) GROUP BY ALL"
+
+
+@query("allreduce_fp16", f"SELECT rank, buf_id, idx, {_sql_half('x')} AS value FROM ({_FP16}), {_RANKS}")
 def allreduce_fp16(spark, d):
-    rows = read(spark, d, "embeddings").select("vec_id", "embedding")
-    long = arrays_to_buffers(rows, F.col("vec_id") % P, F.floor(F.col("vec_id") / P), F.col("embedding"), 64)
-    return C.allreduce(long.withColumn("value", round_fp16(F.col("value"))), WORLD, "sum", "float16").expand()
+    return C.allreduce(_vectors(spark, d).withColumn("value", round_fp16(F.col("value"))), WORLD, "sum", "float16").expand()
 
 
 @query(
@@ -204,22 +243,31 @@ _BCAST = f"SELECT r.rank, b.buf_id, b.idx, b.value FROM (SELECT * FROM {ORDERS}
 query("bcast_inplace", _BCAST)(lambda spark, d: C.bcast(orders(spark, d), WORLD, 2).expand())
 query("broadcast_outofplace", _BCAST)(lambda spark, d: C.broadcast(orders(spark, d), WORLD, 2).expand())
 
-_WIDTH = 1 << 32
-query("allgather", f"SELECT r.rank, b.buf_id, b.rank * {_WIDTH}::BIGINT + b.idx AS idx, b.value FROM {ORDERS} b, {_RANKS} r")(lambda spark, d: C.allgather(orders(spark, d), WORLD, _WIDTH).expand())
+
+
+@query("allgather", f"SELECT r.rank, b.buf_id, b.rank * (SELECT max(idx) + 1 FROM {ORDERS}) + b.idx AS idx, b.value FROM {ORDERS} b, {_RANKS} r")
+def allgather(spark, d):
+    """Blocks of as many elements as a rank has."""
+    b = orders(spark, d)
+    count = (b.agg(F.max("idx")).first()[0] or 0) + 1
+    return C.allgather(b, WORLD, count).expand()
+
+
 query("allgather_vector", f"SELECT r.rank, b.rank AS src_rank, b.buf_id, b.idx, b.value FROM {ORDERS} b, {_RANKS} r")(lambda spark, d: C.allgather_vector(orders(spark, d), WORLD).expand())
 
 
 def uneven(spark, d):
-    """events at the user's rank, dense in the order of event_id."""
+    """events at the user's rank, dense in the order of event_id; and (rank, buf_id, n)."""
     rows = read(spark, d, "events").select("event_id", (F.col("user_id") % P).cast("int").alias("rank"), F.round(F.col("value") * 100).cast("bigint").alias("value"))
-    return positions(rows, ["rank"], "event_id").select("rank", F.lit(0).alias("buf_id"), "idx", "value")
+    placed, counts = positions_and_counts(rows, ["rank"], "event_id")
+    return placed.select("rank", F.lit(0).alias("buf_id"), "idx", "value"), counts.select("rank", F.lit(0).alias("buf_id"), "n")
 
 
 UNEVEN = f"(SELECT rank, 0 AS buf_id, row_number() OVER (PARTITION BY rank ORDER BY event_id) - 1 AS idx, value FROM (SELECT event_id, (user_id % {P})::INT AS rank, round(value * 100)::BIGINT AS value FROM events))"
 _COUNTS = f"(SELECT rank, buf_id, n, coalesce(sum(n) OVER (PARTITION BY buf_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM (SELECT rank, buf_id, count(*) AS n FROM {UNEVEN} GROUP BY ALL))"
-query("count_offsets", f"SELECT rank, buf_id, n, \"offset\" FROM {_COUNTS}")(lambda spark, d: C.offsets(C.counts_of(uneven(spark, d)), ["buf_id"]))
-query("allgatherv", f"SELECT r.rank, b.buf_id, c.\"offset\" + b.idx AS idx, b.value FROM {UNEVEN} b JOIN {_COUNTS} c USING (rank, buf_id), {_RANKS} r")(lambda spark, d: C.allgatherv(uneven(spark, d), WORLD).expand())
-query("allgatherv_vector", f"SELECT r.rank, b.rank AS src_rank, b.buf_id, b.idx, b.value FROM {UNEVEN} b, {_RANKS} r")(lambda spark, d: C.allgatherv_vector(uneven(spark, d), WORLD).expand())
+query("count_offsets", f"SELECT rank, buf_id, n, \"offset\" FROM {_COUNTS}")(lambda spark, d: C.offsets(uneven(spark, d)[1], ["buf_id"]))
+query("allgatherv", f"SELECT r.rank, b.buf_id, c.\"offset\" + b.idx AS idx, b.value FROM {UNEVEN} b JOIN {_COUNTS} c USING (rank, buf_id), {_RANKS} r")(lambda spark, d: C.allgatherv(uneven(spark, d)[0], WORLD, uneven(spark, d)[1]).expand())
+query("allgatherv_vector", f"SELECT r.rank, b.rank AS src_rank, b.buf_id, b.idx, b.value FROM {UNEVEN} b, {_RANKS} r")(lambda spark, d: C.allgatherv_vector(uneven(spark, d)[0], WORLD).expand())
 
 query("alltoall", f"SELECT ((idx % 64) // 16)::INT AS rank, (idx // 64)::INT AS buf_id, rank * 16::BIGINT + idx % 16 AS idx, value FROM {MICRO}")(
     lambda spark, d: C.alltoall(micro(spark, d).withColumn("buf_id", F.floor(F.col("idx") / 64).cast("int")).withColumn("idx", F.col("idx") % 64), WORLD, 16)
@@ -228,14 +276,15 @@ query("alltoall_vector", f"SELECT ((idx % 64) // 16)::INT AS rank, rank AS src_r
     lambda spark, d: C.alltoall_vector(micro(spark, d).withColumn("buf_id", F.floor(F.col("idx") / 64).cast("int")).withColumn("idx", F.col("idx") % 64), WORLD, 16)
 )
 _STARTS = f"(SELECT dst, src, coalesce(sum(n) OVER (PARTITION BY dst ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT dst, src, count(*) AS n FROM {MESSAGES} GROUP BY ALL))"
-query("alltoallv", f"SELECT m.dst AS rank, m.buf_id, s.start + m.idx AS idx, m.value FROM {MESSAGES} m JOIN {_STARTS} s USING (dst, src)")(lambda spark, d: C.alltoallv(messages(spark, d), WORLD))
-query("alltoallv_vector", f"SELECT dst AS rank, src AS src_rank, buf_id, idx, value FROM {MESSAGES}")(lambda spark, d: C.alltoallv_vector(messages(spark, d), WORLD))
+query("alltoallv", f"SELECT m.dst AS rank, m.buf_id, s.start + m.idx AS idx, m.value FROM {MESSAGES} m JOIN {_STARTS} s USING (dst, src)")(lambda spark, d: C.alltoallv(messages(spark, d)[0], WORLD, messages(spark, d)[1]))
+query("alltoallv_vector", f"SELECT dst AS rank, src AS src_rank, buf_id, idx, value FROM {MESSAGES}")(lambda spark, d: C.alltoallv_vector(messages(spark, d)[0], WORLD))
 
 
 @query("barrier", f"SELECT rank, count(*) AS n FROM {ORDERS} GROUP BY rank")
 def barrier(spark, d):
     """Ranks count their elements on the far side of a barrier."""
-    return C.barrier(orders(spark, d).coalesce(2)).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    C.barrier(spark, Communicator(min(P, spark.sparkContext.defaultParallelism)))
+    return orders(spark, d).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- point to point

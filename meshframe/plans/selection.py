@@ -2,7 +2,7 @@
 
 Grammar: `<strategy>` or `<strategy>:<left>-<right>` joined by `;`, sizes in bytes, `max` for no limit. Later entries
 win where ranges overlap. Strategies change how a call is planned, not its result: long (an element a row), packed
-(arrays of elements), tree (two levels).
+(arrays of elements), tree (nodes first, then across them). planned_allreduce() plans by them.
 """
 
 from __future__ import annotations

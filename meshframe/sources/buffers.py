@@ -41,7 +41,11 @@ def unpack(packed: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def positions(df: DataFrame, groups: list[str], order: str, block: int = 100_000, name: str = "idx") -> DataFrame:
-    """Dense positions from 0 in each group, in the order of an integer column.
+    return positions_and_counts(df, groups, order, block, name)[0]
+
+
+def positions_and_counts(df: DataFrame, groups: list[str], order: str, block: int = 100_000, name: str = "idx") -> tuple[DataFrame, DataFrame]:
+    """Dense positions from 0 in each group, in the order of an integer column; and (groups, n), from the same sums.
 
     Rows are numbered inside blocks of the order's values, and blocks start where the counts before them end: a group of
     any size is numbered by as many tasks as it has blocks.
@@ -52,7 +56,8 @@ def positions(df: DataFrame, groups: list[str], order: str, block: int = 100_000
     starts = counts.select(*groups, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = F.row_number().over(Window.partitionBy(*groups, "__block").orderBy(order)) - 1
     out = rows.withColumn("__inside", inside).join(starts, [*groups, "__block"])
-    return out.withColumn(name, (F.col("__start") + F.col("__inside")).cast("bigint")).drop("__block", "__start", "__inside")
+    out = out.withColumn(name, (F.col("__start") + F.col("__inside")).cast("bigint")).drop("__block", "__start", "__inside")
+    return out, counts.groupBy(*groups).agg(F.sum("__n").alias("n"))
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "append") -> None:

@@ -1,16 +1,18 @@
 """How calls are issued: attributes, events, priorities, plan reuse and fusion.
 
 A call is a plan. Submitting it gives an event, the future of a Spark job. Calls wait in bins by priority; the runtime
-starts the highest bin first and, inside a bin, in the order of issue. Small allreduces of one kind are fused: their
+starts the highest bin first and, inside a bin, in the order of issue; a call that depends on others starts behind them,
+whatever its priority. A cached call that is still busy is queued behind itself. Small allreduces of one kind are fused: their
 buffers become one union with buf_id as part of the grouping key, so that many calls cost one exchange.
 """
 
 from __future__ import annotations
 
 import itertools
+import threading
 from collections.abc import Callable
-from concurrent.futures import Future, ThreadPoolExecutor
-from dataclasses import dataclass
+from concurrent.futures import Future, ThreadPoolExecutor, wait
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,8 +22,10 @@ from meshframe.errors import InvalidArgument, Unimplemented, Unsupported
 from meshframe.functions.datatypes import REGISTRY
 from meshframe.operators.collectives import Replicated, allreduce
 from meshframe.operators.comm import Communicator
+from meshframe.plans.settings import Settings
 
-DIRECT, LIFO = "direct", "lifo"
+NONE, DIRECT, LIFO = "none", "direct", "lifo"
+HIGHEST = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -33,6 +37,22 @@ class OpAttr:
     synchronous: bool = False
     match_id: str = ""
     group_id: int = 0
+    #: A reduction of the caller's own: from a column to an aggregate.
+    reduction_fn: Callable | None = None
+    #: Whether the blocks of a gather come as a buffer for each sender.
+    vector_buf: bool = False
+
+    def get(self, name: str):
+        if name not in self.__dataclass_fields__:
+            raise InvalidArgument(f"no attribute {name}")
+        return getattr(self, name)
+
+    def set(self, name: str, value) -> OpAttr:
+        """A copy with the attribute; its type is the one that it has."""
+        old, kinds = self.get(name), {"reduction_fn": (Callable, type(None))}
+        if not isinstance(value, kinds.get(name, type(old))) or (isinstance(value, bool) and not isinstance(old, bool)):
+            raise InvalidArgument(f"{name}: not of the attribute's type: {value!r}")
+        return replace(self, **{name: value})
 
 
 class Event:
@@ -56,64 +76,112 @@ class Event:
 class Runtime:
     """Starts calls by priority; one worker keeps the order strict, more run calls side by side."""
 
-    def __init__(self, workers: int = 1, priority: str = DIRECT):
-        if priority not in (DIRECT, LIFO):
-            raise InvalidArgument(f"unknown priority mode {priority}")
-        self.mode = priority
+    def __init__(self, workers: int = 1, priority: str = DIRECT, settings: Settings | None = None):
+        self.settings = settings or Settings(priority=priority)
+        self.mode = self.settings.priority
+        if self.mode not in (NONE, DIRECT, LIFO):
+            raise InvalidArgument(f"unknown priority mode {self.mode}")
         self._pool = ThreadPoolExecutor(workers)
-        self._pending: list[tuple[int, int, Callable, Future]] = []
+        self._lock = threading.Lock()
+        self._pending: list[tuple[int, int, Callable, Future, tuple[Future, ...]]] = []
+        self._unfinished: set[Future] = set()
         self._issued = itertools.count()
         self._plans: dict[tuple, DataFrame] = {}
+        self._busy: dict[tuple, Event] = {}
         self.built = 0
 
     def submit(self, action: Callable, attr: OpAttr | None = None, deps: tuple[Event, ...] = ()) -> Event:
-        """Queues an action; deps are awaited before it runs."""
+        """Queues an action; it starts when deps are done, and fails if one of them does."""
         attr = attr or OpAttr()
         number, future = next(self._issued), Future()
-
-        def run():
-            for d in deps:
-                d.wait()
-            return action()
-
-        rank = number if self.mode == LIFO else attr.priority
-        self._pending.append((-rank, number, run, future))
+        with self._lock:
+            self._unfinished.add(future)
+        future.add_done_callback(self._done)
+        rank = {NONE: 0, DIRECT: attr.priority, LIFO: number}[self.mode]
+        self._pending.append((-rank, number, action, future, tuple(d._future for d in deps if d._future is not None)))
         event = Event(future)
-        if attr.synchronous:
+        if attr.synchronous or self.settings.op_sync:
             self.flush()
             event.wait()
         return event
 
+    def restart(self, key: tuple, action: Callable, attr: OpAttr | None = None) -> Event:
+        """Submits a cached call again; while its last run is busy, the new one waits for that."""
+        last = self._busy.get(key)
+        event = self.submit(action, attr, () if last is None or last.test() else (last,))
+        self._busy[key] = event
+        return event
+
+    def _done(self, future: Future) -> None:
+        with self._lock:
+            self._unfinished.discard(future)
+
     def flush(self) -> list[int]:
-        """Starts all that is queued; returns the order of issue numbers in which it starts."""
-        order = sorted(self._pending, key=lambda p: p[:2])
+        """Starts all that is queued; returns the order of issue numbers in which it starts, as far as deps allow.
+
+        A call takes a worker only when its deps are done, so none waits for a call that waits for the worker.
+        """
+        order, started = [], {p[3] for p in self._pending}
+        waiting = sorted(self._pending, key=lambda p: p[:2])
         self._pending.clear()
-        for _, _, run, future in order:
-            self._pool.submit(_fulfil, run, future)
-        return [number for _, number, _, _ in order]
+        while waiting:
+            # The first whose deps have all started; deps of other runtimes, or not flushed, start by themselves.
+            ready = next((p for p in waiting if not any(d in started for d in p[4])), waiting[0])
+            waiting.remove(ready)
+            started.discard(ready[3])
+            order.append(ready[1])
+            self._start(*ready[2:])
+        return order
+
+    def _start(self, action: Callable, future: Future, deps: tuple[Future, ...]) -> None:
+        if not deps:
+            self._pool.submit(_fulfil, action, future)
+            return
+        left = [len(deps)]
+
+        def one_done(dep: Future) -> None:
+            with self._lock:
+                left[0] -= 1
+                last = left[0] == 0
+            if last:
+                failed = next((d.exception() for d in deps if d.exception() is not None), None)
+                if failed is not None:
+                    future.set_exception(failed)
+                else:
+                    self._pool.submit(_fulfil, action, future)
+
+        for d in deps:
+            d.add_done_callback(one_done)
 
     def barrier(self) -> None:
-        """Waits for all calls, and forgets the plans."""
-        waiting = [f for _, _, _, f in self._pending]
+        """Waits for all calls, started or queued, and forgets the plans; nothing comes before it (HIGHEST priority)."""
         self.flush()
+        with self._lock:
+            waiting = list(self._unfinished)
+        wait(waiting)
+        self._plans.clear()
         for f in waiting:
             f.result()
-        self._plans.clear()
 
     def plan(self, key: tuple, build: Callable[[], DataFrame], attr: OpAttr) -> DataFrame:
-        """The plan of a call; a cached one is built once for its whole key, the match_id included."""
+        """The plan of a call; a cached one is built once for its whole key, the match_id included, or for its match_id
+        alone if the settings say so."""
         if not attr.to_cache:
             self.built += 1
             return build()
-        full = (*key, attr.match_id)
+        if self.settings.cache_key == "match_id" and not attr.match_id:
+            raise InvalidArgument("a call that is cached by match_id needs one")
+        full = (attr.match_id,) if self.settings.cache_key == "match_id" else (*key, attr.match_id)
         if full not in self._plans:
             self.built += 1
             self._plans[full] = build()
         return self._plans[full]
 
     def close(self) -> None:
-        self.barrier()
-        self._pool.shutdown()
+        try:
+            self.barrier()
+        finally:
+            self._pool.shutdown()
 
 
 def _fulfil(run: Callable, future: Future) -> None:
@@ -138,12 +206,19 @@ class Call:
 class FusionLimits:
     bytes_threshold: int = 16384
     count_threshold: int = 256
+    #: Whether a call of a higher priority than those waiting closes their group.
+    check_urgent: bool = True
+
+    @classmethod
+    def of(cls, settings: Settings) -> FusionLimits:
+        return cls(settings.fusion_bytes_threshold, settings.fusion_count_threshold, settings.fusion_check_urgent)
 
 
 def fuse(calls: list[Call], comm: Communicator, limits: FusionLimits | None = None) -> list[tuple[list[int], Replicated]]:
     """Groups of calls (their numbers) with one result each, whose buf_id is the call's number.
 
-    Calls join if they are small, of one type and reduction, and not synchronous; a group is closed when it is full.
+    Calls join if they are small, of one type and reduction, and not synchronous; a group is closed when it is full, or
+    when a more urgent call comes, which then closes all groups and its own with it.
     """
     limits = limits or FusionLimits()
     groups: list[list[int]] = []
@@ -154,6 +229,13 @@ def fuse(calls: list[Call], comm: Communicator, limits: FusionLimits | None = No
             groups.append([i])
             continue
         key = (c.dtype, c.op)
+        if limits.check_urgent and any(c.attr.priority > calls[k].attr.priority for g in open_groups.values() for k in g):
+            if key in open_groups:
+                open_groups[key].append(i)
+            else:
+                groups.append([i])
+            open_groups.clear()
+            continue
         held = open_groups.setdefault(key, [])
         if not held:
             groups.append(held)

@@ -2,13 +2,15 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meshframe.errors import InvalidArgument
 from meshframe.functions.datatypes import BUILT_IN, REGISTRY, Registry, round_bf16, times, truncate_bf16, wrap
 from meshframe.operators import collectives as C
-from meshframe.operators.comm import Communicator, KeyValueStore
+from meshframe.operators.comm import Communicator, KeyValueStore, topology_from
+from meshframe.sources.buffers import write
 
 
 def buffers(spark, size, n, value, bufs=1):
@@ -184,3 +186,90 @@ def test_allreduce_plan_is_partial_then_final(spark):
     b = buffers(spark, 4, 100, send())
     plan = C.allreduce(b, Communicator(4), "sum", "int64").expand()._jdf.queryExecution().toString()
     assert "partial_sum" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("op", ["sum", "prod", "min", "max"])
+@pytest.mark.parametrize("dtype", ["int32", "float32", "float16", "bfloat16"])
+def test_grid_of_the_large_count_and_four_buffers(spark, op, dtype):
+    """Counts of 32,771 and four buffers, by the closed forms: rank and buffer make the value, place does not."""
+    n, size = 32_771, 4
+    step = {"bfloat16": (0.5, 1.0), "float16": (0.01, 0.01)}.get(dtype, (1, 1))
+    one = 1 if op == "prod" else 0
+    value = F.col("rank") * step[0] + F.col("buf_id") * step[1] + one
+    rows = spark.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("rank"), F.col("id").alias("idx"))
+    rows = rows.select("rank", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("buf_id"), "idx")
+    out = C.allreduce(rows.withColumn("value", value.cast("int" if dtype == "int32" else "float")), Communicator(size), op, dtype).expand()
+    got = out.groupBy("rank", "buf_id").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+    assert len(got) == 4 * size
+    eps = {"bfloat16": 2 * 7.81e-3, "float16": 2 * 9.77e-4}.get(dtype, 1.2e-7)
+    for r in got:
+        own = [k * step[0] + r["buf_id"] * step[1] + one for k in range(size)]
+        want = {"sum": sum(own), "prod": np.prod(own), "min": min(own), "max": max(own)}[op]
+        bound = 2 * eps / (1 - 2 * eps) * abs(want) + 1e-9
+        assert r["n"] == n and r["lo"] == r["hi"] and abs(r["lo"] - want) <= bound
+
+
+def test_strict_float16_folds_in_rank_order(spark):
+    values = [1000.3, 0.27, -999.9, 0.013, 65000.0]
+    rows = [(r, 0, 0, float(np.float16(v))) for r, v in enumerate(values)]
+    b = spark.createDataFrame(rows, "rank int, buf_id int, idx long, value float")
+    want = np.float16(values[0])
+    for v in values[1:]:
+        want = np.float16(np.float32(want) + np.float32(np.float16(v)))
+    assert C.allreduce(b, Communicator(5), "sum", "float16", strict=True).values.first()["value"] == float(want)
+
+
+def test_products_of_a_hot_element(spark):
+    """Half of all rows have one index; products wrap at 64 bits."""
+    b = spark.range(40_000).select((F.col("id") % 4).cast("int").alias("rank"), F.lit(0).alias("buf_id"), F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("idx"), (F.col("id") % 5 * 2 + 1).alias("value"))
+    got = {r["idx"]: r["value"] for r in C.allreduce(b, Communicator(4), "prod", "int64").values.collect()}
+    want = 1
+    for i in range(40_000):
+        if i % 2 == 0 or i == 7:
+            want = want * (i % 5 * 2 + 1) % 2**64
+    assert got[7] == (want + 2**63) % 2**64 - 2**63 and len(got) == 20_000
+
+
+def test_counts_are_checked(spark):
+    sends = spark.createDataFrame([(0, 1, 0, 3), (1, 0, 0, 2)], "src int, dst int, buf_id int, n long")
+    C.check_matrix(sends, sends)
+    for wrong in ([(0, 1, 0, 3)], [(0, 1, 0, 3), (1, 0, 0, 1)], [(0, 1, 0, 3), (1, 0, 0, 2), (1, 1, 0, 1)]):
+        with pytest.raises(InvalidArgument):
+            C.check_matrix(sends, spark.createDataFrame(wrong, sends.schema))
+    m = spark.createDataFrame([(0, 1, 0, i, 10 + i) for i in range(3)], "src int, dst int, buf_id int, idx long, value int")
+    assert C.alltoallv(m, Communicator(2), recv_counts=sends.limit(1)).count() == 3
+    with pytest.raises(InvalidArgument):
+        C.alltoallv(m, Communicator(2), recv_counts=sends)
+
+
+def test_barrier_handles_and_stores(spark):
+    C.barrier(spark, Communicator(2))
+    with pytest.raises(InvalidArgument):
+        C.barrier(spark, Communicator(10_000))
+    h = Communicator(3).handle(2, device="d")
+    assert (h.rank, h.size, h.device, h.context) == (2, 3, "d", None)
+    with pytest.raises(InvalidArgument):
+        Communicator(3).handle(3)
+    main = KeyValueStore.create("host:1")
+    KeyValueStore.attach("host:1").set("k", "v\0")
+    assert main.get("k") == "v"
+    for call in (lambda: KeyValueStore.create("host:1"), lambda: KeyValueStore.attach("host:2"), lambda: main.set("k", "\0"), lambda: main.set("k", "a\0b"), lambda: main.get("x")):
+        with pytest.raises(InvalidArgument):
+            call()
+    main.close()
+
+
+def test_colours_from_an_environment(spark):
+    ranks = Communicator(4).table(spark)
+    out = topology_from(ranks, {"card": "0,0,1,1", "plane": "0, 1,0,1"})
+    assert [tuple(r) for r in out.orderBy("rank").collect()] == [(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)]
+    for bad in ("0,1", "a,b,c,d", ""):
+        with pytest.raises(InvalidArgument):
+            topology_from(ranks, {"card": bad})
+
+
+def test_sink(spark, tmp_path):
+    b = spark.createDataFrame([(0, 0, 0, 1), (1, 0, 0, 2)], "rank int, buf_id int, idx long, value int")
+    write(b, str(tmp_path / "out"))
+    write(b, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4

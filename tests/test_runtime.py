@@ -1,12 +1,15 @@
 """Events, priorities, fusion, plan reuse, messages and hints."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from meshframe.errors import InvalidArgument, Unimplemented
 from meshframe.operators import p2p
 from meshframe.operators.comm import Communicator
-from meshframe.plans import selection
+from meshframe.plans import planned, selection
+from meshframe.plans.settings import Settings
 from meshframe.sources.buffers import pack, positions, unpack
 from meshframe.streaming.runtime import Call, FusionLimits, OpAttr, Runtime, fuse, match_by_id, stream_allreduce
 
@@ -101,3 +104,102 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["rank"], r["idx"]): r["value"] for r in found} == {(k, i): 16 * i + 6 for k in range(4) for i in range(10)}
+
+
+def test_barrier_waits_for_calls_that_have_started():
+    runtime, go, done = Runtime(), threading.Event(), []
+    runtime.submit(lambda: (go.wait(10), done.append(1)))
+    runtime.flush()
+    threading.Timer(0.3, go.set).start()
+    runtime.barrier()
+    assert done == [1]
+    runtime.submit(lambda: done.append(2))
+    runtime.close()
+    assert done == [1, 2]
+
+
+def test_deps_go_before_priorities():
+    for workers in (1, 3):
+        runtime, done = Runtime(workers), []
+        slow = runtime.submit(lambda: done.append("slow"), OpAttr(priority=0))
+        last = runtime.submit(lambda: done.append("last"), OpAttr(priority=5), deps=(slow,))
+        assert runtime.flush() == [0, 1]
+        last.wait()
+        assert done == ["slow", "last"]
+        failed = runtime.submit(lambda: 1 / 0)
+        after = runtime.submit(lambda: done.append("never"), deps=(failed, slow))
+        runtime.flush()
+        with pytest.raises(ZeroDivisionError):
+            after.wait()
+        runtime.close()
+        assert done == ["slow", "last"]
+
+
+def test_deps_that_start_later():
+    first, second = Runtime(), Runtime()
+    late = second.submit(lambda: 3)
+    event = first.submit(lambda: late.wait() + 1, deps=(late,))
+    first.flush()
+    assert not event.test()
+    second.flush()
+    assert event.wait() == 4
+    first.close()
+    second.close()
+
+
+def test_modes_settings_and_restarts():
+    runtime = Runtime(settings=Settings())
+    for p in (1, 5, 0):
+        runtime.submit(lambda: None, OpAttr(priority=p))
+    assert runtime.mode == "none" and runtime.flush() == [0, 1, 2]
+    with pytest.raises(InvalidArgument):
+        Runtime(priority="best")
+    by_id = Runtime(settings=Settings(cache_key="match_id", priority="direct"))
+    cached = OpAttr(to_cache=True, match_id="a")
+    assert by_id.plan(("x",), object, cached) is by_id.plan(("y",), object, cached)
+    with pytest.raises(InvalidArgument):
+        by_id.plan(("x",), object, OpAttr(to_cache=True))
+    assert Runtime(settings=Settings(op_sync=True)).submit(lambda: 7).test()
+    go, order = threading.Event(), []
+    parallel = Runtime(workers=3)
+    parallel.restart(("k",), lambda: (go.wait(10), order.append(1)))
+    parallel.flush()
+    again = parallel.restart(("k",), lambda: order.append(2))
+    parallel.flush()
+    assert not again.test()
+    go.set()
+    again.wait()
+    assert order == [1, 2]
+    for r in (runtime, by_id, parallel):
+        r.close()
+
+
+def test_attributes():
+    attr = OpAttr().set("priority", 3).set("vector_buf", True)
+    assert attr.get("priority") == 3 and attr.get("vector_buf") and attr.get("reduction_fn") is None
+    assert attr.set("reduction_fn", F.max).get("reduction_fn") is F.max
+    for name, value in (("priority", "3"), ("priority", True), ("none", 1), ("to_cache", 1)):
+        with pytest.raises(InvalidArgument):
+            attr.set(name, value)
+
+
+def test_an_urgent_call_closes_groups(spark):
+    b = spark.range(4).select(F.lit(0).alias("rank"), F.lit(0).alias("buf_id"), "id", F.col("id").alias("value")).withColumnRenamed("id", "idx")
+    calls = [Call(b, 4, "int64"), Call(b, 4, "int64", attr=OpAttr(priority=9)), Call(b, 4, "int64"), Call(b, 4, "int64")]
+    assert [n for n, _ in fuse(calls, Communicator(1))] == [[0, 1], [2, 3]]
+    assert [n for n, _ in fuse(calls, Communicator(1), FusionLimits(check_urgent=False))] == [[0, 1, 2, 3]]
+    assert FusionLimits.of(Settings(fusion_count_threshold=7)).count_threshold == 7
+
+
+@pytest.mark.parametrize("hints", ["", "packed", "tree", "long:0-10;packed:11-max"])
+@pytest.mark.parametrize("op", ["sum", "max", "prod"])
+def test_strategies_change_the_plan_only(spark, hints, op):
+    b = spark.range(90).select((F.col("id") % 3).cast("int").alias("rank"), F.lit(2).alias("buf_id"), F.floor(F.col("id") / 3).alias("idx"), (F.col("id") % 7 + 1).alias("value"))
+    out = planned.allreduce(b, Communicator(3), 30, op, "int64", Settings(allreduce=hints, chunk_elements=8))
+    want = {}
+    for i in range(90):
+        v, k = i % 7 + 1, i // 3
+        want[k] = v if k not in want else want[k] + v if op == "sum" else max(want[k], v) if op == "max" else want[k] * v
+    assert {r["idx"]: r["value"] for r in out.values.collect()} == want
+    plan = out.values._jdf.queryExecution().toString()
+    assert ("posexplode" in plan) == ("packed" in hints)
