@@ -17,6 +17,9 @@ common, each only up to where what follows still leaves room for that much (pref
 text differ from it in shingles of their own, so they hardly meet, however large the group is; sets that are no further
 from the pivot than the threshold are linked to it without any further pair.
 
+Sets are compared by 64-bit hashes of shingles whose words are hashed by BLAKE2; sets of one BLAKE2 digest of 128 bits are
+equal.
+
 Nulls and texts without words have an empty set and are linked with nothing. A row without an identifier is linked
 with nothing and kept. Rows with one identifier and different texts are different nodes, judged each by its text; rows
 alike in both are one. Ties don't matter: every choice among equals leaves the components the same. A very long text
@@ -242,4 +245,23 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+
+
+#: Every pair that shares a shingle is formed here, which only small tables bear.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS label FROM d UNION SELECT t.b, r.label FROM r JOIN t ON r.doc_id = t.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(label) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
 }
 
-SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL}
+SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL, "op9_near_dedup": near_dedup.OP9_SQL}

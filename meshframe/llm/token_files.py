@@ -11,8 +11,10 @@ Blocks are rows of a Parquet table (range, seq, ...): Spark's writer reaches eve
 tasks that succeeded. Rows are dealt to ranges of identifiers and sorted; a block's start follows from sums of ranges
 and blocks, so that nothing but counts meets in one place.
 
-A null text is empty: the end id alone. A null identifier comes first. Rows with equal identifiers are ordered by text.
-Empty tables give no blocks. A block holds about BLOCK_IDS ids, or one longer document.
+A null text is empty: the end id alone. A null identifier comes first. Rows with equal identifiers are ordered by a hash of
+their text, then by the text; such rows, and repeated ones, are dealt to as many ranges as their number deserves. A very
+long text is encoded in whole. Columns other than text and identifier are not looked at. Empty tables give no blocks. A
+block holds about BLOCK_IDS ids, or one longer document.
 """
 
 from __future__ import annotations
@@ -219,7 +221,10 @@ def write_tokens(df: DataFrame, text: str = "text", ident: str = "doc_id", path:
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
     docs = df.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange(partitions(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The number splits rows that are alike, whose order shows nowhere; texts of one hash stay in one order all the same.
+    docs = docs.select("*", F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("number"))
+    order = ["doc_id", "key", "number"]
+    ordered = docs.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions("doc_id", "key", "text").select("doc_id", "text")
     return stash(ordered.mapInArrow(_write(path, pattern, end_id, block_ids), _BLOCKS), "tokens")
 
 

@@ -1,5 +1,6 @@
 """Near-duplicates and the pipeline against brute force."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -8,10 +9,13 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
+from meshframe.llm import bpe
 from meshframe.llm import near_dedup as N
 from meshframe.llm import shingles as sh
+from meshframe.llm import toxicity as X
 from meshframe.llm.common import Scratch
 from meshframe.llm.components import connected_components
+from test_native import brute_mix
 
 
 def shingle_set(text):
@@ -160,28 +164,69 @@ def test_repeated_identifiers_and_other_columns(spark):
     assert out == [(1, 0, 1, True), (2, 0, 2, True), (3, 3, 3, True), (7, 3, 3, False), (7, 56, 7, True), (7, 56, 7, True), (9, 57, 7, False)]
 
 
-def test_pipeline(spark, sf_dir):
-    """Each stage on its predecessor's rows, held against what brute force keeps."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, kept = docs.columns, []
-    for name, stage in corpus_pipeline.STAGES:
-        before = docs
-        docs = corpus_pipeline.stash(stage(spark, docs, sf_dir), name)
-        kept.append((name, before, docs))
-        if name != "bpe":
-            assert docs.columns == columns
-    by = {name: ([(r["doc_id"], r["text"]) for r in a.collect()], b.collect()) for name, a, b in kept}
-    before, after = by["toxicity"]
-    assert {r["doc_id"] for r in after} <= {i for i, _ in before}
-    before, after = by["exact_dedup"]
+def plain_toxic(chain, text):
+    """The score by forward-backward in plain Python over all tokens."""
+    tokens = text.split()
+    odds = -30.0
+    if tokens:
+        m, weights = np.exp(chain.trans), chain.weights.astype(np.float32).astype(float)
+        e = [max(-30.0, min(30.0, float(sum(weights[f] for f in X.token_features(t))))) for t in tokens]
+        forward, backward = [np.array([1.0, math.exp(chain.start + e[0])])], [np.ones(2)]
+        for x in e[1:]:
+            a = forward[-1] @ m * (1.0, math.exp(x))
+            forward.append(a / a.sum())
+        for x in e[:0:-1]:
+            b = m @ (backward[-1] * (1.0, math.exp(x)))
+            backward.append(b / b.sum())
+        p = np.array(forward) * np.array(backward[::-1])
+        none = float(np.log1p(-np.minimum(p[:, 1] / p.sum(1), 1 - 1e-16)).sum())
+        odds = max(-30.0, min(30.0, math.log(-math.expm1(none)) - none if none > -700 else 30.0))
+    return 1 / (1 + math.exp(-(chain.fit @ (odds, math.log1p(len(tokens)), 1))))
+
+
+def test_run_against_brute_force(spark, sf_dir):
+    """run() in plain Python: toxic texts go, then copies, then near copies; the mix, in copies; ids as of the library."""
+    import public_tokenizers
+    import tiktoken
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    chain = X.learn(docs, labels)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    rows = [r for r in rows if plain_toxic(chain, r[1] or "") < X.THRESHOLD]
+    assert len(rows) < docs.count()
     best = {}
-    for i, t in before:
-        best[t or ""] = max(i, best.get(t or "", -1))
-    assert sorted(r["doc_id"] for r in after) == sorted(best.values())
-    before, after = by["near_dedup"]
-    assert sorted(r["doc_id"] for r in after) == sorted(i for i, (_, c) in brute(before).items() if i == c)
-    before, after = by["mix_sources"]
-    copies = Counter(r["doc_id"] for r in after)
-    assert set(copies) <= {i for i, _ in before} and max(copies.values()) <= 3
-    _, tokens = by["bpe"]
-    assert Counter(r["doc_id"] for r in tokens) == copies and all(r["n_tokens"] == len(r["ids"]) for r in tokens)
+    for i, t, s in rows:
+        best[t or ""] = max((i, t, s), best.get(t or "", (-1, None, None)), key=lambda r: r[0])
+    rows = sorted(best.values(), key=lambda r: r[0])
+    kept = {i for i, (_, c) in brute([r[:2] for r in rows]).items() if i == c}
+    rows = [r for r in rows if r[0] in kept]
+    size, _, _, taken = brute_mix(rows)
+    copies = Counter({i: math.floor(taken[i] / size[i] + 0.5) for i, _, _ in rows if size[i]})
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    text = {i: t or "" for i, t, _ in rows}
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    assert Counter(r["doc_id"] for r in out) == +copies
+    assert all(r["ids"] == library.encode_ordinary(text[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows and identifiers, columns with clashing names, no rows."""
+    long = " ".join(f"w{i % 5000}" for i in range(60_000))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, None, "en", None, 0, 1), (2, "", "en", "a", 0, 2), (3, long, "en", "a", 9, 3), (4, long, "en", "b", 9, 4), (5, long + " end", "en", "b", 9, 5), (6, other, None, "b", 9, 6), (6, other, None, "b", 9, 6)]
+    rows += [(3, other + " x y z", "en", "a", 1, 7), (None, "no identifier here at all", "en", None, 1, 8), (7, "short", "en", "a", 1, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, kept int")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (df, df.limit(0)):
+            out = stage(spark, docs, sf_dir)
+            seen[name, docs is df] = out.collect()
+            if name != "bpe":
+                assert out.columns == df.columns
+    assert not any(found for (_, full), found in seen.items() if not full)
+    assert len(seen["toxicity", True]) == len(rows) and len(seen["bpe", True]) == len(rows)
+    assert sorted(r["kept"] for r in seen["exact_dedup", True]) == [2, 4, 5, 6, 7, 8, 9]
+    # 3 and 4 are near copies of 5; the other text under 3 is linked to 6, whose identifier is larger.
+    assert sorted(r["kept"] for r in seen["near_dedup", True]) == [1, 2, 3, 7, 8, 9]
+    mixed = Counter(r["kept"] for r in seen["mix_sources", True])
+    assert not {1, 2} & set(mixed) and max(mixed.values()) <= 6

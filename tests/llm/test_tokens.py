@@ -93,7 +93,6 @@ def test_op10(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     out = {r["doc_id"]: r for r in T.op10_token_files(spark, sf_dir).collect()}
     start = 0
@@ -134,7 +133,35 @@ def test_added_tokens_that_take_in_spaces(tmp_path):
 def test_small_blocks_nulls_and_ties(spark):
     df = spark.createDataFrame([(3, "c d"), (1, None), (2, ""), (3, "a"), (None, "n"), (9, "z " * 50)], "doc_id long, text string")
     out = T.read_tokens(T.write_tokens(df, block_ids=3)).collect()
-    assert [(r["doc_id"], r["n_tokens"]) for r in sorted(out, key=lambda r: r["start"])][:5] == [(None, 2), (1, 1), (2, 1), (3, 2), (3, 3)]
+    assert [(r["doc_id"]) for r in sorted(out, key=lambda r: r["start"])] == [None, 1, 2, 3, 3, 9]
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out)[:4] == [("1", 1), ("2", 1), ("3", 2), ("3", 3)]
     ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in out)
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
     assert T.read_tokens(T.write_tokens(df.limit(0))).count() == 0
+
+
+def test_hot_identifiers_and_long_texts(spark):
+    """Most rows share an identifier or are alike; a text is longer than a block; columns have clashing names."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    long = "The long text goes on, word by word. " * 8000
+    rows = [(5, f"text {i % 9}", "k") for i in range(400)] + [(5, "alike", "k")] * 400 + [(7, long, "k"), (None, "n", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(6)
+    blocks = T.write_tokens(df, block_ids=500)
+    assert blocks.where("size(doc_ids) > 0").select("range").distinct().count() > 2
+    out = sorted(T.read_tokens(blocks).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None] + [5] * 800 + [7]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:], strict=False))
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert sorted(r["ids_crc32"] for r in out) == sorted(crc(t or "") for _, t, _ in rows)
+    again = sorted(T.read_tokens(T.write_tokens(df.repartition(3), block_ids=500)).collect(), key=lambda r: r["start"])
+    assert [tuple(r) for r in again] == [tuple(r) for r in out]
+    assert T.read_tokens(T.write_tokens(df.limit(0))).count() == 0
+
+
+def test_bpe_of_a_long_text_and_repeated_rows(spark, reference):
+    long = "Ein langer Text, mit Wörtern\u00a0und 123 Zahlen.\n" * 20_000 + "x" * 3000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "a")], "doc_id long, text string")
+    out = sorted(bpe.encode_documents(df).collect())
+    assert out[0]["ids"] == out[1]["ids"] == reference.encode_ordinary(long) and out[2]["ids"] == reference.encode_ordinary("a")
