@@ -115,19 +115,21 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m[1]:
-            if name not in INLINE:
+            if name not in INLINE and not hidden:
                 close()
             if name == "br":
                 continue
             pop(name)
             continue
         if name in VOID:
-            if name == "hr":
+            if name == "hr" and not hidden:
                 close()
             elif name == "br" and parts and not hidden:
                 parts.append(" ")
             continue
-        if name in ENDS_PARAGRAPH:
+        if hidden and name != "body":
+            pass  # what is not shown ends no block
+        elif name in ENDS_PARAGRAPH:
             close()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
