@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshframe.llm import bpe, exact_dedup, html_text, media, mixing, near_dedup, quality, token_files, toxicity, url_filter
+from meshframe.llm import bpe, exact_dedup, html_text, media, merkle, mixing, near_dedup, packing, quality, token_files, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_token_files": token_files.op10_token_files,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_packing": packing.op13_packing,
 }
 
-SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL, "op9_near_dedup": near_dedup.OP9_SQL}
+SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL, "op9_near_dedup": near_dedup.OP9_SQL, "op11_merkle": merkle.OP11_SQL}
