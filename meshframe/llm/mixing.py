@@ -10,8 +10,9 @@ row at which it stops: sums of buckets of keys give the bucket, sums of rows ali
 number with the rows, and rows that are alike are summed before they meet, so no task sees a whole source. Then each row
 is compared with its source's stop, and stays where it is. The targets alone are found in one task, from a row a source.
 
-The weight is a column, such as a quality score above 0; by default words by words plus ten for each ASCII symbol that is
-no sentence mark.
+The weight is a column, such as a quality score; by default words by words plus ten for each ASCII symbol that is no
+sentence mark. A weight of null or NaN is the default one; documents of weight 0 or less come behind all others, in random
+order too; those of infinite weight come first.
 
 Keys are hashes of identifiers, so reruns agree. Ties of keys go by identifier, then by a digest of text and source; rows
 alike in all of these can't be told apart, and as many of them are taken as the target needs. A null text has size 0 and
@@ -31,6 +32,8 @@ from meshframe.llm.common import Scratch, clean_text, meet, table
 BUCKETS, BUCKET_ROWS = 1024, 50_000
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
 WORD = r"[^\x20\x09-\x0D]+"
+#: Smaller weights count as this one; and by what the keys of weights of 0 are larger.
+LEAST_WEIGHT, LAST = 1e-290, 1e300
 #: The ASCII symbols but for . , ; : ! ? ' " ( ) -
 SYMBOLS = r"#$%&*+/<=>@[\]^_`{|}~"
 
@@ -45,6 +48,12 @@ def quality_weight(size: Column, text: str = "text") -> Column:
     return F.when(size > 0, size.cast("double") / (size + 10 * marks)).otherwise(F.lit(1.0))
 
 
+def sampling_key(name: Column, weight: Column, seed: str = "mix") -> Column:
+    """Exponential with rate weight; finite for every weight, and largest where there is none."""
+    spread = -F.log(uniform(name, seed))
+    return F.when(weight > 0, spread / F.greatest(weight, F.lit(LEAST_WEIGHT))).otherwise(spread * F.lit(LAST))
+
+
 def uniform(name: Column, seed: str = "mix") -> Column:
     """In (0, 1), from 52 bits of an MD5 of a string."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
@@ -128,10 +137,9 @@ def mix(df: DataFrame, text: str = "text", ident: str = "doc_id", source: str =
     scratch = Scratch(df.sparkSession)
     # Named apart from the columns that are carried along.
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row"), F.col(ident).alias("ident"), F.col(source).cast("string").alias("source"), F.xxhash64(text, source).alias("digest"), F.col(text).alias("text"), (words(text) if size is None else size).alias("size"), (F.lit(None).cast("double") if weight is None else weight.cast("double")).alias("weight"))
-    if weight is None:
-        own = own.withColumn("weight", quality_weight(F.col("size")))
+    own = own.withColumn("weight", F.coalesce(F.nanvl("weight", F.lit(None).cast("double")), quality_weight(F.col("size"))) if weight is not None else quality_weight(F.col("size")))
     name = F.coalesce(F.col("ident").cast("string"), F.md5(clean_text("text").cast("binary")))
-    own = own.withColumn("key", -F.log(uniform(name, seed)) / F.col("weight")).withColumn("no_ident", F.col("ident").isNull())
+    own = own.withColumn("key", sampling_key(name, F.col("weight"), seed)).withColumn("no_ident", F.col("ident").isNull())
     keyed = scratch.stash(own.select("row", "source", "size", *_ORDER, F.monotonically_increasing_id().alias("row_id")), "keyed")
     rest = Scratch(df.sparkSession)
     stops = _stops(keyed, rest, weights, most)

@@ -109,6 +109,26 @@ def test_mixing(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mixing_by_odd_weights(spark):
+    """Null and NaN weights are the default, weights of 0 come last, infinite ones first; no target is overshot."""
+    odd = [None, float("nan"), 0.0, -2.0, float("inf"), 5e-324, 1e308, 0.5]
+    rows = [(i, "w " * (i % 6 + 1), "ab"[i % 2], odd[i // 2 % len(odd)]) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    out = M.mix(df, weight=F.col("w"), weights=(1, 4)).collect()
+    assert len(out) == len(rows)
+    for s in "ab":
+        own = [r for r in out if r["row"]["source"] == s]
+        assert sum(r["taken"] for r in own) == math.floor(own[0]["target"] + 1e-9)
+    # Source a is read in part: what weighs 0 is taken only when nothing else is left, what weighs infinity before all.
+    part = {r["row"]["doc_id"]: (r["row"]["w"], r["taken"] / r["size"]) for r in out if r["row"]["source"] == "a"}
+    assert 0 < sum(share < 1 for _, share in part.values()) < len(part)
+    assert all(share == 1 for w, share in part.values() if w == float("inf"))
+    assert all(share == 0 for w, share in part.values() if w is not None and (w <= 0 or w == 5e-324))
+    same = M.mix(df.drop("w").withColumn("w", F.lit(None).cast("double")), weight=F.col("w")).collect()
+    plain = M.mix(df.drop("w")).collect()
+    assert sorted((r["row"]["doc_id"], r["taken"]) for r in same) == sorted((r["row"]["doc_id"], r["taken"]) for r in plain)
+
+
 def test_mixing_reruns_agree(spark):
     """Repeated and null identifiers, rows alike in all, ties of keys, more sources than a task may hold."""
     rows = [(i % 7 if i % 3 else None, f"word {i % 11} " * (i % 5 + 1), "ab"[i % 2], i % 4) for i in range(300)]
