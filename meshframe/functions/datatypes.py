@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ class DataType:
     bytes: int
     spark: str
     kind: str  # int, uint, float, custom
+    #: The structured numpy type of a custom element, as which reductions see it.
+    record: object = None
 
 
 #: The element types and their sizes in bytes.
@@ -51,10 +54,14 @@ class Registry:
         self._custom: dict[str, DataType] = {}
         self._next = len(BUILT_IN)
 
-    def register(self, size: int) -> DataType:
+    def register(self, size: int, record=None) -> DataType:
+        """record: what numpy makes a type of, such as [("value", ">i8"), ("at", ">i8")], if elements are to be reduced."""
         if size <= 0:
             raise InvalidArgument("an element has at least one byte")
-        dtype = DataType(f"DTYPE_{self._next}", size, "binary", "custom")
+        record = None if record is None else np.dtype(record)
+        if record is not None and record.itemsize != size:
+            raise InvalidArgument(f"a record of {record.itemsize} bytes in an element of {size}")
+        dtype = DataType(f"DTYPE_{self._next}", size, "binary", "custom", record)
         self._next += 1
         self._custom[dtype.name] = dtype
         return dtype

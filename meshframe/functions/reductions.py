@@ -1,23 +1,20 @@
 """Reductions as aggregate expressions.
 
-Sums of integers are exact (DECIMAL) and wrapped once, which equals wrapping at each step. Products of integers are
-folded modulo the width; products() multiplies what a task has of an element first, so that a fold holds a value a batch.
-min and max are Spark's (NaN is largest). bfloat16 and float16 are reduced as FLOAT in double precision with one
-conversion at the end; strict=True folds in the order of ranks, for buffers with an element a rank, and converts after
-each step.
+Sums of integers are exact (DECIMAL) and wrapped once, which equals wrapping at each step. Products of integers as an
+aggregate fold a list, which is for lists of a value a rank; pairwise.py multiplies any number of values.
+min and max are Spark's (NaN is largest). bfloat16 and float16 are reduced in double precision with one conversion at the
+end; orders.py has reductions in a fixed order, with a conversion at each step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from meshframe.errors import InvalidArgument
-from meshframe.functions.datatypes import BUILT_IN, WIDE, DataType, round_bf16, round_fp16, times, to_element, truncate_bf16, wrap
+from meshframe.functions.datatypes import WIDE, DataType, times, to_element
 
 SUM, PROD, MIN, MAX = "sum", "prod", "min", "max"
 #: A custom reduction: from a column to an aggregate (a grouped pandas UDF will do).
@@ -28,56 +25,34 @@ def _wide(value: Column, dtype: DataType) -> Column:
     return value.cast(WIDE) if dtype.kind in ("int", "uint") and dtype.bytes == 8 else value.cast("bigint") if dtype.kind in ("int", "uint") else value.cast("double")
 
 
-def reduction(op: str | Custom, value: Column, dtype: DataType, rank: Column | None = None, strict: bool = False, rounding: str = "truncate") -> Column:
+def reduction(op: str | Custom, value: Column, dtype: DataType, rounding: str = "truncate") -> Column:
     """The aggregate that reduces value over the rows of a group."""
     if callable(op):
         return op(value)
+    partial, _, finish = stages(op, dtype, rounding)
+    return finish(partial(value))
+
+
+def stages(op: str, dtype: DataType, rounding: str = "truncate") -> tuple[Callable[[Column], Column], ...]:
+    """(partial, merge, finish): an aggregate of values in the wide type, one of such results, and their conversion to the
+    element type, which is done once however many levels there are."""
+    if callable(op):
+        raise InvalidArgument("a reduction of the caller's own is no more than one aggregate")
     if dtype.kind == "custom":
-        raise InvalidArgument("elements of a custom type need a custom reduction")
-    if strict and dtype.kind == "float":
-        return _ordered(op, value, dtype, rank, rounding)
+        raise InvalidArgument("elements of a custom type need a pairwise reduction")
     if op == SUM:
-        return to_element(F.sum(_wide(value, dtype)), dtype, rounding)
+        return lambda v: F.sum(_wide(v, dtype)), F.sum, lambda w: to_element(w, dtype, rounding)
+    if op == PROD and dtype.kind == "float":
+        return lambda v: F.product(v.cast("double")), F.product, lambda w: to_element(w, dtype, rounding)
     if op == PROD:
-        if dtype.kind == "float":
-            return to_element(F.product(value.cast("double")), dtype, rounding)
-        bits = 8 * dtype.bytes
-        span = F.lit(str(1 << bits)).cast(WIDE)
-        values = F.collect_list(F.pmod(value.cast(WIDE), span))
-        return to_element(F.aggregate(values, F.lit("1").cast(WIDE), lambda a, b: times(a, b, bits).cast(WIDE)), dtype)
+        return lambda v: _product(v, dtype), lambda w: _product(w, dtype), lambda w: to_element(w, dtype)
     if op in (MIN, MAX):
-        return (F.min if op == MIN else F.max)(value).cast(dtype.spark)
+        least = F.min if op == MIN else F.max
+        return least, least, lambda w: w.cast(dtype.spark)
     raise InvalidArgument(f"unknown reduction {op}")
 
 
-def _ordered(op: str, value: Column, dtype: DataType, rank: Column | None, rounding: str) -> Column:
-    if rank is None:
-        raise InvalidArgument("a strict reduction needs the ranks")
-    kind = "double" if dtype.name == "float64" else "float"
-    end = {"bfloat16": truncate_bf16 if rounding == "truncate" else round_bf16, "float16": round_fp16}.get(dtype.name, lambda c: c.cast(kind))
-    ops = {SUM: lambda a, b: a + b, PROD: lambda a, b: a * b, MIN: F.least, MAX: F.greatest}
-    if op not in ops:
-        raise InvalidArgument(f"unknown reduction {op}")
-    values = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), value.cast(kind).alias("v")))), lambda s: s["v"])
-    rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.aggregate(rest, F.element_at(values, 1), lambda a, b: end(ops[op](a, b)))
-
-
-def _multiplied(batches):
-    """Each batch's product of the values of an element, modulo 2**64."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        buf, idx, value = (np.asarray(batch.column(c)) for c in ("buf_id", "idx", "value"))
-        order = np.lexsort((idx, buf))
-        buf, idx, value = buf[order], idx[order], value[order]
-        first = np.flatnonzero(np.concatenate(([True], (buf[1:] != buf[:-1]) | (idx[1:] != idx[:-1]))))
-        product = np.multiply.reduceat(value.view(np.uint64), first).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(buf[first]), pa.array(idx[first]), pa.array(product)], names=["buf_id", "idx", "value"])
-
-
-def products(buffers: DataFrame, dtype: DataType) -> DataFrame:
-    """(buf_id, idx, value BIGINT): partial products of integers modulo 2**64, which any narrower width divides."""
-    rows = buffers.select("buf_id", "idx", wrap(F.col("value"), BUILT_IN["int64"]).alias("value"))
-    rows = rows.where("buf_id is not null and idx is not null and value is not null")
-    return rows.mapInArrow(_multiplied, "buf_id int, idx bigint, value bigint")
+def _product(value: Column, dtype: DataType) -> Column:
+    bits = 8 * dtype.bytes
+    values = F.collect_list(F.pmod(value.cast(WIDE), F.lit(str(1 << bits)).cast(WIDE)))
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit("1").cast(WIDE), lambda a, b: times(a, b, bits).cast(WIDE)))

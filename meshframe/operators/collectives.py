@@ -7,15 +7,19 @@ In-place calls need nothing here: DataFrames do not change. A call over no eleme
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshframe.errors import InvalidArgument
-from meshframe.functions.datatypes import REGISTRY
-from meshframe.functions.reductions import PROD, products, reduction
+from meshframe.functions.datatypes import REGISTRY, DataType
+from meshframe.functions.orders import block_of, by_rank, combined
+from meshframe.functions.pairwise import Pairwise, multiplied, reduced
+from meshframe.functions.reductions import PROD, reduction, stages
 from meshframe.operators.comm import Communicator
+from meshframe.sources.buffers import last_up_to
 
 
 @dataclass(frozen=True)
@@ -35,47 +39,80 @@ class Replicated:
         return self.values.select(F.lit(self.comm.check_root(rank)).alias("rank"), "*")
 
 
-def _reduced(buffers: DataFrame, op, dtype, strict: bool, rounding: str) -> DataFrame:
-    if op == PROD and REGISTRY[dtype].kind in ("int", "uint"):
-        buffers = products(buffers, REGISTRY[dtype]).withColumn("rank", F.lit(0))
-    value = reduction(op, F.col("value"), REGISTRY[dtype], F.col("rank"), strict, rounding)
-    return buffers.groupBy("buf_id", "idx").agg(value.alias("value"))
+def _reduced(buffers: DataFrame, comm: Communicator, op, dtype, rounding: str, order: str | None = None, block: Column | None = None, root: int = 0) -> DataFrame:
+    dtype = REGISTRY[dtype]
+    if isinstance(op, Pairwise):
+        return reduced(buffers, op, dtype, rounding)
+    if order is not None and dtype.kind == "float" and not callable(op):
+        values = by_rank(buffers, comm.size, op, dtype, rounding)
+        return values.select("buf_id", "idx", combined(F.col("v"), comm.size, op, dtype, order, rounding, block, root).alias("value"))
+    if op == PROD and dtype.kind in ("int", "uint"):
+        return multiplied(buffers, dtype)
+    return buffers.groupBy("buf_id", "idx").agg(reduction(op, F.col("value"), dtype, rounding).alias("value"))
 
 
-def allreduce(buffers: DataFrame, comm: Communicator, op="sum", dtype: str = "float32", strict: bool = False, rounding: str = "truncate") -> Replicated:
-    return Replicated(_reduced(buffers, op, dtype, strict, rounding), comm)
+def allreduce(buffers: DataFrame, comm: Communicator, op="sum", dtype: str | DataType = "float32", strict: bool = False, rounding: str = "truncate", order: str | None = None, count: int | None = None) -> Replicated:
+    """op: a built-in reduction, a function from a column to an aggregate, or Pairwise. order: how floats are combined
+    (see orders.py); strict is the order of ranks. count: elements of a rank's vector, for orders by block."""
+    order = order or ("rank" if strict else None)
+    block = None if count is None else block_of(F.col("idx"), count, comm.size)
+    return Replicated(_reduced(buffers, comm, op, dtype, rounding, order, block), comm)
 
 
-def allreduce_2d(buffers: DataFrame, comm: Communicator, per_node: int, op="sum", dtype: str = "int64") -> Replicated:
-    """Reduces inside nodes first, then across them."""
+def allreduce_2d(buffers: DataFrame, comm: Communicator, per_node: int, op="sum", dtype: str = "int64", rounding: str = "truncate") -> Replicated:
+    """Reduces inside nodes first, then across them: the first level stays in the wide type, the second converts."""
+    if op == PROD and REGISTRY[dtype].kind in ("int", "uint"):
+        return Replicated(multiplied(buffers, REGISTRY[dtype]), comm)  # in levels already: by task, then across tasks
+    partial, merge, finish = stages(op, REGISTRY[dtype], rounding)
     node = F.floor(F.col("rank") / per_node).cast("int")
-    inner = buffers.groupBy(node.alias("rank"), "buf_id", "idx").agg(reduction(op, F.col("value"), REGISTRY[dtype]).alias("value"))
-    return allreduce(inner, comm, op, dtype)
+    inner = buffers.groupBy(node.alias("node"), "buf_id", "idx").agg(partial(F.col("value")).alias("value"))
+    return Replicated(inner.groupBy("buf_id", "idx").agg(finish(merge(F.col("value"))).alias("value")), comm)
 
 
-def allreduce_packed(packed: DataFrame, comm: Communicator, width: int, op="sum", dtype: str = "float32", rounding: str = "truncate") -> Replicated:
-    """Buffers in packed form (rank, buf_id, chunk_id, values of width elements): arrays are reduced place by place, so a
-    row of the exchange is a chunk. The values come out in long form."""
-    places = [reduction(op, F.get("values", F.lit(i)), REGISTRY[dtype], rounding=rounding) for i in range(width)]
-    chunks = packed.groupBy("buf_id", "chunk_id").agg(F.array(*places).alias("values"), F.max(F.size("values")).alias("n"))
-    rows = chunks.select("buf_id", "chunk_id", F.posexplode(F.slice("values", 1, F.col("n"))).alias("pos", "value"))
-    return Replicated(rows.select("buf_id", (F.col("chunk_id") * width + F.col("pos")).alias("idx"), "value"), comm)
+def allreduce_levels(buffers: DataFrame, per_node: int, op="sum", dtype: str = "int64", rounding: str = "truncate") -> DataFrame:
+    """The results of a hierarchy's levels in one pass: (level, node, rank, buf_id, idx, value), where level is rank (node
+    and rank set), node (rank null) or world (both null). Grouping sets: one exchange for all levels."""
+    node = F.floor(F.col("rank") / per_node).cast("int")
+    keys = [F.col("buf_id"), F.col("idx")]
+    sets = [[*keys, F.col("node"), F.col("rank")], [*keys, F.col("node")], keys]
+    rows = buffers.withColumn("node", node).groupingSets(sets, "buf_id", "idx", "node", "rank")
+    out = rows.agg(F.grouping("node").alias("no_node"), F.grouping("rank").alias("no_rank"), reduction(op, F.col("value"), REGISTRY[dtype], rounding).alias("value"))
+    level = F.when(F.col("no_node") == 1, F.lit("world")).when(F.col("no_rank") == 1, F.lit("node")).otherwise(F.lit("rank"))
+    return out.select(level.alias("level"), "node", "rank", "buf_id", "idx", "value")
+
 
+def allreduce_packed(packed: DataFrame, comm: Communicator, width: int, op="sum", dtype: str = "float32", rounding: str = "truncate", wide: bool = False) -> Replicated:
+    """Buffers in packed form (rank, buf_id, chunk_id, values of width elements): arrays are reduced place by place, so a
+    row of the exchange is a chunk. The values come out in long form.
 
-def reduce(buffers: DataFrame, comm: Communicator, root: int, op="sum", dtype: str = "float32", strict: bool = False, rounding: str = "truncate") -> DataFrame:
+    With a column held (see pack), only places that some rank holds have a value. wide: values are partial results.
+    """
+    if wide:
+        _, merge, finish = stages(op, REGISTRY[dtype], rounding)
+    else:
+        merge, finish = (lambda v: reduction(op, v, REGISTRY[dtype], rounding)), (lambda v: v)
+    gaps = "held" in packed.columns
+    places = [F.struct(finish(merge(F.get("values", F.lit(i)))).alias("value"), (F.max(F.get("held", F.lit(i))) if gaps else F.lit(True)).alias("held")) for i in range(width)]
+    chunks = packed.groupBy("buf_id", "chunk_id").agg(F.array(*places).alias("places"), F.max(F.size("values")).alias("n"))
+    rows = chunks.select("buf_id", "chunk_id", F.posexplode(F.slice("places", 1, F.col("n"))).alias("pos", "place")).where("place.held")
+    return Replicated(rows.select("buf_id", (F.col("chunk_id") * width + F.col("pos")).alias("idx"), "place.value"), comm)
+
+
+def reduce(buffers: DataFrame, comm: Communicator, root: int, op="sum", dtype: str | DataType = "float32", strict: bool = False, rounding: str = "truncate", order: str | None = None, count: int | None = None) -> DataFrame:
     """Rows of the root alone; other ranks receive nothing."""
-    return Replicated(_reduced(buffers, op, dtype, strict, rounding), comm).on(root)
+    order = order or ("rank" if strict else None)
+    block = None if count is None else block_of(F.col("idx"), count, comm.size)
+    return Replicated(_reduced(buffers, comm, op, dtype, rounding, order, block, comm.check_root(root)), comm).on(root)
 
 
-def reduce_scatter(buffers: DataFrame, comm: Communicator, recv_count: int, op="sum", dtype: str = "float32", strict: bool = False, rounding: str = "truncate") -> DataFrame:
-    """Rank r receives elements r * recv_count on, recv_count of them."""
+def reduce_scatter(buffers: DataFrame, comm: Communicator, recv_count: int, op="sum", dtype: str | DataType = "float32", strict: bool = False, rounding: str = "truncate", order: str | None = None) -> DataFrame:
+    """Rank r receives elements r * recv_count on, recv_count of them: block r."""
     if recv_count < 0:
         raise InvalidArgument("a count is not negative")
-    if recv_count == 0:
-        return _reduced(buffers, op, dtype, strict, rounding).limit(0).select(F.lit(0).alias("rank"), "buf_id", "idx", "value")
     kept = buffers.where(F.col("idx") < comm.size * recv_count)
-    out = _reduced(kept, op, dtype, strict, rounding)
-    return out.select(F.floor(F.col("idx") / recv_count).cast("int").alias("rank"), "buf_id", (F.col("idx") % recv_count).alias("idx"), "value")
+    block = F.floor(F.col("idx") / max(recv_count, 1)).cast("int")
+    out = _reduced(kept, comm, op, dtype, rounding, order or ("rank" if strict else None), block)
+    return out.select(block.alias("rank"), "buf_id", (F.col("idx") % max(recv_count, 1)).alias("idx"), "value")
 
 
 def broadcast(buffers: DataFrame, comm: Communicator, root: int) -> Replicated:
@@ -108,21 +145,45 @@ def offsets(counts: DataFrame, by: list[str], order: str = "rank") -> DataFrame:
     return counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint"))
 
 
-def check_counts(buffers: DataFrame, counts: DataFrame) -> None:
-    """Every rank sends as many elements as the others expect of it."""
-    sent = counts_of(buffers).withColumnRenamed("n", "sent")
-    wrong = counts.join(sent, ["rank", "buf_id"], "full").where(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("sent", F.lit(0))))
-    row = wrong.first()
-    if row is not None:
-        raise InvalidArgument(f"rank {row['rank']}: {row['sent']} elements sent, {row['n']} expected")
+def checked_counts(counts: DataFrame, found: DataFrame, keys: list[str], said: Callable[[Column, Column], Column]) -> DataFrame:
+    """counts (keys, n), whose rows are an error when read unless found, counts from elsewhere, has the same; what is
+    missing on either side is 0. said: from found's count and the expected one to the error's text.
+
+    The check is part of the plan: no action of its own, and no result of a call whose counts differ.
+    """
+    met = counts.select(*keys, "n").join(found.select(*keys, F.col("n").alias("__found")), keys, "full")
+    n, sent = F.coalesce("n", F.lit(0)).cast("bigint"), F.coalesce("__found", F.lit(0)).cast("bigint")
+    # A filter, as no reader of the result may do without it.
+    return met.where(F.when(n == sent, F.lit(True)).otherwise(F.raise_error(said(sent, n)).cast("boolean"))).select(*keys, n.alias("n"))
+
+
+def _sent_unexpected(sent: Column, expected: Column) -> Column:
+    return F.concat(F.lit("rank "), F.col("rank"), F.lit(": "), sent, F.lit(" elements sent, "), expected, F.lit(" expected"))
+
+
+def _differ(sent: Column, expected: Column) -> Column:
+    return F.concat(F.lit("rank "), F.col("src"), F.lit(" sends "), sent, F.lit(" elements to rank "), F.col("dst"), F.lit(", which expects "), expected)
+
+
+#: Rows of a table of counts up to which every task may hold it.
+MOST_COUNTS = 1 << 20
+
+
+def _beside(counts: DataFrame, rows: int) -> DataFrame:
+    """A table of counts to be joined to elements; rows: as many as ranks or pairs of ranks allow. Larger ones are joined
+    as any table."""
+    return F.broadcast(counts) if rows <= MOST_COUNTS else counts
 
 
 def allgatherv(buffers: DataFrame, comm: Communicator, counts: DataFrame | None = None, check: bool = False) -> Replicated:
-    """Blocks of any length one behind the other; counts (rank, buf_id, n) are taken from the buffers if not given."""
-    if check and counts is not None:
-        check_counts(buffers, counts)
-    starts = offsets(counts_of(buffers) if counts is None else counts, ["buf_id"]).select("rank", "buf_id", "offset")
-    placed = buffers.join(F.broadcast(starts), ["rank", "buf_id"])  # a row for each rank and buffer
+    """Blocks of any length one behind the other; counts (rank, buf_id, n) are taken from the buffers if not given. check:
+    each rank's elements are held against counts, and reading the result is an error if they differ."""
+    if counts is None:
+        counts = counts_of(buffers)
+    elif check:
+        counts = checked_counts(counts, counts_of(buffers), ["rank", "buf_id"], _sent_unexpected)
+    starts = offsets(counts, ["buf_id"]).select("rank", "buf_id", "offset")
+    placed = buffers.join(_beside(starts, comm.size), ["rank", "buf_id"])  # a row for each rank and buffer
     return Replicated(placed.select("buf_id", (F.col("offset") + F.col("idx")).alias("idx"), "value"), comm)
 
 
@@ -144,25 +205,18 @@ def alltoall_vector(buffers: DataFrame, comm: Communicator, count: int) -> DataF
     return buffers.where(idx < comm.size * count).select(F.floor(idx / count).cast("int").alias("rank"), F.col("rank").alias("src_rank"), "buf_id", (idx % count).alias("idx"), "value")
 
 
-def check_matrix(send_counts: DataFrame, recv_counts: DataFrame) -> None:
-    """What src means to send to dst (src, dst, buf_id, n) is what dst expects from src; a missing count is 0."""
-    met = send_counts.withColumnRenamed("n", "sent").join(recv_counts.withColumnRenamed("n", "expected"), ["src", "dst", "buf_id"], "full")
-    row = met.where(F.coalesce("sent", F.lit(0)) != F.coalesce("expected", F.lit(0))).first()
-    if row is not None:
-        raise InvalidArgument(f"rank {row['src']} sends {row['sent'] or 0} elements to rank {row['dst']}, which expects {row['expected'] or 0}")
-
-
 def alltoallv(messages: DataFrame, comm: Communicator, counts: DataFrame | None = None, recv_counts: DataFrame | None = None) -> DataFrame:
     """messages: (src, dst, buf_id, idx, value), idx dense from 0 for each pair. Receivers lay blocks out by sender.
 
-    counts: (src, dst, buf_id, n), taken from the messages if not given; recv_counts: what receivers expect, checked.
+    counts: (src, dst, buf_id, n), taken from the messages if not given; recv_counts: what receivers expect. If they differ,
+    reading the result is an error.
     """
     if counts is None:
         counts = messages.groupBy("dst", "src", "buf_id").agg(F.count(F.lit(1)).alias("n"))
     if recv_counts is not None:
-        check_matrix(counts, recv_counts)
+        counts = checked_counts(recv_counts, counts, ["src", "dst", "buf_id"], _differ)
     starts = offsets(counts, ["dst", "buf_id"], "src").select("dst", "src", "buf_id", "offset")
-    placed = messages.join(F.broadcast(starts), ["dst", "src", "buf_id"])  # a row for each pair of ranks
+    placed = messages.join(_beside(starts, comm.size**2), ["dst", "src", "buf_id"])  # a row for each pair of ranks
     return placed.select(F.col("dst").cast("int").alias("rank"), "buf_id", (F.col("offset") + F.col("idx")).alias("idx"), "value")
 
 
@@ -170,12 +224,24 @@ def alltoallv_vector(messages: DataFrame, comm: Communicator) -> DataFrame:
     return messages.select(F.col("dst").cast("int").alias("rank"), F.col("src").cast("int").alias("src_rank"), "buf_id", "idx", "value")
 
 
-def split_blocks(buffers: DataFrame, send_counts: DataFrame) -> DataFrame:
-    """Send buffers and counts (src, dst, buf_id, n) to messages for alltoallv: the send side's offsets."""
-    starts = offsets(send_counts, ["src", "buf_id"], "dst")
-    b = buffers.withColumnRenamed("rank", "src")
-    met = b.join(F.broadcast(starts), ["src", "buf_id"]).where((F.col("idx") >= F.col("offset")) & (F.col("idx") < F.col("offset") + F.col("n")))
-    return met.select("src", "dst", "buf_id", (F.col("idx") - F.col("offset")).alias("idx"), "value")
+def split_blocks(buffers: DataFrame, send_counts: DataFrame, size: int = 1 << 10) -> DataFrame:
+    """Send buffers and counts (src, dst, buf_id, n) to messages for alltoallv: the send side's offsets.
+
+    A rank's offsets are one sorted array, in which an element finds its block by bisection: a row an element throughout.
+    Elements behind the last block are not sent. size: ranks at most.
+    """
+    starts = offsets(send_counts.where("n > 0"), ["src", "buf_id"], "dst")
+    entry = F.struct("offset", "dst", "n")
+    blocks = starts.groupBy("src", "buf_id").agg(F.array_sort(F.collect_list(entry)).alias("blocks"))  # an entry a rank
+    met = buffers.withColumnRenamed("rank", "src").join(_beside(blocks, size**2), ["src", "buf_id"])
+    place = last_up_to(F.col("blocks"), F.col("idx"), size, lambda b: b["offset"])
+    met = met.withColumn("block", F.get("blocks", place)).where(F.col("idx") < F.col("block.offset") + F.col("block.n"))
+    return met.select("src", "block.dst", "buf_id", (F.col("idx") - F.col("block.offset")).alias("idx"), "value")
+
+
+def alltoallv_raw(buffers: DataFrame, comm: Communicator, send_counts: DataFrame, recv_counts: DataFrame | None = None) -> DataFrame:
+    """alltoallv from send buffers as they lie in memory: send_counts (src, dst, buf_id, n) cut them into blocks."""
+    return alltoallv(split_blocks(buffers, send_counts, comm.size), comm, send_counts, recv_counts)
 
 
 def barrier(spark: SparkSession, comm: Communicator) -> None:

@@ -24,8 +24,18 @@ def in_order(calls: DataFrame, order: str) -> DataFrame:
 
 
 def recv(messages: DataFrame, receives: DataFrame) -> DataFrame:
-    """receives: (rank, from_rank, group_id, seq). Gives (rank, from_rank, seq, idx, value)."""
-    want = receives.select(F.col("from_rank").alias("src"), F.col("rank").alias("dst"), "group_id", "seq")
+    """receives: (rank, from_rank, group_id, seq). Gives (rank, from_rank, seq, idx, value).
+
+    With a column n, the elements that a receive has room for, reading the result is an error if a message it is matched
+    with has another length.
+    """
+    want = receives.select(F.col("from_rank").alias("src"), F.col("rank").alias("dst"), "group_id", "seq", *(["n"] if "n" in receives.columns else []))
+    if "n" in receives.columns:
+        lengths = messages.groupBy(*KEY).agg(F.count(F.lit(1)).alias("sent"))
+        said = F.concat(F.lit("rank "), F.col("src"), F.lit(" sends "), F.coalesce("sent", F.lit(0)), F.lit(" elements to rank "), F.col("dst"), F.lit(", which has room for "), F.col("n"))
+        met = want.join(lengths, KEY, "left")
+        fits = F.coalesce("sent", F.lit(0)) == F.col("n")
+        want = met.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).select(*KEY)
     met = messages.join(want, KEY)
     return met.select(F.col("dst").alias("rank"), F.col("src").alias("from_rank"), "seq", "idx", "value")
 

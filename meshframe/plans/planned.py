@@ -1,10 +1,13 @@
-"""Collectives planned as the settings say."""
+"""Collectives planned as the settings say. A strategy changes a call's plan, never its result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from meshframe.functions.datatypes import REGISTRY
+from meshframe.functions.pairwise import multiplied
+from meshframe.functions.reductions import PROD, stages
 from meshframe.operators import collectives as C
 from meshframe.operators.comm import Communicator
 from meshframe.plans.selection import choose
@@ -12,17 +15,41 @@ from meshframe.plans.settings import Settings
 from meshframe.sources.buffers import pack
 
 
-def allreduce(buffers: DataFrame, comm: Communicator, count: int, op="sum", dtype: str = "float32", settings: Settings | None = None, per_node: int = 2, packed: bool = False) -> C.Replicated:
+def _strategy(collective: str, count: int, op, dtype: str, settings: Settings, packed: bool) -> str:
+    """What the hints have for count elements of the type; reductions of the caller's own have one plan only."""
+    chosen = choose(settings.hints(collective), count * REGISTRY[dtype].bytes, "packed" if packed else "long")
+    return "packed" if packed else "long" if callable(op) or not isinstance(op, str) else chosen
+
+
+def allreduce(buffers: DataFrame, comm: Communicator, count: int, op="sum", dtype: str = "float32", settings: Settings | None = None, per_node: int = 2, packed: bool = False, collective: str = "allreduce") -> C.Replicated:
     """An allreduce by the strategy that the hints have for count elements of the type.
 
     buffers come in long form, or in packed form (packed) with chunks of settings.chunk_elements, which only that strategy
-    leaves as they are. Reductions of the caller's own have no packed form.
+    leaves as they are.
     """
     settings = settings or Settings()
-    strategy = choose(settings.hints("allreduce"), count * REGISTRY[dtype].bytes, "packed" if packed else "long")
-    width = settings.chunk_elements
-    if packed or strategy == "packed" and not callable(op):
-        return C.allreduce_packed(buffers if packed else pack(buffers, width), comm, width, op, dtype, settings.bf16)
+    strategy, width = _strategy(collective, count, op, dtype, settings, packed), settings.chunk_elements
+    if packed:
+        return C.allreduce_packed(buffers, comm, width, op, dtype, settings.bf16)
+    if strategy == "packed":
+        # A rank may hold an element several times, or not at all: it is reduced in the rank, then placed.
+        kind = REGISTRY[dtype]
+        if op == PROD and kind.kind in ("int", "uint"):
+            own = multiplied(buffers, kind, by_rank=True)
+        else:
+            own = buffers.groupBy("rank", "buf_id", "idx").agg(stages(op, kind)[0](F.col("value")).alias("value"))
+        return C.allreduce_packed(pack(own, width), comm, width, op, dtype, settings.bf16, wide=True)
     if strategy == "tree":
-        return C.allreduce_2d(buffers, comm, per_node, op, dtype)
+        return C.allreduce_2d(buffers, comm, per_node, op, dtype, settings.bf16)
     return C.allreduce(buffers, comm, op, dtype, rounding=settings.bf16)
+
+
+def reduce(buffers: DataFrame, comm: Communicator, root: int, count: int, op="sum", dtype: str = "float32", settings: Settings | None = None, per_node: int = 2) -> DataFrame:
+    return allreduce(buffers, comm, count, op, dtype, settings, per_node, collective="reduce").on(root)
+
+
+def reduce_scatter(buffers: DataFrame, comm: Communicator, recv_count: int, op="sum", dtype: str = "float32", settings: Settings | None = None, per_node: int = 2) -> DataFrame:
+    kept = buffers.where(F.col("idx") < comm.size * recv_count)
+    values = allreduce(kept, comm, comm.size * recv_count, op, dtype, settings, per_node, collective="reduce_scatter").values
+    each = max(recv_count, 1)
+    return values.select(F.floor(F.col("idx") / each).cast("int").alias("rank"), "buf_id", (F.col("idx") % each).alias("idx"), "value")

@@ -56,8 +56,11 @@ class Settings:
                 raise InvalidArgument(f"{key}: not one of {', '.join(cls._choices[name])}")
             found[name] = value
         settings = cls(**found)
-        for name in ("allreduce", "reduce", "reduce_scatter", "allgather", "allgatherv", "alltoall", "alltoallv", "broadcast"):
+        for name in ("allreduce", "reduce", "reduce_scatter"):
             settings.hints(name)
+        for name in ("allgather", "allgatherv", "alltoall", "alltoallv", "broadcast"):
+            if any(c.strategy != "long" for c in settings.hints(name)):
+                raise InvalidArgument(f"{name} moves elements, a row each: it has no other strategy than long")
         return settings
 
     def hints(self, collective: str) -> list[Choice]:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from meshframe.errors import InvalidArgument, Unimplemented, Unsupported
 from meshframe.functions.datatypes import REGISTRY
+from meshframe.functions.reductions import PROD, reduction
 from meshframe.operators.collectives import Replicated, allreduce
 from meshframe.operators.comm import Communicator
 from meshframe.plans.settings import Settings
@@ -264,3 +265,19 @@ def stream_allreduce(stream: DataFrame, comm: Communicator, sink: Callable[[Data
     if callable(op):
         raise Unsupported("streams take built-in reductions")
     return stream.writeStream.foreachBatch(lambda batch, number: sink(allreduce(batch, comm, op, dtype).expand(), number))
+
+
+def running_allreduce(stream: DataFrame, at: str, window: str, delay: str, op: str = "sum", dtype: str = "int64", ident: str | None = None) -> DataFrame:
+    """Running reductions of a stream of buffers: (start, buf_id, idx, value) of each window of the event time at.
+
+    State is kept for each window and element, partial results first, and goes when the watermark (the latest time seen,
+    less delay) has passed the window; what comes later than that is left out. ident: a column by which rows that are sent
+    again are told, within the delay. In append mode a window is given once, when it is closed; in update mode as it grows.
+    """
+    if callable(op) or op == PROD and REGISTRY[dtype].kind != "float":
+        raise Unsupported("streams take sums, products of floats, minima and maxima")
+    rows = stream.withWatermark(at, delay)
+    if ident is not None:
+        rows = rows.dropDuplicatesWithinWatermark([ident])
+    out = rows.groupBy(F.window(at, window).alias("w"), "buf_id", "idx").agg(reduction(op, F.col("value"), REGISTRY[dtype]).alias("value"))
+    return out.select(F.col("w.start").alias("start"), "buf_id", "idx", "value")
