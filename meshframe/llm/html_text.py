@@ -9,6 +9,10 @@ footers around articles of varied make), so nothing is drawn from the pages to b
 Scripts, styles and other content that is not shown never become blocks. Character references are decoded; white space
 inside a block is one space; the article's blocks are joined by one space in page order.
 
+Markup is cut by the states of the HTML standard: quotes in names and values without quotes, comments that end at once or
+by ``--!>``, scripts that hold comments with scripts. An element keeps only what it adds to its ancestors, so time and
+memory follow a page's length, however deep it is nested.
+
 Nulls: a null page is empty and has no text. Markup that is not closed, closed twice or cut off is read as far as it
 goes. Pages of any length are read whole; memory follows the longest. Ties between sequences go to what is not article.
 Repeated rows get a result each. Columns other than identifier, address and page are not looked at. Empty tables give
@@ -37,43 +41,102 @@ TRAINING_PAGES, EPOCHS, RATE, L2 = 900, 12, 0.3, 1e-3
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup svg math time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content that is not shown as text.
-HIDDEN = frozenset("script style noscript template head title textarea select option svg math iframe object canvas audio video".split())
+HIDDEN = frozenset("script style noscript noembed noframes template head title textarea select option svg math iframe object canvas audio video".split())
 #: Elements whose content follows the rules of XML.
 FOREIGN = frozenset("svg math".split())
 #: Content up to the closing tag, whatever it looks like.
-RAW = frozenset("script style textarea title iframe noscript".split())
+RAW = frozenset("script style textarea title iframe noscript noembed noframes".split())
 #: Blocks that end an open paragraph.
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>?)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""").search
+#: White space of markup, and an attribute: its name, then a value in double or single quotes, or without any.
+_S = r"\t\n\f\r "
+_NAME = rf"=[^{_S}/>=]*+|[^{_S}/>=]++"
+_ATTRIBUTE = rf"""(?:{_NAME})(?:[{_S}]*+=[{_S}]*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^{_S}>"'][^{_S}>]*+)?+)?+"""
+#: Comments, of which some end at once; declarations, and end tags without a name; tags. No quantifier gives back what it
+#: has taken, so a page is read in one pass.
+_MARKUP = re.compile(rf"<!--(?:-?>|(?:(?!--!?>).)*+(?:--!?>|\Z))|<[!?][^>]*+>?|</(?![a-zA-Z]|\Z)[^>]*+>?|<(/?)([a-zA-Z][^{_S}/>]*+)((?:[{_S}/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_PARTS = re.compile(rf"""({_NAME})(?:[{_S}]*+=[{_S}]*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^{_S}>"'][^{_S}>]*+))?+)?+""")
+_CLOSED = re.compile(rf"""(?:^|[{_S}"'])/[{_S}]*\Z""").search
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+#: What opens and closes the stretches of a script in which its end tag does not count.
+_SCRIPT = re.compile(rf"<!--|--!?>|<(/?)script(?=[{_S}/>])", re.I)
 
 
 #: One notice word in so many words makes a block a notice.
 NOTICE_WORDS = 50
 
 
+class Node:
+    """An open element: what it adds to its ancestors' features, so that a page's depth costs nothing."""
+
+    __slots__ = ("added", "depth", "leaf", "number", "outer", "parent")
+
+    def __init__(self, number: int, parent: Node | None, name: str, added: tuple[int, ...]):
+        self.number, self.parent, self.added = number, parent, added
+        above = (0, "none", "") if parent is None else (parent.depth, parent.leaf, parent.outer)
+        if name in INLINE or name in ("", "html", "body"):
+            self.depth, self.leaf, self.outer = above
+        else:
+            self.depth, self.leaf, self.outer = above[0] + 1, name, "" if above[1] == "none" else above[1]
+
+
 class Block:
-    __slots__ = ("linked", "names", "path", "text")
+    """A stretch of text, the share of it inside links, and the innermost open element."""
+
+    __slots__ = ("linked", "node", "text")
 
-    def __init__(self, text: str, linked: float, path: tuple[str, ...], names: tuple[str, ...]):
-        self.text, self.linked, self.path, self.names = text, linked, path, names
+    def __init__(self, text: str, linked: float, node: Node):
+        self.text, self.linked, self.node = text, linked, node
 
 
 @lru_cache(maxsize=4096)
 def _named(attributes: str) -> tuple[str, ...]:
-    return tuple(sorted({w for m in _NAMES.finditer(attributes) for v in m.groups() if v for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())}))
+    """The words in an element's class, id and role."""
+    found = set()
+    for m in _PARTS.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            value = m[2] or m[3] or m[4] or ""
+            found.update(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+    return tuple(sorted(found))
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the content of a raw element that starts at at ends, its end tag included."""
+    stop = None
+    if name == "script":
+        escaped = inner = False
+        for m in _SCRIPT.finditer(page, at):
+            if m[0] == "<!--":
+                escaped = True
+            elif m[0][:2] == "--":
+                escaped = inner = False
+            elif not m[1]:
+                inner = escaped
+            elif inner:
+                inner = False
+            else:
+                stop = m
+                break
+    else:
+        stop = re.compile(rf"</{name}(?=[{_S}/>])", re.I).search(page, at)
+    if stop is None:
+        return len(page)
+    tag = _MARKUP.match(page, stop.start())
+    return len(page) if tag is None else tag.end()
 
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, blank ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Node(0, None, "", ())
+    stack: list[tuple[str, Node]] = []
+    outer: list[int] = []  # places in the stack of what is not inline
+    open_names: dict[str, int] = {}
+    open_features: dict[int, int] = {}
     parts: list[str] = []
-    linked = hidden = links = 0
+    linked = hidden = links = made = 0
     at, end = 0, len(page)
 
     def close() -> None:
@@ -81,20 +144,40 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                size = sum(map(len, parts))
-                out.append(Block(text, linked / max(1, size), tuple(n for n, _ in stack), tuple(w for _, ns in stack for w in ns)))
+                out.append(Block(text, linked / max(1, sum(map(len, parts))), stack[-1][1] if stack else root))
             parts.clear()
             linked = 0
 
+    def push(name: str, names: tuple[str, ...]) -> None:
+        nonlocal hidden, links, made
+        made += 1
+        own = {_hash(f"c={w}") for w in names}
+        if name not in INLINE:
+            own.add(_hash(f"t={name}"))
+            outer.append(len(stack))
+        added = tuple(f for f in own if f not in open_features)
+        for f in added:
+            open_features[f] = len(stack)
+        stack.append((name, Node(made, stack[-1][1] if stack else root, name, added)))
+        open_names[name] = open_names.get(name, 0) + 1
+        hidden += name in HIDDEN
+        links += name == "a"
+
     def pop(name: str) -> None:
         """Closes the innermost open element of that name, with what is open inside it."""
         nonlocal hidden, links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                for n, _ in stack[i:]:
-                    hidden -= n in HIDDEN
-                    links -= n == "a"
-                del stack[i:]
+        if not open_names.get(name):
+            return
+        while True:
+            n, node = stack.pop()
+            for f in node.added:
+                del open_features[f]
+            if outer and outer[-1] == len(stack):
+                outer.pop()
+            open_names[n] -= 1
+            hidden -= n in HIDDEN
+            links -= n == "a"
+            if n == name:
                 return
 
     def add(text: str) -> None:
@@ -131,25 +214,18 @@ def blocks(page: str) -> list[Block]:
             pass  # what is not shown ends no block
         elif name in ENDS_PARAGRAPH:
             close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop("p")
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            if outer and stack[outer[-1]][0] == "p":
+                pop("p")
         elif name not in INLINE:
             close()
             if name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 pop(name)
-        if _CLOSED(m[3]) and (name in FOREIGN or any(n in FOREIGN for n, _ in stack)):
+        if _CLOSED(m[3]) and (name in FOREIGN or any(open_names.get(n) for n in FOREIGN)):
             continue  # elsewhere a slash closes nothing
         if name in RAW:
-            stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = end if stop is None else stop.end()
+            at = _raw_end(page, name, at)
             continue
-        stack.append((name, _named(m[3]) if m[3] else ()))
-        hidden += name in HIDDEN
-        links += name == "a"
+        push(name, _named(m[3]) if m[3] else ())
         if name == "body":
             hidden = 0
     close()
@@ -160,18 +236,25 @@ def _hash(name: str) -> int:
     return zlib.crc32(name.encode()) >> (32 - HASH_BITS)
 
 
+def _ancestors(node: Node) -> list[int]:
+    """The features that the ancestors add, each once."""
+    out = []
+    while node is not None:
+        out += node.added
+        node = node.parent
+    return out
+
+
 @lru_cache(maxsize=20_000)
-def _path_features(path: tuple[str, ...], names: tuple[str, ...]) -> tuple[int, ...]:
-    found = {"bias"} | {f"t={t}" for t in path if t not in INLINE} | {f"c={w}" for w in names}
-    outer = [t for t in path if t not in INLINE and t not in ("html", "body")]
-    found |= {f"leaf={outer[-1] if outer else 'none'}", f"pair={'>'.join(outer[-2:])}", f"depth={min(len(outer), 6)}"}
-    return tuple(sorted({_hash(f) for f in found}))
+def _place_features(leaf: str, outer: str, depth: int) -> tuple[int, ...]:
+    return tuple(_hash(f) for f in ("bias", f"leaf={leaf}", f"pair={outer}>{leaf}", f"depth={min(depth, 6)}"))
 
 
 _NOTICE = ("cookie", "subscribe", "newsletter", "sign up", "copyright", "©", "all rights", "advert", "sponsored", "log in", "share", "comment", "reply", "privacy", "terms", "follow us", "related")
 
 
-def block_features(block: Block, place: int, total: int) -> list[int]:
+def own_features(block: Block, place: int, total: int) -> list[int]:
+    """What a block's text and place add to the features of its ancestors."""
     text = block.text
     low = text.lower()
     words = text.count(" ") + 1
@@ -179,7 +262,30 @@ def block_features(block: Block, place: int, total: int) -> list[int]:
     if words < 12:
         found.append(f"short={'stop' if text[-1] in '.!?' else 'open'}")
     found += [f"n={w}" for w in _NOTICE if w in low and low.count(w) * NOTICE_WORDS >= words]
-    return [*_path_features(block.path, block.names), *(_hash(f) for f in found)]
+    node = block.node
+    return [*_place_features(node.leaf, node.outer, node.depth), *(_hash(f) for f in found)]
+
+
+def block_features(block: Block, place: int, total: int) -> list[int]:
+    return [*_ancestors(block.node), *own_features(block, place, total)]
+
+
+def emissions(page_blocks: list[Block], weights: np.ndarray) -> list[float]:
+    """The sums of the blocks' weights; an element's sum is its parent's and what it adds."""
+    known = {0: 0.0}
+
+    def of(node: Node) -> float:
+        way = []
+        while node.number not in known:
+            way.append(node)
+            node = node.parent
+        value = known[node.number]
+        for n in reversed(way):
+            value = known[n.number] = value + (float(weights[list(n.added)].sum()) if n.added else 0.0)
+        return value
+
+    total = len(page_blocks)
+    return [of(b.node) + float(weights[own_features(b, i, total)].sum()) for i, b in enumerate(page_blocks)]
 
 
 class Field:
@@ -193,10 +299,8 @@ class Field:
         if not page_blocks:
             return []
         (t00, t01), (t10, t11) = self.trans.tolist()
-        weights, total = self.weights, len(page_blocks)
         other, main, back = 0.0, 0.0, []
-        for i, b in enumerate(page_blocks):
-            e = float(weights[block_features(b, i, total)].sum())
+        for i, e in enumerate(emissions(page_blocks, self.weights)):
             if i:
                 from_other = (other + t00 >= main + t10, other + t01 > main + t11)
                 other, main = max(other + t00, main + t10), max(other + t01, main + t11) + e
@@ -308,7 +412,7 @@ def labelled_page(rng: random.Random) -> list[tuple[Block, bool]]:
         page = page.replace("<body>", f'<body><div class="{pick("wrapper", "page", "container", "site")}">')
     out = []
     for b in blocks(page):
-        out.append((Block(b.text.replace(mark, "") or "x", b.linked, b.path, b.names), mark in b.text))
+        out.append((Block(b.text.replace(mark, "") or "x", b.linked, b.node), mark in b.text))
     return out
 
 

@@ -316,6 +316,66 @@ def test_op4(spark):
         assert got["text"] == Articles.text(p["html"])
 
 
+def test_markup_by_the_standard():
+    texts = lambda page: [b.text for b in H.blocks(page)]
+    assert texts("<!-->a<p>b<!--->c<!-- x --!>d<!-- <p>no --> e<!---->f") == ["a", "bcd ef"]
+    assert texts("<p title=it's>First<p a = >x<p a=\"x>y\">z") == ["First", "x", "z"]
+    assert texts("</ no>a</3>b</>c<!doctype html>d<?xml?>e") == ["abcde"]
+    assert texts('<p class="a"id=b/>one<p =">two<p a=b"c d>three') == ["one", "two", "three"]
+    assert texts("<script><!-- <script> </script> no --></script>yes<script>if (a<!--b) 1;</script>too") == ["yes", "too"]
+    assert texts("<style></styles>no</style >a<textarea><p>no</textarea\n x=1>b<title>c</title/>d") == ["a", "b", "d"]
+    assert texts("<p>last <b class='open") == ["last"]
+    assert H._named(""" class="Main siteNav" data-id=no id='x1' role = banner""") == ("banner", "main", "nav", "site", "x")
+    assert H._named(" title=class=no id=it's") == ("it", "s")
+
+
+def test_deep_and_broken_pages_take_time_by_their_length():
+    import resource
+    import time
+
+    H.trained()
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    for page in ("<div>a" * 100_000, "<b>" * 50_000 + "<p>x" * 50_000, "<div>" * 50_000 + "</span>" * 50_000 + "a", "".join(f"<div class=c{i}x{chr(97 + i % 26) * (i % 40)}>a" for i in range(50_000)), "<!--" * 100_000, "<p a=\"" * 50_000, "<" * 200_000, "<a " * 100_000, "<script>" + "<!--<script>" * 50_000):
+        H.trained().text(page)
+    assert time.perf_counter() - began < 60
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+class Main(Articles):
+    """What stands in the element of the id, where a page has no <article>."""
+
+    def handle_starttag(self, tag, attrs):
+        if self.depth and tag not in H.VOID:
+            self.depth += 1
+        elif dict(attrs).get("id") == "story":
+            self.depth = 1
+        self.hidden += tag in ("script", "style")
+        if tag not in ("b", "i", "em", "strong", "a", "span", "img"):
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.depth -= self.depth > 0
+        self.hidden -= tag in ("script", "style")
+        if tag not in ("b", "i", "em", "strong", "a", "span"):
+            self.parts.append(" ")
+
+
+def test_pages_without_an_article_element():
+    """Pages of another make than the training's, read by the standard library's parser."""
+    rng = random.Random(5)
+    right = total = 0
+    for _ in range(60):
+        say = lambda n: " ".join(rng.choice("river stone morning letter window garden quiet silver winter corner".split()) for _ in range(n))
+        body = "".join(f"<p title=it's>{say(rng.randint(15, 60)).capitalize()} &amp; {say(3)}.</p>" if rng.random() < 0.8 else f"<h2>{say(4)}</h2><p>{say(30)}.</p>" for _ in range(rng.randint(3, 9)))
+        page = f"""<!DOCTYPE html><html><head><title>{say(3)}</title></head><body class=page><div class="menu nav"><ul><li><a href="/a">{say(1)}</a></li><li><a href="/b">{say(2)}</a></li></ul></div>
+        <!--><div class=content id=story>{body}<script>var a = "<p>" + 1;</script></div><div class="sidebar widget"><h3>{say(2)}</h3><ul><li><a href=/x>{say(3)}</a></li></ul></div>
+        <div id="footer" class="footer">&copy; {say(3)}. All rights reserved.</div></body></html>"""
+        want = Main.text(page.replace("<!-->", ""))
+        right += H.trained().text(page) == want
+        total += 1
+    assert right / total > 0.9
+
+
 def test_slashes_close_nothing_but_foreign_elements():
     texts = lambda page: [(b.text, round(b.linked, 2)) for b in H.blocks(page)]
     assert texts("<script src=/x/>code</script><p>a") == [("a", 0.0)]
