@@ -37,7 +37,9 @@ WINDOW, END_ID = 2048, 1
 #: Tokens of a block; one rest in CUT_EACH is cut to parts of LEAST tokens at least; rests for a window before small ones are joined.
 BLOCK, CUT_EACH, LEAST, MOST_EACH = 1 << 19, 4, 8, 64
 #: Words whose ids are kept by a process, and the longest of them.
-MOST_KNOWN, LONGEST_KEPT = 300_000, 48
+MOST_KNOWN, LONGEST_KEPT = 800_000, 48
+#: What a token ends with that ends a word; words of letters that are encoded as one text, and such texts at once.
+WORD_END, STRETCH, STRETCHES = "</w>", 256, 64
 #: Windows of a block are fewer than this.
 _WINDOWS = 1 << 20
 
@@ -55,6 +57,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = {t.content: array("I", [i]).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content}
         self.added, self.known = added, {}
+        self.lowers = self.tokenizer.encode("AZ", add_special_tokens=False).ids == self.tokenizer.encode("az", add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.odd = re.compile("[\x1c-\x1f]").search  # white space to str.split, not to the tokenizer
         self.spaces = re.compile(f"[{SPACES}]+")
@@ -73,26 +79,50 @@ class WordEncoder:
         return out + self.words(text[at:])
 
     def _learn(self, words: set[str]) -> None:
-        known, ask, composed = self.known, set(), []
-        for w in words:
+        known = self.known
+        letters = {w for w in words if w.isalpha()}
+        odd, composed = [], []
+        for w in words.difference(letters):
             core = w.rstrip(MARKS)
-            if core != w and core.isascii() and core.isalpha():  # letters, then marks: two tokens of the pattern
+            if core.isascii() and core.isalpha():  # letters, then marks: two tokens of the pattern
                 composed.append((w, core, w[len(core) :]))
-                ask.update(composed[-1][1:])
             else:
-                ask.add(w)
-        ask = list(ask.difference(known))
-        for first in range(0, len(ask), 4096):
-            some = ask[first : first + 4096]
-            for w, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = array("I", coded.ids).tobytes()
+                odd.append(w)
+        letters.update([core for _, core, _ in composed])
+        odd += {tail for *_, tail in composed}
+        letters = list(letters.difference(known))
+        for first in range(0, len(letters), STRETCHES * STRETCH):
+            self._learn_letters(letters[first : first + STRETCHES * STRETCH])
+        self._learn_each([w for w in odd if w not in known])
         for w, core, tail in composed:
             known[w] = known[core] + known[tail]
 
+    def _learn_each(self, words: list[str]) -> None:
+        for first in range(0, len(words), 4096):
+            some = words[first : first + 4096]
+            for w, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", coded.ids).tobytes()
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """A word of letters ends with the first id that ends a word, so many are encoded as one text; if the ends come to
+        another number than the words, each by itself."""
+        stretches = [words[i : i + STRETCH] for i in range(0, len(words), STRETCH)]
+        for some, coded in zip(stretches, self.tokenizer.encode_batch_fast([" ".join(s) for s in stretches], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids])
+            if len(cuts) != len(some):
+                self._learn_each(some)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, cut in zip(some, (4 * cuts + 4).tolist(), strict=True):
+                self.known[w] = raw[at:cut]
+                at = cut
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         mixed = [self.cut is not None and self.cut.search(t) is not None for t in texts]
-        lists = [self._parts(t) if m else self.words(t) for t, m in zip(texts, mixed, strict=True)]
+        # The tokenizer takes capitals as small letters; in ASCII texts they are made so first, as fewer words are distinct.
+        lists = [self._parts(t) if m else self.words(t.lower() if t.isascii() and self.lowers else t) for t, m in zip(texts, mixed, strict=True)]
         here: set[str] = set().union(*([w for w in words if isinstance(w, str)] if m else words for words, m in zip(lists, mixed, strict=True)))
         new = here.difference(self.known)
         if len(self.known) + len(new) > MOST_KNOWN:
@@ -100,8 +130,8 @@ class WordEncoder:
         self._learn(new)
         known = self.known
         out = [b"".join([known[w] if isinstance(w, str) else w for w in words] if m else map(known.__getitem__, words)) for words, m in zip(lists, mixed, strict=True)]
-        for w in [w for w in known.keys() & new if len(w) > LONGEST_KEPT]:
-            del known[w]
+        for w in [w for w in new if len(w) > LONGEST_KEPT]:
+            known.pop(w, None)
         return out
 
 
@@ -123,7 +153,7 @@ def graded(length: int, least: int = LEAST) -> list[int]:
 
 
 #: Texts are encoded together up to so many characters.
-TOGETHER = 1 << 20
+TOGETHER = 2_000_000
 
 
 def _groups(batch: pa.RecordBatch):
