@@ -46,8 +46,12 @@ class Scratch:
 
     def stash(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
         self.paths.append(path)
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        except BaseException:
+            self.remove()  # nothing reads them any more
+            raise
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self, keep: int = 0) -> None:
@@ -75,17 +79,21 @@ def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
     return max(1, min(partitions(spark), max(spark.sparkContext.defaultParallelism, -(-rows // each))))
 
 
-#: Rows of a table that every task may hold beside its own; and the parts of the other table, where it has more rows.
-MOST_HELD, SALTS = 50_000, 16
+#: Rows of a table that every task may hold beside its own; and the rows of one key that one task joins.
+MOST_HELD, KEY_ROWS = 50_000, 500_000
 
 
 def meet(rows: DataFrame, few: DataFrame, keys: list[str], own: str, most: int | None = None) -> DataFrame:
     """rows joined to few on keys, however many rows share a key: few is broadcast as long as it has no more than most
-    rows by count; else each of SALTS parts of rows, dealt by column own, meets a copy of it."""
+    rows by count; else a key is dealt to as many parts as its counted rows deserve, by column own, and its rows of few are
+    copied to each. There are as many such keys as KEY_ROWS goes into the rows, at most."""
     if few.count() <= (MOST_HELD if most is None else most):
         return rows.join(F.broadcast(few), keys)
-    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"]).drop("__salt")
+    hot = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / KEY_ROWS).alias("__parts")).where("__parts > 1")
+    parts = F.coalesce("__parts", F.lit(1).cast("bigint"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(own), parts)).drop("__parts")
+    copies = few.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("__parts")
+    return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
 
 
 def clean_text(column: str = "text"):

@@ -2,8 +2,10 @@
 
 A URL becomes a set of tokens: host suffixes and labels, path segments (digits masked), extension, query keys. Spark's
 FP-growth mines token sets with the label from labelled URLs, for either verdict. A rule stays if its support is a share
-SUPPORT of the labelled URLs, its confidence LIFT times the share of its verdict among all of them, this is no chance
-(LEAST_GAIN), and no rule on a subset of its tokens is as confident. Rules are of any length.
+SUPPORT of the labelled URLs, its confidence LIFT times the share of its verdict among all of them, this is no chance, and no rule on a
+subset of its tokens is as confident. Rules are of any length. No chance: the log-likelihood ratio of a rule is beyond what
+the best of as many rules as were tested reaches with a probability of CHANCE (Bonferroni), so labels that have nothing to
+do with URLs give no rule at all but once in so many tables.
 
 Tokens that stand in the same labelled URLs say the same about them; the first in order speaks for all, which also keeps
 long URLs that are repeated from having subsets without number. A token or a rule with fewer URLs than the gain needs
@@ -23,6 +25,7 @@ no mined rules.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -38,9 +41,10 @@ LISTED = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Support as a share of the labelled URLs; confidence as a multiple of the verdict's share; and the log-likelihood ratio
-#: (twice, against the verdict's share) below which a rule is chance: one in a hundred reaches it by chance.
-SUPPORT, LIFT, LEAST_GAIN = 0.005, 1.15, 6.63
+#: Support as a share of the labelled URLs; confidence as a multiple of the verdict's share; the probability with which
+#: labels at random give any rule; and the log-likelihood ratio (twice, against the verdict's share) that a rule needs at
+#: least, however few are tested.
+SUPPORT, LIFT, CHANCE, LEAST_GAIN = 0.005, 1.15, 0.05, 6.63
 #: Rules that every task may hold.
 MOST_HELD = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,7 +94,12 @@ def _gain(hits: Column, n: Column, share: Column) -> Column:
     return F.when(hits > n * share, 2 * (part(hits, share) + part(miss, 1 - share))).otherwise(F.lit(0.0))
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float = SUPPORT, lift: float = LIFT, least_gain: float = LEAST_GAIN) -> DataFrame:
+def beyond_chance(tested: int, chance: float = CHANCE, least: float = LEAST_GAIN) -> float:
+    """The gain that the best of so many rules reaches by chance, one way, with a probability below chance."""
+    return max(least, NormalDist().inv_cdf(1 - chance / max(1, tested)) ** 2)
+
+
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float = SUPPORT, lift: float = LIFT, chance: float = CHANCE) -> DataFrame:
     """(tokens, verdict, confidence, support, strength, filed_under) of the rules, from (url, bad boolean)."""
     spark = labelled.sparkSession
     scratch = Scratch(spark)
@@ -101,7 +110,7 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float
         scratch.remove()
         return spark.createDataFrame([], _RULES)
     share = {BLOCK: blocked / n, ALLOW: 1 - blocked / n}
-    least = max(support * n, least_gain / (2 * math.log(1 / min(share.values()))))
+    least = max(support * n, LEAST_GAIN / (2 * math.log(1 / min(share.values()))))
     wide = "decimal(38,0)"
     stood = known.select("own", "other", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.sum(F.col("own").cast(wide)).alias("own"), F.sum(F.col("other").cast(wide)).alias("other"))
     speakers = stood.where(F.col("freq") >= least).groupBy("freq", "own", "other").agg(F.min("token").alias("token"))
@@ -115,8 +124,11 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", support: float
     hits = F.round(F.col("support") * n)
     rows = F.round(hits / F.col("confidence"))
     odds = (hits + 0.5) / (rows - hits + 0.5)
-    rules = rules.withColumn("gain", _gain(hits, rows, of)).withColumn("good", (F.col("gain") >= least_gain) & (F.col("confidence") >= lift * of)).withColumn("strength", F.log(odds * (1 - of) / of))
-    rules = scratch.stash(rules.select("tokens", "verdict", "confidence", "support", "strength", "good"), "rules")
+    rules = rules.withColumn("gain", _gain(hits, rows, of)).withColumn("high", F.col("confidence") >= lift * of).withColumn("strength", F.log(odds * (1 - of) / of))
+    rules = scratch.stash(rules.select("tokens", "verdict", "confidence", "support", "strength", "gain", "high"), "rules")
+    # Of a token set, one verdict has a gain at most: sets that were counted are the rules that were tested.
+    enough = beyond_chance(rules.count(), chance)
+    rules = rules.withColumn("good", F.col("high") & (F.col("gain") >= enough)).drop("gain", "high")
     rules = _unbeaten(rules, scratch).where("good").drop("good")
     rare = F.array_min(F.transform("tokens", lambda t: F.struct(F.element_at(F.map_from_arrays(F.lit(list(freq)), F.lit(list(freq.values()))), t).alias("freq"), t.alias("token"))))["token"] if freq else F.lit(None)
     out = scratch.stash(rules.withColumn("filed_under", rare), "rules")

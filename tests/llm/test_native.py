@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -180,11 +181,11 @@ def gain(hits, n, share):
     return 2 * sum(k * math.log(k / (n * p)) for k, p in ((hits, share), (n - hits, 1 - share)) if k)
 
 
-def brute_rules(sets, support=U.SUPPORT, lift=U.LIFT, least_gain=U.LEAST_GAIN):
+def brute_rules(sets, support=U.SUPPORT, lift=U.LIFT):
     """{(tokens, verdict): (confidence, support, strength)} by counting every subset of every URL's tokens."""
     n, blocked = len(sets), sum(b for _, b in sets)
     share = {"block": blocked / n, "allow": 1 - blocked / n}
-    least = max(support * n, least_gain / (2 * math.log(1 / min(share.values()))))
+    least = max(support * n, U.LEAST_GAIN / (2 * math.log(1 / min(share.values()))))
     stood = defaultdict(set)
     for i, (own, _) in enumerate(sets):
         for t in own:
@@ -201,7 +202,7 @@ def brute_rules(sets, support=U.SUPPORT, lift=U.LIFT, least_gain=U.LEAST_GAIN):
             count[part] += 1
             hits[part, "block" if b else "allow"] += 1
     known = {k: (h / count[k[0]], h / n) for k, h in hits.items() if h >= least - 1e-6}
-    out = {}
+    out, least_gain = {}, U.beyond_chance(len(known))
     for (part, v), (confidence, sup) in known.items():
         h, c = round(sup * n), count[part]
         below = [known[o, v][0] for r in range(1, len(part)) for o in combinations(part, r) if (o, v) in known]
@@ -284,7 +285,39 @@ def test_op1(spark):
             best = max(fits)
             verdict, mined, decided = "block" if best[2] else "allow", " ".join(best[3]), decided + 1
         assert tuple(got[i])[1:] == (host, at, rule, verdict, mined)
-    assert len(got) == len(pages) and decided > 0
+    # The labels have nothing to do with the urls, so chance alone could decide any.
+    assert len(got) == len(pages) and (decided > 0) == bool(rules)
+
+
+def test_labels_at_random_decide_nothing_and_planted_ones_do(spark):
+    """Tables whose labels are shuffled give no rule, but for about one in 1 / CHANCE; a third of the bad URLs have a token
+    that no other has in the last table."""
+    rng, tables, with_rules = random.Random(8), 12, 0
+    urls = [f"http://{rng.choice('abcdefgh')}.{rng.choice(['one', 'two', 'three'])}.example.{rng.choice(['org', 'com'])}/{rng.choice('uvwxyz')}/{rng.choice('klmnop')}?{rng.choice('qrs')}=1" for _ in range(700)]
+    for _ in range(tables):
+        bad = [rng.random() < 0.15 for _ in urls]
+        with_rules += bool(U.mine(spark.createDataFrame(list(zip(urls, bad, strict=True)), "url string, bad boolean")).count())
+    assert with_rules <= 2
+    planted = [(u.replace("?", "/win-a-prize?"), b) if b and i % 3 == 0 else (u, b) for i, (u, b) in enumerate(zip(urls, bad, strict=True))]
+    rules = U.mine(spark.createDataFrame(planted, "url string, bad boolean")).collect()
+    assert rules and all(r["verdict"] == "block" and r["tokens"][-1].endswith("win-a-prize") for r in rules)
+
+
+def test_the_bound_for_many_rules():
+    assert U.beyond_chance(1) == U.LEAST_GAIN and U.beyond_chance(1000) > U.beyond_chance(10)
+    assert math.erfc(math.sqrt(U.beyond_chance(1000) / 2)) / 2 == pytest.approx(U.CHANCE / 1000)
+
+
+def test_meeting_on_hot_keys(spark, monkeypatch):
+    from meshframe.llm import common
+
+    rows = spark.range(3000).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k7", 4), ("gone", 5), (None, 6)], "k string, v int")
+    want = sorted(map(tuple, rows.join(few, "k").collect()))
+    monkeypatch.setattr(common, "KEY_ROWS", 100)
+    for most in (100, 0):
+        assert sorted(map(tuple, common.meet(rows, few, ["k"], "i", most).collect())) == want
+    assert common.meet(rows.limit(0), few, ["k"], "i", 0).count() == 0
 
 
 def test_extension_tokens(spark):
