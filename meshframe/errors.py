@@ -9,9 +9,5 @@ class InvalidArgument(CollectiveError):
     """Arguments that contradict each other or the communicator."""
 
 
-class Unimplemented(CollectiveError):
-    """A declared operation that does nothing here."""
-
-
 class Unsupported(CollectiveError):
     """A combination of options that is not offered."""

@@ -104,42 +104,3 @@ def topology_from(ranks: DataFrame, colours: dict[str, str]) -> DataFrame:
         if ranks.where(F.col(name).isNull()).first() is not None:
             raise InvalidArgument(f"{name}: a rank has no colour")
     return ranks
-
-
-class KeyValueStore:
-    """The rendezvous store; in Spark only the driver needs one. create() makes one, and attach() finds it by address."""
-
-    _stores: dict[str, KeyValueStore] = {}
-
-    def __init__(self, address: str | None = None):
-        self.address = address or f"driver:{id(self):x}"
-        self._values: dict[str, str] = {}
-
-    @classmethod
-    def create(cls, address: str | None = None) -> KeyValueStore:
-        store = cls(address)
-        if store.address in cls._stores:
-            raise InvalidArgument(f"{store.address} is taken")
-        cls._stores[store.address] = store
-        return store
-
-    @classmethod
-    def attach(cls, address: str) -> KeyValueStore:
-        if address not in cls._stores:
-            raise InvalidArgument(f"no store at {address}")
-        return cls._stores[address]
-
-    def close(self) -> None:
-        self._stores.pop(self.address, None)
-
-    def set(self, key: str, value: str) -> None:
-        """Values are texts that are not empty; a NUL at the end, as C callers have it, is not part of them."""
-        value = value.removesuffix("\0")
-        if not value or "\0" in value:
-            raise InvalidArgument("a value is not empty and ends at the first NUL")
-        self._values[key] = value
-
-    def get(self, key: str) -> str:
-        if key not in self._values:
-            raise InvalidArgument(f"no value for {key}")
-        return self._values[key]

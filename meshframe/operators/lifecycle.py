@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 import meshframe
-from meshframe.operators.comm import Communicator, KeyValueStore
+from meshframe.operators.comm import Communicator
 
 
 def init(**config: str) -> SparkSession:
@@ -44,25 +44,15 @@ class Context:
     native: object = None
 
 
-@dataclass
+@dataclass(frozen=True)
 class Stream:
-    """An ordered queue of plans: those of one stream run in the order in which they were added."""
+    """Taken and ignored: plans have the order that their data gives them."""
 
     native: object = None
-    plans: list[DataFrame] = field(default_factory=list)
-
-    def add(self, plan: DataFrame) -> DataFrame:
-        self.plans.append(plan)
-        return plan
-
-    def run(self, sink) -> list:
-        done = [sink(p) for p in self.plans]
-        self.plans.clear()
-        return done
 
 
-def create_communicators(size: int, ranks: list[int], store: KeyValueStore | None = None, devices: dict[int, Device] | None = None) -> dict[int, Communicator]:
-    """The communicator of each rank; in one driver they are the same object. The store and devices are not needed."""
+def create_communicators(size: int, ranks: list[int], store: object = None, devices: dict[int, Device] | None = None) -> dict[int, Communicator]:
+    """The communicator of each rank; in one driver they are the same object. A rendezvous store and devices are not needed."""
     comm = Communicator(size)
     return {comm.check_root(r): comm for r in ranks}
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshframe.errors import InvalidArgument
 from meshframe.functions.datatypes import REGISTRY
 from meshframe.functions.pairwise import multiplied
 from meshframe.functions.reductions import PROD, stages
 from meshframe.operators import collectives as C
+from meshframe.operators import p2p
 from meshframe.operators.comm import Communicator
 from meshframe.plans.selection import choose
 from meshframe.plans.settings import Settings
 from meshframe.sources.buffers import pack
+from meshframe.streaming.runtime import Call, FusionLimits, OpAttr, fuse
 
 
 def _strategy(collective: str, count: int, op, dtype: str, settings: Settings, packed: bool) -> str:
@@ -53,3 +56,52 @@ def reduce_scatter(buffers: DataFrame, comm: Communicator, recv_count: int, op="
     values = allreduce(kept, comm, comm.size * recv_count, op, dtype, settings, per_node, collective="reduce_scatter").values
     each = max(recv_count, 1)
     return values.select(F.floor(F.col("idx") / each).cast("int").alias("rank"), "buf_id", (F.col("idx") % each).alias("idx"), "value")
+
+
+def call(name: str, buffers: DataFrame, comm: Communicator, attr: OpAttr | None = None, **args):
+    """A collective by name with a call's attributes: reduction_fn takes the place of op, vector_buf asks for a buffer for
+    each sender, group_id names a send's messages, and to_cache keeps the result for further readings."""
+    attr = attr or OpAttr()
+    if name not in CALLS:
+        raise InvalidArgument(f"no collective {name}")
+    if attr.reduction_fn is not None:
+        if name not in ("allreduce", "reduce", "reduce_scatter"):
+            raise InvalidArgument(f"{name} reduces nothing")
+        args["op"] = attr.reduction_fn
+    if name == "send":
+        return p2p.send(buffers, group_id=attr.group_id, **args)
+    if attr.vector_buf:
+        if f"{name}_vector" not in CALLS:
+            raise InvalidArgument(f"{name} has no buffers for each sender")
+        name = f"{name}_vector"
+    out = CALLS[name](buffers, comm, **args)
+    if attr.to_cache:
+        (out.values if isinstance(out, C.Replicated) else out).persist()
+    return out
+
+
+def calls(many: list[Call], comm: Communicator, settings: Settings | None = None) -> list[tuple[list[int], C.Replicated]]:
+    """Allreduces (their numbers) with one result each, buf_id being the call's number; small ones of a kind share one if the
+    settings ask for fusion."""
+    settings = settings or Settings()
+    if settings.fusion:
+        return fuse(many, comm, FusionLimits.of(settings))
+    return [([i], allreduce(c.buffers.withColumn("buf_id", F.lit(i)), comm, c.count, c.op, c.dtype, settings)) for i, c in enumerate(many)]
+
+
+CALLS = {
+    "allreduce": C.allreduce,
+    "reduce": C.reduce,
+    "reduce_scatter": C.reduce_scatter,
+    "broadcast": C.broadcast,
+    "bcast": C.bcast,
+    "allgather": C.allgather,
+    "allgather_vector": lambda buffers, comm, **_: C.allgather_vector(buffers, comm),
+    "allgatherv": C.allgatherv,
+    "allgatherv_vector": lambda buffers, comm, **_: C.allgatherv_vector(buffers, comm),
+    "alltoall": C.alltoall,
+    "alltoall_vector": C.alltoall_vector,
+    "alltoallv": C.alltoallv,
+    "alltoallv_vector": lambda buffers, comm, **_: C.alltoallv_vector(buffers, comm),
+    "send": p2p.send,
+}

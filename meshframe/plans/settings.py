@@ -13,15 +13,14 @@ _BOOL = {"0": False, "1": True, "false": False, "true": True}
 
 @dataclass(frozen=True)
 class Settings:
-    """fusion, its limits and whether urgent calls flush it; priority mode; what identifies a cached plan; elements of a
-    packed chunk; bfloat16 rounding; strategy hints for each collective."""
+    """fusion (planned.calls), its limits and whether urgent calls flush it; priority mode and whether calls are waited for
+    (runtime.start); elements of a packed chunk; bfloat16 rounding; strategy hints for each collective."""
 
     fusion: bool = False
     fusion_bytes_threshold: int = 16384
     fusion_count_threshold: int = 256
     fusion_check_urgent: bool = True
     priority: str = "none"
-    cache_key: str = "full"
     op_sync: bool = False
     chunk_elements: int = 1024
     bf16: str = "truncate"
@@ -34,7 +33,7 @@ class Settings:
     alltoallv: str = ""
     broadcast: str = ""
 
-    _choices = {"priority": ("none", "direct", "lifo"), "cache_key": ("full", "match_id"), "bf16": ("truncate", "rne")}
+    _choices = {"priority": ("none", "direct", "lifo"), "bf16": ("truncate", "rne")}
 
     @classmethod
     def read(cls, values: Mapping[str, str], prefix: str = "MESHFRAME_") -> Settings:

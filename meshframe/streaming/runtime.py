@@ -1,46 +1,49 @@
-"""How calls are issued: attributes, events, priorities, plan reuse and fusion.
+"""How calls run: attributes, events, fusion, and reductions of streams.
 
-A call is a plan. Submitting it gives an event, the future of a Spark job. Calls wait in bins by priority; the runtime
-starts the highest bin first and, inside a bin, in the order of issue; a call that depends on others starts behind them,
-whatever its priority. A cached call that is still busy is queued behind itself. Small allreduces of one kind are fused: their
+A call is a plan, and running it is a Spark action. start() runs one beside the driver's own code, in the scheduler pool of
+its priority and under a tag of its own: Spark's scheduler shares the executors among pools (set spark.scheduler.mode to
+FAIR and give the pools weights), and an event can be cancelled by its tag. Small allreduces of one kind are fused: their
 buffers become one union with buf_id as part of the grouping key, so that many calls cost one exchange.
 """
 
 from __future__ import annotations
 
-import itertools
 import threading
+import uuid
 from collections.abc import Callable
-from concurrent.futures import Future, ThreadPoolExecutor, wait
+from concurrent.futures import Future
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.errors import InvalidArgument, Unimplemented, Unsupported
+from meshframe.errors import InvalidArgument, Unsupported
 from meshframe.functions.datatypes import REGISTRY
+from meshframe.functions.pairwise import Pairwise
 from meshframe.functions.reductions import PROD, reduction
 from meshframe.operators.collectives import Replicated, allreduce
 from meshframe.operators.comm import Communicator
 from meshframe.plans.settings import Settings
 
-NONE, DIRECT, LIFO = "none", "direct", "lifo"
-HIGHEST = 1 << 30
-
 
 @dataclass(frozen=True)
 class OpAttr:
-    """Options of a call."""
+    """Options of a call; planned.call() and start() read them."""
 
+    #: With priorities direct, the pool that the call's jobs run in.
     priority: int = 0
+    #: Keeps the result, for calls whose result is read again.
     to_cache: bool = False
+    #: Waits for the call before start() returns.
     synchronous: bool = False
     match_id: str = ""
+    #: The name space of messages.
     group_id: int = 0
-    #: A reduction of the caller's own: from a column to an aggregate.
+    #: A reduction of the caller's own: from a column to an aggregate, or Pairwise.
     reduction_fn: Callable | None = None
-    #: Whether the blocks of a gather come as a buffer for each sender.
+    #: Whether the blocks of a gather or exchange come as a buffer for each sender.
     vector_buf: bool = False
 
     def get(self, name: str):
@@ -50,146 +53,56 @@ class OpAttr:
 
     def set(self, name: str, value) -> OpAttr:
         """A copy with the attribute; its type is the one that it has."""
-        old, kinds = self.get(name), {"reduction_fn": (Callable, type(None))}
+        old, kinds = self.get(name), {"reduction_fn": (Callable, Pairwise, type(None))}
         if not isinstance(value, kinds.get(name, type(old))) or (isinstance(value, bool) and not isinstance(old, bool)):
             raise InvalidArgument(f"{name}: not of the attribute's type: {value!r}")
         return replace(self, **{name: value})
 
 
 class Event:
-    """A running call."""
+    """A running call: the future of its action."""
 
-    def __init__(self, future: Future | None = None):
-        self._future = future
+    def __init__(self, spark: SparkSession, tag: str, future: Future):
+        self._spark, self._tag, self._future = spark, tag, future
 
     def wait(self):
-        return self._future.result() if self._future else None
+        return self._future.result()
 
     def test(self) -> bool:
-        return self._future is None or self._future.done()
+        return self._future.done()
 
     __bool__ = test
 
     def cancel(self) -> None:
-        raise Unimplemented("an issued call cannot be taken back")
-
-
-class Runtime:
-    """Starts calls by priority; one worker keeps the order strict, more run calls side by side."""
-
-    def __init__(self, workers: int = 1, priority: str = DIRECT, settings: Settings | None = None):
-        self.settings = settings or Settings(priority=priority)
-        self.mode = self.settings.priority
-        if self.mode not in (NONE, DIRECT, LIFO):
-            raise InvalidArgument(f"unknown priority mode {self.mode}")
-        self._pool = ThreadPoolExecutor(workers)
-        self._lock = threading.Lock()
-        self._pending: list[tuple[int, int, Callable, Future, tuple[Future, ...]]] = []
-        self._unfinished: set[Future] = set()
-        self._issued = itertools.count()
-        self._plans: dict[tuple, DataFrame] = {}
-        self._busy: dict[tuple, Event] = {}
-        self.built = 0
-
-    def submit(self, action: Callable, attr: OpAttr | None = None, deps: tuple[Event, ...] = ()) -> Event:
-        """Queues an action; it starts when deps are done, and fails if one of them does."""
-        attr = attr or OpAttr()
-        number, future = next(self._issued), Future()
-        with self._lock:
-            self._unfinished.add(future)
-        future.add_done_callback(self._done)
-        rank = {NONE: 0, DIRECT: attr.priority, LIFO: number}[self.mode]
-        self._pending.append((-rank, number, action, future, tuple(d._future for d in deps if d._future is not None)))
-        event = Event(future)
-        if attr.synchronous or self.settings.op_sync:
-            self.flush()
-            event.wait()
-        return event
-
-    def restart(self, key: tuple, action: Callable, attr: OpAttr | None = None) -> Event:
-        """Submits a cached call again; while its last run is busy, the new one waits for that."""
-        last = self._busy.get(key)
-        event = self.submit(action, attr, () if last is None or last.test() else (last,))
-        self._busy[key] = event
-        return event
-
-    def _done(self, future: Future) -> None:
-        with self._lock:
-            self._unfinished.discard(future)
-
-    def flush(self) -> list[int]:
-        """Starts all that is queued; returns the order of issue numbers in which it starts, as far as deps allow.
-
-        A call takes a worker only when its deps are done, so none waits for a call that waits for the worker.
-        """
-        order, started = [], {p[3] for p in self._pending}
-        waiting = sorted(self._pending, key=lambda p: p[:2])
-        self._pending.clear()
-        while waiting:
-            # The first whose deps have all started; deps of other runtimes, or not flushed, start by themselves.
-            ready = next((p for p in waiting if not any(d in started for d in p[4])), waiting[0])
-            waiting.remove(ready)
-            started.discard(ready[3])
-            order.append(ready[1])
-            self._start(*ready[2:])
-        return order
-
-    def _start(self, action: Callable, future: Future, deps: tuple[Future, ...]) -> None:
-        if not deps:
-            self._pool.submit(_fulfil, action, future)
-            return
-        left = [len(deps)]
-
-        def one_done(dep: Future) -> None:
-            with self._lock:
-                left[0] -= 1
-                last = left[0] == 0
-            if last:
-                failed = next((d.exception() for d in deps if d.exception() is not None), None)
-                if failed is not None:
-                    future.set_exception(failed)
-                else:
-                    self._pool.submit(_fulfil, action, future)
-
-        for d in deps:
-            d.add_done_callback(one_done)
-
-    def barrier(self) -> None:
-        """Waits for all calls, started or queued, and forgets the plans; nothing comes before it (HIGHEST priority)."""
-        self.flush()
-        with self._lock:
-            waiting = list(self._unfinished)
-        wait(waiting)
-        self._plans.clear()
-        for f in waiting:
-            f.result()
-
-    def plan(self, key: tuple, build: Callable[[], DataFrame], attr: OpAttr) -> DataFrame:
-        """The plan of a call; a cached one is built once for its whole key, the match_id included, or for its match_id
-        alone if the settings say so."""
-        if not attr.to_cache:
-            self.built += 1
-            return build()
-        if self.settings.cache_key == "match_id" and not attr.match_id:
-            raise InvalidArgument("a call that is cached by match_id needs one")
-        full = (attr.match_id,) if self.settings.cache_key == "match_id" else (*key, attr.match_id)
-        if full not in self._plans:
-            self.built += 1
-            self._plans[full] = build()
-        return self._plans[full]
-
-    def close(self) -> None:
-        try:
-            self.barrier()
-        finally:
-            self._pool.shutdown()
+        """Cancels the call's jobs; wait() then raises what Spark does."""
+        self._spark.sparkContext.cancelJobsWithTag(self._tag)
+
 
+def pool(attr: OpAttr, settings: Settings) -> str | None:
+    """The scheduler pool of a call; None for the default one."""
+    return f"priority-{attr.priority}" if settings.priority == "direct" else None
 
-def _fulfil(run: Callable, future: Future) -> None:
-    try:
-        future.set_result(run())
-    except BaseException as e:
-        future.set_exception(e)
+
+def start(spark: SparkSession, action: Callable[[], object], attr: OpAttr | None = None, deps: tuple[Event, ...] = (), settings: Settings | None = None) -> Event:
+    """Runs an action, such as a write, once the calls in deps are done; it fails if one of them does."""
+    attr, settings = attr or OpAttr(), settings or Settings()
+    tag, future, context = f"call-{uuid.uuid4().hex}", Future(), spark.sparkContext
+
+    def run() -> None:
+        try:
+            for d in deps:
+                d.wait()
+            context.addJobTag(tag)
+            context.setLocalProperty("spark.scheduler.pool", pool(attr, settings))
+            future.set_result(action())
+        except BaseException as e:
+            future.set_exception(e)
+
+    threading.Thread(target=inheritable_thread_target(run), daemon=True).start()
+    event = Event(spark, tag, future)
+    if attr.synchronous or settings.op_sync:
+        event.wait()
+    return event
 
 
 @dataclass(frozen=True)
@@ -251,15 +164,6 @@ def fuse(calls: list[Call], comm: Communicator, limits: FusionLimits | None = No
     return out
 
 
-def match_by_id(issued: dict[int, list[str]]) -> list[tuple[str, dict[int, int]]]:
-    """Calls that ranks issued in different orders, by match_id: (id, place in each rank's order), in rank 0's order."""
-    places = {r: {m: i for i, m in enumerate(ids)} for r, ids in issued.items()}
-    names = {frozenset(p) for p in places.values()}
-    if len(names) != 1 or any(len(p) != len(issued[r]) for r, p in places.items()):
-        raise InvalidArgument("every rank issues every call once")
-    return [(m, {r: p[m] for r, p in places.items()}) for m in issued[min(issued)]]
-
-
 def stream_allreduce(stream: DataFrame, comm: Communicator, sink: Callable[[DataFrame, int], None], op: str = "sum", dtype: str = "int64"):
     """A Structured Streaming writer that reduces each micro-batch of buffers and hands the rows to sink."""
     if callable(op):

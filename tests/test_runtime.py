@@ -1,54 +1,73 @@
-"""Events, priorities, fusion, plan reuse, messages and hints."""
+"""Events, attributes, fusion, messages and hints."""
 
 import threading
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshframe.errors import InvalidArgument, Unimplemented
+from meshframe.errors import InvalidArgument
+from meshframe.functions.pairwise import Pairwise
 from meshframe.operators import p2p
 from meshframe.operators.comm import Communicator
 from meshframe.plans import planned, selection
 from meshframe.plans.settings import Settings
 from meshframe.sources.buffers import pack, positions, unpack
-from meshframe.streaming.runtime import Call, FusionLimits, OpAttr, Runtime, fuse, match_by_id, stream_allreduce
-
-
-def test_events_and_priorities():
-    done = []
-    runtime = Runtime()
-    events = [runtime.submit(lambda i=i: done.append(i), OpAttr(priority=p)) for i, p in enumerate((1, 5, 0, 5))]
-    assert not any(e.test() for e in events)
-    assert runtime.flush() == [1, 3, 0, 2]
-    for e in events:
-        e.wait()
-    assert done == [1, 3, 0, 2] and all(events)
-    with pytest.raises(Unimplemented):
-        events[0].cancel()
-    lifo = Runtime(priority="lifo")
-    for _ in range(3):
-        lifo.submit(lambda: None)
-    assert lifo.flush() == [2, 1, 0]
-    failed = runtime.submit(lambda: 1 / 0, OpAttr())
-    runtime.flush()
-    with pytest.raises(ZeroDivisionError):
-        failed.wait()
-    assert runtime.submit(lambda: 7, OpAttr(synchronous=True), deps=(events[0],)).wait() == 7
-    runtime.close()
-    lifo.close()
-
-
-def test_plans_are_built_once_for_their_whole_key():
-    runtime = Runtime()
-    cached = OpAttr(to_cache=True, match_id="a")
-    first = runtime.plan(("allreduce", 4), object, cached)
-    assert runtime.plan(("allreduce", 4), object, cached) is first
-    assert runtime.plan(("reduce", 4), object, cached) is not first
-    assert runtime.plan(("allreduce", 4), object, OpAttr(to_cache=True, match_id="b")) is not first
-    assert runtime.built == 3
-    runtime.barrier()
-    assert runtime.plan(("allreduce", 4), object, cached) is not first
-    runtime.close()
+from meshframe.streaming.runtime import Call, FusionLimits, OpAttr, fuse, start, stream_allreduce
+
+
+def test_events(spark):
+    first = start(spark, lambda: spark.range(5).count())
+    after = start(spark, lambda: first.wait() + 1, deps=(first,))
+    assert after.wait() == 6 and first.test() and bool(after)
+    failed = start(spark, lambda: 1 / 0)
+    for e in (failed, start(spark, lambda: None, deps=(first, failed))):
+        with pytest.raises(ZeroDivisionError):
+            e.wait()
+    go = threading.Event()
+    held = start(spark, lambda: go.wait(20))
+    assert not held.test()
+    go.set()
+    assert held.wait()
+    assert start(spark, lambda: 7, OpAttr(synchronous=True)).test() and start(spark, lambda: 7, settings=Settings(op_sync=True)).test()
+
+
+def test_events_are_cancelled(spark):
+    def forever(batches):
+        time.sleep(60)
+        yield from batches
+
+    began = time.perf_counter()
+    event = start(spark, lambda: spark.range(4).mapInArrow(forever, "id long").count())
+    while not spark.sparkContext.statusTracker().getActiveJobsIds() and time.perf_counter() - began < 30:
+        time.sleep(0.1)
+    event.cancel()
+    with pytest.raises(Exception, match="(?i)cancel"):
+        event.wait()
+    assert time.perf_counter() - began < 50
+
+
+def test_calls_run_in_the_pool_of_their_priority(spark):
+    seen = lambda: spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    assert start(spark, seen, OpAttr(priority=3), settings=Settings(priority="direct")).wait() == "priority-3"
+    assert start(spark, seen, OpAttr(priority=3)).wait() is None and seen() is None
+
+
+def test_calls_by_name_and_attributes(spark):
+    b = spark.createDataFrame([(0, 0, 0, 3), (1, 0, 0, -7)], "rank int, buf_id int, idx long, value long")
+    comm = Communicator(2)
+    value = lambda attr, **a: planned.call("allreduce", b, comm, attr, dtype="int64", **a).values.first()["value"]
+    assert value(OpAttr()) == -4 and value(OpAttr(reduction_fn=Pairwise(np.minimum))) == -7 and value(OpAttr(reduction_fn=lambda v: F.max(F.abs(v)))) == 7
+    assert planned.call("allgather", b, comm, OpAttr(), count=1).values.columns == ["buf_id", "idx", "value"]
+    assert "src_rank" in planned.call("allgather", b, comm, OpAttr(vector_buf=True), count=1).values.columns
+    assert planned.call("send", b, comm, OpAttr(group_id=5), peer=1).first()["group_id"] == 5
+    kept = planned.call("reduce", b, comm, OpAttr(to_cache=True), root=1, dtype="int64")
+    assert kept.storageLevel.useMemory and kept.first()["value"] == -4
+    kept.unpersist()
+    for wrong in (lambda: planned.call("scan", b, comm), lambda: planned.call("bcast", b, comm, OpAttr(vector_buf=True), root=0), lambda: planned.call("allgather", b, comm, OpAttr(reduction_fn=F.max), count=1)):
+        with pytest.raises(InvalidArgument):
+            wrong()
 
 
 def test_fusion(spark):
@@ -61,12 +80,6 @@ def test_fusion(spark):
     assert [n for n, _ in fuse([calls[0]] * 3, Communicator(2), FusionLimits(count_threshold=2))] == [[0, 1], [2]]
 
 
-def test_unordered_calls():
-    assert match_by_id({0: ["a", "b"], 1: ["b", "a"]}) == [("a", {0: 0, 1: 1}), ("b", {0: 1, 1: 0})]
-    with pytest.raises(InvalidArgument):
-        match_by_id({0: ["a"], 1: ["b"]})
-
-
 def test_messages_in_order(spark):
     calls = spark.createDataFrame([(0, 1, 0, 30), (0, 1, 0, 10), (0, 2, 0, 20)], "src int, dst int, group_id int, at int")
     assert sorted((r["dst"], r["at"], r["seq"]) for r in p2p.in_order(calls, "at").collect()) == [(1, 10, 0), (1, 30, 1), (2, 20, 0)]
@@ -106,72 +119,14 @@ def test_stream(spark, tmp_path):
     assert {(r["rank"], r["idx"]): r["value"] for r in found} == {(k, i): 16 * i + 6 for k in range(4) for i in range(10)}
 
 
-def test_barrier_waits_for_calls_that_have_started():
-    runtime, go, done = Runtime(), threading.Event(), []
-    runtime.submit(lambda: (go.wait(10), done.append(1)))
-    runtime.flush()
-    threading.Timer(0.3, go.set).start()
-    runtime.barrier()
-    assert done == [1]
-    runtime.submit(lambda: done.append(2))
-    runtime.close()
-    assert done == [1, 2]
-
-
-def test_deps_go_before_priorities():
-    for workers in (1, 3):
-        runtime, done = Runtime(workers), []
-        slow = runtime.submit(lambda: done.append("slow"), OpAttr(priority=0))
-        last = runtime.submit(lambda: done.append("last"), OpAttr(priority=5), deps=(slow,))
-        assert runtime.flush() == [0, 1]
-        last.wait()
-        assert done == ["slow", "last"]
-        failed = runtime.submit(lambda: 1 / 0)
-        after = runtime.submit(lambda: done.append("never"), deps=(failed, slow))
-        runtime.flush()
-        with pytest.raises(ZeroDivisionError):
-            after.wait()
-        runtime.close()
-        assert done == ["slow", "last"]
-
-
-def test_deps_that_start_later():
-    first, second = Runtime(), Runtime()
-    late = second.submit(lambda: 3)
-    event = first.submit(lambda: late.wait() + 1, deps=(late,))
-    first.flush()
-    assert not event.test()
-    second.flush()
-    assert event.wait() == 4
-    first.close()
-    second.close()
-
-
-def test_modes_settings_and_restarts():
-    runtime = Runtime(settings=Settings())
-    for p in (1, 5, 0):
-        runtime.submit(lambda: None, OpAttr(priority=p))
-    assert runtime.mode == "none" and runtime.flush() == [0, 1, 2]
-    with pytest.raises(InvalidArgument):
-        Runtime(priority="best")
-    by_id = Runtime(settings=Settings(cache_key="match_id", priority="direct"))
-    cached = OpAttr(to_cache=True, match_id="a")
-    assert by_id.plan(("x",), object, cached) is by_id.plan(("y",), object, cached)
-    with pytest.raises(InvalidArgument):
-        by_id.plan(("x",), object, OpAttr(to_cache=True))
-    assert Runtime(settings=Settings(op_sync=True)).submit(lambda: 7).test()
-    go, order = threading.Event(), []
-    parallel = Runtime(workers=3)
-    parallel.restart(("k",), lambda: (go.wait(10), order.append(1)))
-    parallel.flush()
-    again = parallel.restart(("k",), lambda: order.append(2))
-    parallel.flush()
-    assert not again.test()
-    go.set()
-    again.wait()
-    assert order == [1, 2]
-    for r in (runtime, by_id, parallel):
-        r.close()
+def test_fusion_by_settings(spark):
+    b = spark.range(8).select((F.col("id") % 2).cast("int").alias("rank"), F.lit(0).alias("buf_id"), F.floor(F.col("id") / 2).alias("idx"), F.col("id").alias("value"))
+    many = [Call(b, 4, "int64"), Call(b, 4, "int64"), Call(b, 4, "int64", "max")]
+    for fusion, groups in ((True, [[0, 1], [2]]), (False, [[0], [1], [2]])):
+        out = planned.calls(many, Communicator(2), Settings(fusion=fusion))
+        assert [n for n, _ in out] == groups
+        rows = {(r["buf_id"], r["idx"]): r["value"] for _, o in out for r in o.values.collect()}
+        assert rows == {(c, i): 4 * i + 1 if c < 2 else 2 * i + 1 for c in range(3) for i in range(4)}
 
 
 def test_attributes():
