@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.llm.common import is_held_out, stash, table
+from meshframe.llm.common import Scratch, is_held_out, table
 from meshframe.llm.labelled import training_rows
 
 THRESHOLD = 0.7
@@ -132,8 +132,15 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, ridge: float = RIDGE) -> Model:
-    rows = training_rows(docs, labels, F.col("quality"), {0: most, 1: most})
-    vectors = stash(rows.mapInArrow(_vectors, "doc_id long, label int, x array<double>"), "quality").coalesce(FIT_PARTITIONS)
+    scratch = Scratch(docs.sparkSession)
+    try:
+        return _fitted(training_rows(docs, labels, F.col("quality"), {0: most, 1: most}), ridge, scratch)
+    finally:
+        scratch.remove()
+
+
+def _fitted(rows: DataFrame, ridge: float, scratch: Scratch) -> Model:
+    vectors = scratch.stash(rows.mapInArrow(_vectors, "doc_id long, label int, x array<double>"), "quality").coalesce(FIT_PARTITIONS)
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0
     fit, rest = vectors.where(~fold), vectors.where(fold)
     counts = dict(fit.groupBy("label").count().collect())

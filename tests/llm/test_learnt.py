@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshframe.llm import quality as Q
 from meshframe.llm import toxicity as X
@@ -212,3 +213,32 @@ def test_odd_tables(spark, sf_dir, monkeypatch):
     rows = [(1, None, None), (5, 1, 1), (5, 1, 1), (4, 0, 0), (4, 1, 1), (None, 1, 1), (7, 1, 0)]
     few = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
     assert X.toxicity(odd, X.learn(odd, few)).count() == 8 and Q.quality(odd, Q.learn(odd, few)).count() == 8
+
+
+def test_quality_against_a_plain_fit(spark, sf_dir):
+    """The whole query by plain numpy: the labelled rows, a direct ridge fit of stacked rows, and isotonic means by their
+    definition, the largest of the smallest averages."""
+    from meshframe.llm.common import is_held_out, table
+    from meshframe.llm.labelled import training_rows
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    plain = labels.where(F.col("quality").isNotNull() & ~is_held_out()).select("doc_id", F.col("quality").cast("int").alias("label")).join(docs, "doc_id")
+    rows = plain.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"), (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).alias("fold")).collect()
+    assert sorted(r["doc_id"] for r in training_rows(docs, labels, F.col("quality"), {0: Q.MOST_ROWS, 1: Q.MOST_ROWS}).collect()) == sorted(r["doc_id"] for r in rows)
+    x, y, rest = np.array([Q.statistics(r["text"]) for r in rows]), np.array([r["label"] for r in rows], float), np.array([r["fold"] for r in rows])
+    kernel = Q.Kernel(x[~rest].mean(0), np.maximum(x[~rest].std(0), 1e-3))
+    z, size, n = kernel(x[~rest]), Q.FEATURES + 1, int((~rest).sum())
+    weights = np.linalg.lstsq(np.vstack([z, np.sqrt(Q.RIDGE * n / size) * np.eye(size)]), np.concatenate([y[~rest], np.zeros(size)]), rcond=None)[0]
+    raw = kernel(x[rest]) @ weights
+    order = np.argsort(raw, kind="stable")
+    at, v = raw[order], y[rest][order]
+    average = [max(min(v[j : k + 1].mean() for k in range(i, len(v))) for j in range(i + 1)) for i in range(len(v))]
+    pools = [(sum(v[i] for i in own) + 0.5) / (len(own) + 1) for i in range(len(v)) for own in [[k for k in range(len(v)) if abs(average[k] - average[i]) < 1e-12]]]
+    pools = np.maximum.accumulate(pools)
+    got = {r["doc_id"]: r for r in Q.op6_quality(spark, sf_dir).collect()}
+    texts = docs.collect()
+    want = np.interp(kernel(np.array([Q.statistics(r["text"] or "") for r in texts])) @ weights, at, pools)
+    assert len(got) == len(texts)
+    for r, w in zip(texts, want, strict=True):
+        assert abs(got[r["doc_id"]]["score"] - w) < 1e-6 and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.7)
