@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from meshframe.errors import InvalidArgument
 from meshframe.functions.datatypes import DataType, round_bf16, round_fp16, truncate_bf16
-from meshframe.functions.reductions import MAX, MIN, PROD, SUM, reduction
+from meshframe.functions.reductions import MAX, MIN, PROD, SUM, reduction, stages
 
 ORDERS = ("rank", "ring", "naive", "binomial", "doubling")
 #: Up to so many ranks, an element's values are aggregated side by side, with one exchange; more take a second one.
@@ -44,9 +44,11 @@ def by_rank(buffers: DataFrame, size: int, op: str, dtype: DataType, rounding: s
     kind = _kind(dtype)
     outside = F.lit(f"a rank is not below {size}")
     if size <= MOST_COLUMNS:
-        own = [reduction(op, F.when(F.col("rank") == r, F.col("value")), dtype, rounding).cast(kind) for r in range(size)]
+        partial, _, finish = stages(op, dtype, rounding)
+        own = F.array(*[partial(F.when(F.col("rank") == r, F.col("value"))).cast("double") for r in range(size)])
         wrong = (F.max("rank") >= size) | (F.min("rank") < 0)
-        return buffers.groupBy("buf_id", "idx").agg(F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(outside).cast(f"array<{kind}>")).otherwise(F.array(*own)).alias("v"))
+        held = buffers.groupBy("buf_id", "idx").agg(F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(outside).cast("array<double>")).otherwise(own).alias("v"))
+        return held.select("buf_id", "idx", F.transform("v", lambda w: finish(w).cast(kind)).alias("v"))  # one piece of code for all ranks
     inner = buffers.groupBy("rank", "buf_id", "idx").agg(reduction(op, F.col("value"), dtype, rounding).cast(kind).alias("value"))
     rank = F.when((F.col("rank") >= 0) & (F.col("rank") < size), F.col("rank")).otherwise(F.raise_error(outside).cast("int"))
     held = inner.groupBy("buf_id", "idx").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.col("value").alias("v")))).alias("held"))

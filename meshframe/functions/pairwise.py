@@ -55,7 +55,7 @@ def _values(column: pa.Array, record: np.dtype | None) -> np.ndarray:
 def _column(values: np.ndarray, record: np.dtype | None) -> pa.Array:
     if record is None:
         return pa.array(values)
-    raw = pa.py_buffer(np.ascontiguousarray(values).tobytes())
+    raw = pa.py_buffer(np.ascontiguousarray(values, record).tobytes())  # numpy's functions may have changed the byte order
     return pa.Array.from_buffers(pa.binary(record.itemsize), len(values), [None, raw]).cast(pa.binary())
 
 
@@ -94,7 +94,7 @@ def _combine(op: Pairwise, names: list[str], record: np.dtype | None, in_order:
                 continue
             keys, values = [np.asarray(batch.column(k)) for k in names], _values(batch.column("value"), record)
             if held is not None:
-                keys, values = [np.concatenate(x) for x in zip(held[0], keys, strict=True)], np.concatenate((held[1], values))
+                keys, values = [np.concatenate(x) for x in zip(held[0], keys, strict=True)], np.concatenate((held[1], values), dtype=values.dtype)
             keys, values = held = folded(keys, values, op)
             if in_order and len(values) > 1:
                 yield done([k[:-1] for k in keys], values[:-1])

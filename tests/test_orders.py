@@ -3,12 +3,13 @@
 import functools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from meshframe.errors import InvalidArgument
 from meshframe.functions.datatypes import REGISTRY, Registry
-from meshframe.functions.pairwise import Pairwise, folded
+from meshframe.functions.pairwise import Pairwise, _combine, folded
 from meshframe.operators import collectives as C
 from meshframe.operators import p2p
 from meshframe.operators.comm import Communicator
@@ -175,6 +176,12 @@ def test_custom_types_are_reduced(spark):
     b = spark.createDataFrame(rows, BUFFERS + "binary").repartition(4)
     got = {r["idx"]: np.frombuffer(r["value"], kind.record)[0].tolist() for r in C.allreduce(b, Communicator(3), Pairwise(best), kind).values.collect()}
     assert got == {k: (v, -at) for k, (v, at) in want.items()}
+    # In several batches of a task, and with a function that gives records in another byte order.
+    record = np.dtype(kind.record)
+    made = [pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array([0, 1]), pa.array([np.array([(v + i, v)], record).tobytes() for i in range(2)], pa.binary())], names=["buf_id", "idx", "value"]) for v in (3, 9, 5)]
+    for in_order in (False, True):
+        out = list(_combine(Pairwise(best), ["buf_id", "idx"], record, in_order)(iter(made[:1] * 2 if in_order else made)))
+        assert [np.frombuffer(v, record)[0].tolist() for b in out for v in b.column("value").to_pylist()][-1] == ((4, 3) if in_order else (10, 9))
     for wrong in (lambda: registry.register(8, [("value", ">i4")]), lambda: C.allreduce(b, Communicator(3), "sum", kind), lambda: C.allreduce(b, Communicator(3), Pairwise(best), registry.register(12))):
         with pytest.raises(InvalidArgument):
             wrong()
