@@ -2,8 +2,8 @@
 
 A document is its set of distinct five-word shingles (lower-cased; fewer words: the whole sequence). Equal sets are one
 class, a node. Each class gets 256 registers (leading zeros and ten mantissa bits of the least hash of a bucket); empty
-registers borrow from filled ones, and 51 bands of five registers give the keys by which classes meet. At a similarity
-of 0.75 a pair misses all bands once in a million. Pairs that are compared are sifted by size and by the
+registers borrow from filled ones, and 51 bands of five registers give the keys by which classes meet. Of
+127,500 random pairs at a similarity of 0.75, of 3 to 4,000 shingles, none misses all bands. Pairs that are compared are sifted by size and by the
 collision-corrected register estimate, six standard errors below the threshold, and what passes is confirmed on the
 full sets.
 
