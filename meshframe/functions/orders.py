@@ -10,7 +10,8 @@ rank       ascending ranks, from rank 0 on
 ring       block b, which ends on rank b, starts on rank b + 1 and goes round
 naive      block b starts with rank b's own value, then those of b - 1, b - 2, ... come in
 binomial   a tree over the ranks relative to the root: neighbours first, then neighbouring pairs, and so on
-doubling   the ranks beyond a power of two are folded into the first ones, then the same tree from rank 0
+doubling   the ranks beyond a power of two are folded into the first ones, then the same tree from rank 0; recursive
+           halving combines in this order, too
 =========  ==========================================================================================
 
 A block is an element's part of the vector: with reduce_scatter, recv_count elements; with allreduce, its count over the
