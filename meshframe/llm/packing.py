@@ -24,9 +24,11 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ WORD_END, STRETCH, STRETCHES = "</w>", 256, 64
 #: Windows of a block are fewer than this.
 _WINDOWS = 1 << 20
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, parts array<struct<length: long, crc: long>>"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cut_crcs array<long>"
 _PLACED = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -56,27 +58,25 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = {t.content: array("I", [i]).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content}
-        self.added, self.known = added, {}
+        self.added, self.known = added, {"": b""}
         self.lowers = self.tokenizer.encode("AZ", add_special_tokens=False).ids == self.tokenizer.encode("az", add_special_tokens=False).ids
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.cut = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.odd = re.compile("[\x1c-\x1f]").search  # white space to str.split, not to the tokenizer
         self.spaces = re.compile(f"[{SPACES}]+")
 
-    def words(self, text: str) -> list[str]:
-        if self.odd(text):
-            return [w for w in self.spaces.split(text) if w]
-        return text.split()
-
-    def _parts(self, text: str) -> list[str | bytes]:
-        """Words, and the ids of added tokens between them."""
+    def _odd(self, text: str) -> bytes:
+        """The ids of a text that holds added tokens, or what is white space to Arrow but not to the tokenizer."""
         out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += [*self.words(text[at : m.start()]), self.added[m[0]]]
-            at = m.end()
-        return out + self.words(text[at:])
+        for m in [*(self.cut.finditer(text) if self.cut else ()), None]:
+            words = [w for w in self.spaces.split(text[at : m.start() if m else len(text)]) if w]
+            self._learn({w for w in words if w not in self.known})
+            out += [self.known[w] for w in words]
+            if m:
+                out.append(self.added[m[0]])
+                at = m.end()
+        return b"".join(out)
 
     def _learn(self, words: set[str]) -> None:
         known = self.known
@@ -118,20 +118,47 @@ class WordEncoder:
                 self.known[w] = raw[at:cut]
                 at = cut
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        mixed = [self.cut is not None and self.cut.search(t) is not None for t in texts]
-        # The tokenizer takes capitals as small letters; in ASCII texts they are made so first, as fewer words are distinct.
-        lists = [self._parts(t) if m else self.words(t.lower() if t.isascii() and self.lowers else t) for t, m in zip(texts, mixed, strict=True)]
-        here: set[str] = set().union(*([w for w in words if isinstance(w, str)] if m else words for words, m in zip(lists, mixed, strict=True)))
-        new = here.difference(self.known)
-        if len(self.known) + len(new) > MOST_KNOWN:
-            self.known = {w: self.known[w] for w in here.intersection(self.known)}
-        self._learn(new)
+    def _odd_rows(self, texts: pa.Array, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(starts, np.flatnonzero((data >= 0x1C) & (data <= 0x1F)), "right") - 1] = True
+        for token in self.added:
+            odd |= np.asarray(pc.match_substring(texts, token))
+        return odd
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (no nulls) as little-endian 32-bit integers.
+
+        Arrow cuts texts into words and numbers the distinct ones, so that only these are looked up.
+        """
+        texts = pa.concat_arrays([texts.cast(pa.large_string())])  # from offset 0
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8, offsets[-1])
+        odd = self._odd_rows(texts, data, offsets[:-1])
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        if self.lowers:
+            # The tokenizer takes capitals as small letters. Where no mark could join a letter, as in Latin-1, they are made
+            # so first: fewer words are distinct.
+            beyond = np.zeros(len(texts), bool)
+            beyond[np.searchsorted(offsets[:-1], np.flatnonzero(data > 0xC3), "right") - 1] = True
+            plain = pc.if_else(pa.array(beyond), plain, pc.utf8_lower(plain))
+        split = pc.utf8_split_whitespace(plain)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        out = [b"".join([known[w] if isinstance(w, str) else w for w in words] if m else map(known.__getitem__, words)) for words, m in zip(lists, mixed, strict=True)]
+        new = {w for w in words if w not in known}
+        if len(known) + len(new) > MOST_KNOWN:  # frequent words come early, so the first ones stay
+            self.known = known = dict(islice(known.items(), MOST_KNOWN // 2)) | {w: known[w] for w in words if w in known}
+        self._learn(new)
+        found = [known[w] for w in words]
         for w in [w for w in new if len(w) > LONGEST_KEPT]:
             known.pop(w, None)
+        taken = pa.array(found, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)
+        raw = taken.buffers()[2].to_pybytes() if len(taken) and taken.buffers()[2] else b""
+        at = ends[np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
+        out = [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+        for i in np.flatnonzero(odd):
+            out[i] = self._odd(texts[int(i)].as_py())
         return out
 
 
@@ -152,21 +179,18 @@ def graded(length: int, least: int = LEAST) -> list[int]:
     return [*out, length] if length else out
 
 
-#: Texts are encoded together up to so many characters.
-TOGETHER = 2_000_000
+#: Texts are encoded together up to so many bytes.
+TOGETHER = 4 << 20
 
 
 def _groups(batch: pa.RecordBatch):
-    """(first row, texts) of stretches of a batch."""
-    first, held, texts = 0, 0, []
-    for i, value in enumerate(batch.column("text")):
-        texts.append(value.as_py() or "")
-        held += len(texts[-1])
-        if held >= TOGETHER:
-            yield first, texts
-            first, held, texts = i + 1, 0, []
-    if texts:
-        yield first, texts
+    """Stretches of a batch."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64)
+    part = np.cumsum(sizes) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+    for first, end in zip(cuts, cuts[1:], strict=False):
+        if end > first:
+            yield batch.slice(first, end - first)
 
 
 def _cut(path: str, window: int, end_id: int, with_ids: bool):
@@ -175,23 +199,31 @@ def _cut(path: str, window: int, end_id: int, with_ids: bool):
     def run(batches):
         encoder = _encoder(path)
         for batch in batches:
-            for first, texts in _groups(batch):
-                rows = []
-                for name, ids in zip(batch.column("doc_id").slice(first, len(texts)).to_pylist(), encoder.encode_many(texts), strict=True):
+            for rows in _groups(batch):
+                names, starts, lengths, crcs, totals, counts, cuts, held = [], [], [], [], [], [], [], []
+                for name, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode(pc.fill_null(rows.column("text"), "")), strict=True):
                     ids += end
                     n = len(ids) // 4
                     for at in range(0, n, window):
                         piece = ids[4 * at : 4 * (at + window)]
-                        parts = None
+                        begin = 0
                         if len(piece) < 4 * window:
-                            parts, begin = [], 0
                             for size in graded(len(piece) // 4):
-                                parts.append({"length": size, "crc": zlib.crc32(piece[4 * begin : 4 * (begin + size)])})
-                                begin += size
-                        rows.append((name, at, len(piece) // 4, zlib.crc32(piece), n, parts, *([piece] if with_ids else [])))
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.struct([("length", pa.int64()), ("crc", pa.int64())]))] + [pa.binary()] * with_ids
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts"] + ["ids"] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                                cuts.append(zlib.crc32(piece[begin : begin + 4 * size]))
+                                begin += 4 * size
+                        counts.append(len(cuts))
+                        names.append(name)
+                        starts.append(at)
+                        lengths.append(len(piece) // 4)
+                        crcs.append(zlib.crc32(piece))
+                        totals.append(n)
+                        if with_ids:
+                            held.append(piece)
+                full = np.array(lengths) == window
+                ends = pa.array([0, *counts], pa.int32(), mask=np.append(full, False))  # null where a window is full
+                columns = [*(pa.array(c, pa.int64()) for c in (names, starts, lengths, crcs, totals)), pa.ListArray.from_arrays(ends, pa.array(cuts, pa.int64()))]
+                kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "cut_crcs"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(held, pa.binary())] if with_ids else columns, names=[*kept, "ids"] if with_ids else kept)
 
     return run
 
@@ -273,40 +305,42 @@ def windows(sizes: np.ndarray, capacity: int = WINDOW) -> tuple[list[list[int]],
 
 def _pack(capacity: int):
     def run(block: pa.Table) -> pa.Table:
-        block = block.sort_by("piece")
+        block = block.sort_by("piece").combine_chunks()
         number = block["block"][0].as_py()
-        columns = {c: block[c].to_pylist() for c in ("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts")}
-        n, each = len(block), CUT_EACH
+        piece, doc, start, length, crc, total = (block[c].fill_null(0).to_numpy() for c in ("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens"))
+        missing = np.asarray(block["doc_id"].is_null())
+        each = CUT_EACH
         while True:
-            items = []  # (row, start in it, length, crc)
-            for i in range(n):
-                if i % each == 0:
-                    at = 0
-                    for part in columns["parts"][i]:
-                        items.append((i, at, part["length"], part["crc"]))
-                        at += part["length"]
-                else:
-                    items.append((i, 0, columns["length"][i], columns["ids_crc32"][i]))
-            found, risen = windows(np.array([x[2] for x in items], np.int64), capacity)
+            cut = np.arange(len(block)) % each == 0
+            sizes = [graded(n) for n in length[cut].tolist()]
+            inner = np.array([0, *np.cumsum([len(s) for s in sizes])])
+            flat = np.array([n for s in sizes for n in s], np.int64)
+            before = np.cumsum(flat) - flat
+            counts = np.diff(inner)
+            # Parts of the rests that are cut, then rests that are whole.
+            row = np.concatenate((np.repeat(np.flatnonzero(cut), counts), np.flatnonzero(~cut)))
+            at = np.concatenate((before - np.repeat(before[inner[:-1]], counts) if len(flat) else flat, np.zeros(int((~cut).sum()), np.int64)))
+            size = np.concatenate((flat, length[~cut]))
+            found, risen = windows(size, capacity)
             if each == 1 or risen <= max(1, len(found) // 100):
                 break
             each //= 2
-        rows = []
-        for w, members in enumerate(found):
-            offset = 0
-            for k in sorted(members):
-                i, at, length, crc = items[k]
-                rows.append((columns["piece"][i], columns["doc_id"][i], columns["start"][i] + at, length, crc, columns["doc_tokens"][i], 2 * (number * _WINDOWS + w), offset))
-                offset += length
-        names = ["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+        own = np.concatenate((block["cut_crcs"].filter(pa.array(cut)).combine_chunks().flatten().to_numpy(zero_copy_only=False), crc[~cut]))
+        order = np.array([k for members in found for k in sorted(members)], np.int64)
+        window = np.repeat(np.arange(len(found)), [len(m) for m in found])
+        ends = np.cumsum(size[order])
+        opens = np.concatenate(([0], ends[:-1]))
+        offset = opens - opens[np.searchsorted(window, window, "left")]
+        at_row = row[order]
+        columns = [pa.array(piece[at_row]), pa.array(doc[at_row], mask=missing[at_row]), *map(pa.array, (start[at_row] + at[order], size[order], own[order], total[at_row], 2 * (number * _WINDOWS + window), offset))]
+        return pa.table(columns, names=["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
 
 def pieces(df: DataFrame, text: str = "text", ident: str = "doc_id", path: str | None = None, window: int = WINDOW, end_id: int = END_ID, ids: bool = False) -> DataFrame:
-    """Each document's ids in full windows and a rest: (doc_id, start, length, ids_crc32, doc_tokens, parts); parts are the
-    rest's graded cuts, null for a full window. ids: with the ids themselves, as little-endian 32-bit integers."""
+    """Each document's ids in full windows and a rest: (doc_id, start, length, ids_crc32, doc_tokens, cut_crcs); the last are
+    the digests of the rest's graded parts, null for a full window. ids: with the ids themselves, as little-endian 32-bit integers."""
     import public_tokenizers
 
     docs = df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -315,8 +349,8 @@ def pieces(df: DataFrame, text: str = "text", ident: str = "doc_id", path: str |
 
 def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     """Pieces with the sequence and the place in it of each; cut: a written table of pieces with their number (piece)."""
-    full = cut.where("parts is null").select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", (2 * F.col("piece") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rests = cut.where("parts is not null").select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts")
+    full = cut.where("cut_crcs is null").select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", (2 * F.col("piece") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rests = cut.where("cut_crcs is not null").select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "cut_crcs")
     blocks = max(1, round((rests.agg(F.sum("length")).first()[0] or 0) / BLOCK))
     dealt = rests.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(blocks)))
     return full.unionByName(dealt.groupBy("block").applyInArrow(_pack(window), _PLACED))
