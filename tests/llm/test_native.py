@@ -292,12 +292,12 @@ def test_op1(spark):
 def test_labels_at_random_decide_nothing_and_planted_ones_do(spark):
     """Tables whose labels are shuffled give no rule, but for about one in 1 / CHANCE; a third of the bad URLs have a token
     that no other has in the last table."""
-    rng, tables, with_rules = random.Random(8), 12, 0
+    rng, tables, with_rules = random.Random(8), 5, 0
     urls = [f"http://{rng.choice('abcdefgh')}.{rng.choice(['one', 'two', 'three'])}.example.{rng.choice(['org', 'com'])}/{rng.choice('uvwxyz')}/{rng.choice('klmnop')}?{rng.choice('qrs')}=1" for _ in range(700)]
     for _ in range(tables):
         bad = [rng.random() < 0.15 for _ in urls]
         with_rules += bool(U.mine(spark.createDataFrame(list(zip(urls, bad, strict=True)), "url string, bad boolean")).count())
-    assert with_rules <= 2
+    assert with_rules <= 1
     planted = [(u.replace("?", "/win-a-prize?"), b) if b and i % 3 == 0 else (u, b) for i, (u, b) in enumerate(zip(urls, bad, strict=True))]
     rules = U.mine(spark.createDataFrame(planted, "url string, bad boolean")).collect()
     assert rules and all(r["verdict"] == "block" and r["tokens"][-1].endswith("win-a-prize") for r in rules)
