@@ -115,24 +115,30 @@ def remainder(found: list[int], moduli: list[int]) -> int:
     return value - whole if 2 * value > whole else value
 
 
-def usable(df: DataFrame, vector: str = "embedding", ident: str = "vec_id") -> tuple[DataFrame, int, int, int]:
-    """The rows (vec_id, embedding of doubles) that take part; their number, dimension, and largest |x|."""
+def clean(df: DataFrame, vector: str = "embedding", ident: str = "vec_id") -> DataFrame:
+    """(vec_id, embedding of doubles) of the rows whose vector is whole."""
     rows = df.select(F.col(ident).alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding"))
     whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = rows.where(F.coalesce(whole, F.lit(False)) & (F.size("embedding") > 0))
+    return rows.where(F.coalesce(whole, F.lit(False)) & (F.size("embedding") > 0))
+
+
+def measured(rows: DataFrame) -> tuple[int, int, int]:
+    """Of clean rows: how many have the commonest length, that length, and the largest |x| among them."""
     most = F.max(F.greatest(F.abs(F.array_max("embedding")), F.abs(F.array_min("embedding"))))
     lengths = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"), most.alias("most"))
     found = lengths.orderBy(F.desc("n"), F.desc("d")).first()
     if found is None:
-        return rows, 0, 0, 0
-    return rows.where(F.size("embedding") == found["d"]), found["n"], found["d"], min(MOST, math.ceil(SCALE * found["most"]) + 1) + SHIFT
+        return 0, 0, 0
+    return found["n"], found["d"], min(MOST, math.ceil(SCALE * found["most"]) + 1) + SHIFT
 
 
 def fit(df: DataFrame, vector: str = "embedding", components: int = COMPONENTS) -> Fit | None:
     """Sums, covariance and components of df's vectors; None if there are none."""
-    rows, n, dimension, largest = usable(df, vector, vector)
+    rows = clean(df, vector, vector)
+    n, dimension, largest = measured(rows)
     if not n:
         return None
+    rows = rows.where(F.size("embedding") == dimension)
     moduli = primes(2 * n * max(largest, 1) ** 2)
     parts = rows.select("embedding").coalesce(tasks_for(df.sparkSession, n, ROWS_EACH)).mapInArrow(residues(dimension, moduli), "prime int, i int, j int, r long")
     sums = parts.groupBy("prime", "i", "j").agg(F.sum("r").alias("r"))
@@ -184,7 +190,7 @@ def _whiten(fitted: Fit):
 
 def transform(df: DataFrame, fitted: Fit, vector: str = "embedding", ident: str = "vec_id") -> DataFrame:
     """(vec_id, deviation, deviation_exact, whitened array<double>) of df's usable vectors of the fitted dimension."""
-    rows = usable(df, vector, ident)[0].where(F.size("embedding") == fitted.dimension)
+    rows = clean(df, vector, ident).where(F.size("embedding") == fitted.dimension)
     kind = df.schema[ident].dataType.simpleString()
     return rows.mapInArrow(_whiten(fitted), f"vec_id {kind}, deviation long, deviation_exact decimal(38,0), whitened array<double>")
 
