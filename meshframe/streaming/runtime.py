@@ -98,7 +98,7 @@ def start(spark: SparkSession, action: Callable[[], object], attr: OpAttr | None
         except BaseException as e:
             future.set_exception(e)
 
-    threading.Thread(target=inheritable_thread_target(run), daemon=True).start()
+    threading.Thread(target=inheritable_thread_target(spark)(run), daemon=True).start()
     event = Event(spark, tag, future)
     if attr.synchronous or settings.op_sync:
         event.wait()
