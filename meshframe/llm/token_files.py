@@ -26,10 +26,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshframe.llm.bpe import _ODD as is_odd
 from meshframe.llm.bpe import MARKS, Pieces, in_groups
 from meshframe.llm.common import partitions, stash, table
 
@@ -127,16 +129,9 @@ class LibraryEncoder(Pieces):
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        if not self.plain:
-            own = {i: self.whole(t) for i, t in enumerate(texts) if self.cut.search(t)}
-            if own:
-                rest = iter(self.encode_many([t for i, t in enumerate(texts) if i not in own]))
-                return [own[i] if i in own else next(rest) for i in range(len(texts))]
+    def _learn(self, here: set[str]) -> None:
+        """Encodes the words that are not known yet."""
         known = self.known
-        lists = [self.parts_of(t) for t in texts]
-        here = set().union(*lists)
         new = here.difference(known)
         if len(known) + len(new) > MOST_KNOWN:  # the words that occur here too are the ones that will again
             known = self.known = {w: known[w] for w in here.intersection(known)} | self.added
@@ -165,9 +160,50 @@ class LibraryEncoder(Pieces):
             known[word] = known[core] + known[tail]
         for word, parts in odd:
             known[word] = b"".join([known[x] for x in parts])
-        out = [b"".join(map(known.__getitem__, own)) for own in lists]
-        for key in [k for k in (*asked, *new) if len(k) > LONGEST_KEPT]:
-            known.pop(key, None)
+        self.long = [k for k in (*asked, *new) if len(k) > LONGEST_KEPT]
+
+    def _forget(self) -> None:
+        for key in self.long:
+            self.known.pop(key, None)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers.
+
+        Where single spaces alone part words, Arrow cuts the texts and numbers the distinct words, so that only these are
+        looked up; a word takes the space before it with it, but for a text's first.
+        """
+        own, plain = {}, []
+        for i, t in enumerate(texts):
+            if self.cut is not None and self.cut.search(t):
+                own[i] = self.encode_parts(t) if self.plain else self.whole(t)
+            elif is_odd(t):
+                own[i] = self.encode_parts(t)
+            else:
+                plain.append(t)
+        split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        starts = np.asarray(split.offsets)[:-1]
+        words = split.flatten()
+        firsts = words.take(pa.array(starts)).to_pylist()
+        coded = words.dictionary_encode()
+        distinct = [" " + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        self._learn({*distinct, *filter(None, firsts)})
+        number = coded.indices.to_numpy().copy()
+        number[starts] = len(distinct) + np.arange(len(firsts))
+        known = self.known
+        found = [known[w] for w in distinct] + [known[w] if w else b"" for w in firsts]
+        self._forget()
+        taken = pa.array(found, pa.large_binary()).take(pa.array(number))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+        raw = taken.buffers()[2].to_pybytes() if len(taken) and taken.buffers()[2] else b""
+        at = ends[np.asarray(split.offsets)].tolist()
+        rest = iter([raw[x:y] for x, y in zip(at, at[1:], strict=False)])
+        return [own[i] if i in own else next(rest) for i in range(len(texts))]
+
+    def encode_parts(self, text: str) -> bytes:
+        parts = self.parts_of(text)
+        self._learn(set(parts))
+        out = b"".join(map(self.known.__getitem__, parts))
+        self._forget()
         return out
 
 
