@@ -52,6 +52,16 @@ def stages(op: str, dtype: DataType, rounding: str = "truncate") -> tuple[Callab
     raise InvalidArgument(f"unknown reduction {op}")
 
 
+def both(op: str, values: list[Column]) -> Column:
+    """Partial results of columns side by side as one, nulls passed over as aggregates do; not for products of integers."""
+    if op in (MIN, MAX):
+        return (F.least if op == MIN else F.greatest)(*values) if len(values) > 1 else values[0]
+    out = values[0]
+    for v in values[1:]:
+        out = F.coalesce(out + v if op == SUM else out * v, out, v)
+    return out
+
+
 def _product(value: Column, dtype: DataType) -> Column:
     bits = 8 * dtype.bytes
     values = F.collect_list(F.pmod(value.cast(WIDE), F.lit(str(1 << bits)).cast(WIDE)))

@@ -17,7 +17,7 @@ from meshframe.errors import InvalidArgument
 from meshframe.functions.datatypes import REGISTRY, DataType
 from meshframe.functions.orders import block_of, by_rank, combined
 from meshframe.functions.pairwise import Pairwise, multiplied, reduced
-from meshframe.functions.reductions import PROD, reduction, stages
+from meshframe.functions.reductions import PROD, both, reduction, stages
 from meshframe.operators.comm import Communicator
 from meshframe.sources.buffers import last_up_to
 
@@ -69,18 +69,50 @@ def allreduce_2d(buffers: DataFrame, comm: Communicator, per_node: int, op="sum"
     return Replicated(inner.groupBy("buf_id", "idx").agg(finish(merge(F.col("value"))).alias("value")), comm)
 
 
-def allreduce_levels(buffers: DataFrame, per_node: int, op="sum", dtype: str = "int64", rounding: str = "truncate") -> DataFrame:
+#: Ranks up to which levels are made from a column for each.
+FEW_RANKS = 16
+
+
+def allreduce_levels(buffers: DataFrame, per_node: int, op="sum", dtype: str = "int64", rounding: str = "truncate", comm: Communicator | None = None) -> DataFrame:
     """The results of a hierarchy's levels in one pass: (level, node, rank, buf_id, idx, value), where level is rank (node
-    and rank set), node (rank null) or world (both null). Grouping sets: one exchange for all levels."""
+    and rank set), node (rank null) or world (both null). One exchange for all levels.
+
+    Few ranks of a comm: a group of the aggregate is an element with a column for each rank, of which nodes and world are
+    made behind the exchange. Else grouping sets: rows are copied for each level, and a task holds a row for each rank, node
+    and element. Integer products and the caller's own op take these too. A rank that the comm lacks is an error when read.
+    """
+    kind = REGISTRY[dtype]
+    if comm is not None and comm.size <= FEW_RANKS and not callable(op) and not (op == PROD and kind.kind in ("int", "uint")):
+        return _levels_by_columns(buffers, per_node, op, kind, rounding, comm.size)
     node = F.floor(F.col("rank") / per_node).cast("int")
     keys = [F.col("buf_id"), F.col("idx")]
     sets = [[*keys, F.col("node"), F.col("rank")], [*keys, F.col("node")], keys]
     rows = buffers.withColumn("node", node).groupingSets(sets, "buf_id", "idx", "node", "rank")
-    out = rows.agg(F.grouping("node").alias("no_node"), F.grouping("rank").alias("no_rank"), reduction(op, F.col("value"), REGISTRY[dtype], rounding).alias("value"))
+    out = rows.agg(F.grouping("node").alias("no_node"), F.grouping("rank").alias("no_rank"), reduction(op, F.col("value"), kind, rounding).alias("value"))
     level = F.when(F.col("no_node") == 1, F.lit("world")).when(F.col("no_rank") == 1, F.lit("node")).otherwise(F.lit("rank"))
     return out.select(level.alias("level"), "node", "rank", "buf_id", "idx", "value")
 
 
+def _levels_by_columns(buffers: DataFrame, per_node: int, op: str, dtype: DataType, rounding: str, size: int) -> DataFrame:
+    partial, _, finish = stages(op, dtype, rounding)
+    rank, null = F.col("rank"), F.lit(None).cast("int")
+    # Which ranks hold the element, a bit each: a null value is one all the same, a rank without the element has no row.
+    unknown = F.raise_error(F.concat(F.lit(f"not one of {size} ranks: "), F.coalesce(rank.cast("string"), F.lit("null")))).cast("int")
+    bit = F.when(rank.between(0, size - 1), F.call_function("shiftleft", F.lit(1), rank.cast("int"))).otherwise(unknown)
+    own = [partial(F.when(rank == r, F.col("value"))).alias(f"v{r}") for r in range(size)]
+    found = buffers.groupBy("buf_id", "idx").agg(F.bit_or(bit).alias("held"), *own)
+    groups = [("world", null, null, range(size))]
+    groups += [("node", F.lit(k // per_node), null, range(k, min(k + per_node, size))) for k in range(0, size, per_node)]
+    groups += [("rank", F.lit(r // per_node), F.lit(r), range(r, r + 1)) for r in range(size)]
+    rows = []
+    for level, node, one, ranks in groups:
+        value = finish(both(op, [F.col(f"v{r}") for r in ranks]))
+        row = F.struct(F.lit(level).alias("level"), node.alias("node"), one.alias("rank"), value.alias("value"))
+        rows.append(F.when(F.col("held").bitwiseAND(sum(1 << r for r in ranks)) != 0, row))
+    out = found.select("buf_id", "idx", F.explode(F.array(*rows)).alias("row")).where("row IS NOT NULL")
+    return out.select("row.level", "row.node", "row.rank", "buf_id", "idx", "row.value")
+
+
 def allreduce_packed(packed: DataFrame, comm: Communicator, width: int, op="sum", dtype: str = "float32", rounding: str = "truncate", wide: bool = False) -> Replicated:
     """Buffers in packed form (rank, buf_id, chunk_id, values of width elements): arrays are reduced place by place, so a
     row of the exchange is a chunk. The values come out in long form.

@@ -323,7 +323,7 @@ def allreduce_maxloc(spark, d):
 )
 def allreduce_levels(spark, d):
     """Sums of ranks, of nodes of two ranks, and of all, in one pass."""
-    return C.allreduce_levels(cents(spark, d), 2, "sum", "int64")
+    return C.allreduce_levels(cents(spark, d), 2, "sum", "int64", comm=WORLD)
 
 
 @query("allreduce_bucketed", f"SELECT rank, buf_id, idx, value FROM (SELECT buf_id, idx, sum(value)::BIGINT AS value FROM {CENTS} GROUP BY ALL), {_RANKS}")

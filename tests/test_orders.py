@@ -14,7 +14,7 @@ from meshframe.operators import collectives as C
 from meshframe.operators import p2p
 from meshframe.operators.comm import Communicator
 from meshframe.operators.unordered import agreed, fused, schedule, start_order
-from meshframe.plans import planned
+from meshframe.plans import catalog, planned
 from meshframe.plans.settings import Settings
 from meshframe.sources.buffers import pack, positions, positions_and_counts, unpack, write_bucketed
 from meshframe.streaming.runtime import running_allreduce
@@ -279,6 +279,25 @@ def test_levels_take_one_exchange(spark):
     assert len(got) == 7 * 10
 
 
+@pytest.mark.parametrize("op,dtype", [("sum", "int64"), ("sum", "int8"), ("min", "float64"), ("max", "int32"), ("prod", "float64"), ("prod", "int64")])
+@pytest.mark.parametrize("per_node", [1, 2, 3, 9])
+def test_levels_of_few_ranks_are_those_of_grouping_sets(spark, op, dtype, per_node):
+    value = F.when(F.col("id") % 11 > 0, F.col("id") % 13 - 6).cast(REGISTRY[dtype].spark)  # nulls, and elements that ranks lack
+    value = F.when(F.col("id") % 17 == 0, F.lit("NaN").cast("double")).otherwise(value) if dtype == "float64" else value
+    b = spark.range(60).select((F.col("id") % 5).cast("int").alias("rank"), F.lit(0).alias("buf_id"), (F.col("id") * F.col("id") % 31).alias("idx"), value.alias("value"))
+    few, sets = (C.allreduce_levels(b, per_node, op, dtype, comm=comm) for comm in (Communicator(5), None))
+    assert few.dtypes == sets.dtypes
+    assert sorted(map(str, few.collect())) == sorted(map(str, sets.collect()))
+
+
+def test_levels_of_few_ranks_copy_no_rows(spark, sf_dir):
+    plan = plan_of(catalog.QUERIES["allreduce_levels"](spark, sf_dir))
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 1
+    b = spark.range(9).select(F.col("id").cast("int").alias("rank"), F.lit(0).alias("buf_id"), F.lit(0).cast("long").alias("idx"), F.col("id").alias("value"))
+    with pytest.raises(Exception, match="not one of 8 ranks: 8"):
+        C.allreduce_levels(b, 2, comm=Communicator(8)).collect()
+
+
 def test_bucketed_buffers_need_no_exchange(spark):
     b = spark.range(500).select((F.col("id") % 4).cast("int").alias("rank"), F.lit(0).alias("buf_id"), F.floor(F.col("id") / 4).alias("idx"), F.col("id").alias("value"))
     stored = write_bucketed(b, "buffers_of_a_test", 4)
