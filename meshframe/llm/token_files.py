@@ -39,6 +39,8 @@ MAGIC = b"TOK1"
 END_ID = 0
 BLOCK_IDS = 1 << 20
 MOST_KNOWN, LONGEST_KEPT = 800_000, 64
+#: The space in byte-level tokens; words that are encoded as one text, and such texts at once.
+SPACE, STRETCH, STRETCHES = "\u0120", 256, 64
 
 #: Four lengths for each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
@@ -98,7 +100,7 @@ def read_block(block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder(Pieces):
-    """The tokenizers library's ids of texts; each distinct piece goes through the library once.
+    """The tokenizers library's ids of texts; each distinct piece goes through the library once, and many in one call.
 
     As in the library, the file's added tokens (such as "<|endoftext|>") are found in a text first, and have their own
     ids; words are cut from what lies between.
@@ -115,6 +117,13 @@ class LibraryEncoder(Pieces):
         self.plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values())
         self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.known: dict[str, bytes] = dict(self.added)
+        #: The same of words behind a space, without it.
+        self.spaced: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.starts[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        #: Whether words may stand side by side: no added token goes over from one to the next.
+        self.joins = bool(self.starts.any()) and not any(" " in t for t in self.added)
 
     def parts_of(self, text: str) -> list[str]:
         """The text's words, with the added tokens between them."""
@@ -162,6 +171,48 @@ class LibraryEncoder(Pieces):
             known[word] = b"".join([known[x] for x in parts])
         self.long = [k for k in (*asked, *new) if len(k) > LONGEST_KEPT]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, each with a space before it; the words hold no space and start with no white space."""
+        found = list(map(self.spaced.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if not new:
+            return found
+        if len(self.spaced) + len(new) > MOST_KNOWN:  # the words that occur here too are the ones that will again
+            self.spaced = {w: ids for w, ids in zip(words, found, strict=True) if ids is not None}
+        spaced, asked = self.spaced, [w for w in new if w.isalpha()]
+        others = [w for w in new if not w.isalpha()]
+        cores = [w.rstrip(MARKS) for w in others]
+        composed = [c.isalpha() for c in cores]  # letters, then marks: two pieces
+        asked += [w for w, two in zip(others, composed, strict=True) if not two]
+        asked += {c for c, two in zip(cores, composed, strict=True) if two}.difference(spaced, asked)
+        for first in range(0, len(asked), STRETCHES * STRETCH):
+            self._ask(asked[first : first + STRETCHES * STRETCH])
+        tails = {w[len(c) :] for w, c, two in zip(others, cores, composed, strict=True) if two}
+        self._learn(tails)
+        tail = {t: self.known[t] for t in tails}
+        self._forget()
+        spaced.update([(w, spaced[c] + tail[w[len(c) :]]) for w, c, two in zip(others, cores, composed, strict=True) if two])
+        found = [spaced[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        for word in [w for w in (*asked, *new) if len(w) > LONGEST_KEPT]:
+            spaced.pop(word, None)
+        return found
+
+    def _ask(self, words: list[str]) -> None:
+        """Encodes words, each behind a space, many as one text: no piece goes on across a space before what is none, so a
+        word begins with the one of its tokens that begins with a space. If such tokens come to another number than the
+        words, each is encoded by itself."""
+        stretches = [words[i : i + STRETCH] for i in range(0, len(words), STRETCH)] if self.joins else [[w] for w in words]
+        for some, coded in zip(stretches, self.tokenizer.encode_batch_fast([" " + " ".join(s) for s in stretches], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            cuts = np.flatnonzero(self.starts[ids])
+            if len(some) == 1:
+                self.spaced[some[0]] = ids.tobytes()
+            elif len(cuts) != len(some) or cuts[0]:
+                self.spaced.update([(w, self.whole(" " + w)) for w in some])
+            else:
+                raw, at = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                self.spaced.update(zip(some, [raw[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
+
     def _forget(self) -> None:
         for key in self.long:
             self.known.pop(key, None)
@@ -185,13 +236,15 @@ class LibraryEncoder(Pieces):
         words = split.flatten()
         firsts = words.take(pa.array(starts)).to_pylist()
         coded = words.dictionary_encode()
-        distinct = [" " + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        self._learn({*distinct, *filter(None, firsts)})
-        number = coded.indices.to_numpy().copy()
-        number[starts] = len(distinct) + np.arange(len(firsts))
-        known = self.known
-        found = [known[w] for w in distinct] + [known[w] if w else b"" for w in firsts]
+        number, n = coded.indices.to_numpy().copy(), len(coded.dictionary)
+        number[starts] = n + np.arange(len(firsts))
+        used = np.bincount(number, minlength=n)[:n] > 0  # the others are firsts alone
+        distinct = coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
+        number = np.concatenate([np.cumsum(used) - 1, len(distinct) + np.arange(len(firsts))])[number]
+        self._learn({*filter(None, firsts)})
+        at_first = [self.known[w] if w else b"" for w in firsts]
         self._forget()
+        found = self._spaced(distinct) + at_first
         taken = pa.array(found, pa.large_binary()).take(pa.array(number))
         ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
         raw = taken.buffers()[2].to_pybytes() if len(taken) and taken.buffers()[2] else b""

@@ -119,6 +119,33 @@ def test_added_tokens_are_those_of_the_library(spark, monkeypatch):
     assert [(r["n_tokens"], r["ids_crc32"]) for r in sorted(out, key=lambda r: r["start"])] == [(len(i) + 1, zlib.crc32(np.array([*i, 0], "<u4").tobytes())) for i in want]
 
 
+def test_words_go_to_the_library_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, asked = Tokenizer.from_file(P.path("byte_bpe_50k.json")), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **how)
+
+        encode = tokenizer.encode
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdeghinorstüé", k=rng.randint(1, 12))) + rng.choice(["", "", ".", ",%", ".\nThe", "\u00a0x", "\u0120", "9", "\x1c"]) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 400]) for i in range(0, 4000, 400)] + ["", " a", "b", "w" * 99 + " " + "w" * 99 + ". " + "w" * 99]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids = lambda e: [np.frombuffer(x, "<u4").tolist() for x in e.encode_many(texts)]
+    encoder = T.LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    encoder.tokenizer = Counted()
+    assert ids(encoder) == want and len(asked) < 100
+    assert ids(encoder) == want and len(asked) < 110 and max(map(len, encoder.spaced)) <= T.LONGEST_KEPT
+    encoder.starts[:], encoder.spaced = False, {}  # nothing tells where a word begins
+    assert ids(encoder) == want
+    monkeypatch.setattr(T, "MOST_KNOWN", 500)
+    assert ids(encoder) == want and ids(encoder) == want
+
+
 def test_added_tokens_that_take_in_spaces(tmp_path):
     from tokenizers import AddedToken, Tokenizer
 
