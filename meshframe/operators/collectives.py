@@ -12,12 +12,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from meshframe.errors import InvalidArgument
 from meshframe.functions.datatypes import REGISTRY, DataType
 from meshframe.functions.orders import block_of, by_rank, combined
 from meshframe.functions.pairwise import Pairwise, multiplied, reduced
-from meshframe.functions.reductions import PROD, both, reduction, stages
+from meshframe.functions.reductions import PROD, SUM, both, reduction, stages
 from meshframe.operators.comm import Communicator
 from meshframe.sources.buffers import last_up_to
 
@@ -99,8 +100,16 @@ def _levels_by_columns(buffers: DataFrame, per_node: int, op: str, dtype: DataTy
     # Which ranks hold the element, a bit each: a null value is one all the same, a rank without the element has no row.
     unknown = F.raise_error(F.concat(F.lit(f"not one of {size} ranks: "), F.coalesce(rank.cast("string"), F.lit("null")))).cast("int")
     bit = F.when(rank.between(0, size - 1), F.call_function("shiftleft", F.lit(1), rank.cast("int"))).otherwise(unknown)
-    own = [partial(F.when(rank == r, F.col("value"))).alias(f"v{r}") for r in range(size)]
-    found = buffers.groupBy("buf_id", "idx").agg(F.bit_or(bit).alias("held"), *own)
+    if op == SUM and dtype.kind == "int" and dtype.bytes == 8 and isinstance(buffers.schema["value"].dataType, IntegralType):
+        # Sums of the upper and of the lower 32 bits, exact for 2^31 rows of a rank's element: a decimal takes twice the memory.
+        value = F.col("value").cast("bigint")
+        halves = {"h": F.shiftright(value, 32), "l": value.bitwiseAND((1 << 32) - 1)}
+        own = [F.sum(F.when(rank == r, half)).alias(f"{name}{r}") for r in range(size) for name, half in halves.items()]
+        whole = [(F.col(f"h{r}").cast("decimal(38,0)") * F.lit(1 << 32) + F.col(f"l{r}")).alias(f"v{r}") for r in range(size)]
+    else:
+        own = [partial(F.when(rank == r, F.col("value"))).alias(f"v{r}") for r in range(size)]
+        whole = [f"v{r}" for r in range(size)]
+    found = buffers.groupBy("buf_id", "idx").agg(F.bit_or(bit).alias("held"), *own).select("buf_id", "idx", "held", *whole)
     groups = [("world", null, null, range(size))]
     groups += [("node", F.lit(k // per_node), null, range(k, min(k + per_node, size))) for k in range(0, size, per_node)]
     groups += [("rank", F.lit(r // per_node), F.lit(r), range(r, r + 1)) for r in range(size)]

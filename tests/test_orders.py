@@ -290,6 +290,14 @@ def test_levels_of_few_ranks_are_those_of_grouping_sets(spark, op, dtype, per_no
     assert sorted(map(str, few.collect())) == sorted(map(str, sets.collect()))
 
 
+def test_levels_wrap_as_longs_do(spark):
+    ends = [-(1 << 63), (1 << 63) - 1, -1, 1 << 32, -(1 << 32) - 1, None]
+    b = spark.createDataFrame([(r, 0, i, ends[(r * i + k) % 6]) for r in range(4) for i in range(9) for k in range(5) if r + i != 7], BUFFERS + "long")
+    few, sets = (C.allreduce_levels(b, 2, comm=comm) for comm in (Communicator(4), None))
+    assert sorted(map(str, few.collect())) == sorted(map(str, sets.collect()))
+    assert "shiftright" in plan_of(few)  # halves of longs, no decimals before the exchange
+
+
 def test_levels_of_few_ranks_copy_no_rows(spark, sf_dir):
     plan = plan_of(catalog.QUERIES["allreduce_levels"](spark, sf_dir))
     assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 1
